@@ -270,7 +270,7 @@ def fold(
     hot = None if bounded else hot_keys(df, keys)
     if hot is None:
         rows = df.repartition(*keys).sortWithinPartitions(*keys, *order)
-        return rows.mapInPandas(_walker(keys, values, step, False, ()), result)
+        return rows.mapInPandas(_walker(keys, values, step, result.names), result)
 
     names = hot.select(*keys)
     same = [df[k].eqNullSafe(names[k]) for k in keys]
@@ -285,7 +285,7 @@ def fold(
     exits, todo = None, cut(entry)
     while True:
         walked = _started(chunks, todo, group, order).mapInPandas(
-            _walker(keys, values, step, True, (CHUNK,)), state_type
+            _walker(keys, values, step, state_type.names, (CHUNK,), states_only=True), state_type
         )
         if exits is not None:
             walked = exits.join(todo.select(*group), on=group, how="left_anti").unionByName(walked)
@@ -299,9 +299,9 @@ def fold(
         if todo.isEmpty():
             break
     hot_out = _started(chunks, entry, group, order).mapInPandas(
-        _walker(keys, values, step, False, (CHUNK,)), result
+        _walker(keys, values, step, result.names, (CHUNK,)), result
     )
-    return cold.mapInPandas(_walker(keys, values, step, False, ()), result).unionByName(hot_out)
+    return cold.mapInPandas(_walker(keys, values, step, result.names), result).unionByName(hot_out)
 
 
 def _started(chunks: DataFrame, entry: DataFrame, group: list[str], order: Sequence[str]) -> DataFrame:
@@ -309,7 +309,7 @@ def _started(chunks: DataFrame, entry: DataFrame, group: list[str], order: Seque
     return chunks.join(entry, on=group).repartition(*group).sortWithinPartitions(*group, *order)
 
 
-def _walker(keys, values, step, states_only: bool, extra: tuple):
+def _walker(keys, values, step, names: list[str], extra: tuple = (), states_only: bool = False):
     group, width = [*keys, *extra], len(keys)
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -328,18 +328,8 @@ def _walker(keys, values, step, states_only: bool, extra: tuple):
                 if not states_only:
                     rows.extend((*key[:width], *e) for e in emitted)
             if rows:
-                yield pd.DataFrame(rows)
+                yield pd.DataFrame(rows, columns=names)
         if states_only and current is not None:
-            yield pd.DataFrame([(*current, json.dumps(state, sort_keys=True))])
+            yield pd.DataFrame([(*current, json.dumps(state, sort_keys=True))], columns=names)
 
-    return _positional(walk)
-
-
-def _positional(walk):
-    """mapInPandas matches by name when names are strings; integer names are matched by position."""
-
-    def run(batches):
-        for pdf in walk(batches):
-            yield pdf
-
-    return run
+    return walk
