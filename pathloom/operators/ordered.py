@@ -91,12 +91,10 @@ class Keyed:
         """Add one column per step; ``by`` splits the keys further."""
         part = [*self.keys, *by]
         if not self.chunked:
-            w = Window.partitionBy(*part).orderBy(*self.order)
-            return self._with(self.df.withColumns({n: _within(s, w) for n, s in steps.items()}))
+            return self._with(self.df.withColumns({n: _within(s, part, self.order) for n, s in steps.items()}))
         return self._with(self._add_chunked(part, steps))
 
     def _add_chunked(self, part: list[str], steps: dict[str, Step]) -> DataFrame:
-        w = Window.partitionBy(*part, CHUNK).orderBy(*self.order)
         rank = F.struct(*self.order)
         earlier = Window.partitionBy(*part).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
         later = Window.partitionBy(*part).orderBy(CHUNK).rowsBetween(1, Window.unboundedFollowing)
@@ -110,7 +108,7 @@ class Keyed:
         )
         # null-safe: a split column such as the section may be null
         same = [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in [*part, CHUNK]]
-        local = self.df.withColumns({f"__l_{n}": _local(s, w) for n, s in steps.items()})
+        local = self.df.withColumns({f"__l_{n}": _local(s, [*part, CHUNK], self.order) for n, s in steps.items()})
         merged = {n: _merge(s, F.col(f"__l_{n}"), F.col(f"__c_{n}")) for n, s in steps.items()}
         drop = [f"__k_{c}" for c in [*part, CHUNK]]
         drop += [f"__{side}_{n}" for n in steps for side in "lc"]
@@ -125,7 +123,8 @@ def _known_box(value: Column) -> Column:
     return F.when(value.isNotNull(), _boxed(value))
 
 
-def _within(s: Step, w) -> Column:
+def _within(s: Step, part: list[str], order: list[str]) -> Column:
+    w = Window.partitionBy(*part).orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     match s.kind:
         case "lag":
@@ -137,7 +136,9 @@ def _within(s: Step, w) -> Column:
         case "prev_known":
             return F.last(s.value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
         case "next_known":
-            return F.first(s.value, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+            # walked backwards: a frame that reaches to the end is read again for every row
+            back = Window.partitionBy(*part).orderBy(*(F.desc(c) for c in order))
+            return F.last(s.value, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
         case "sum":
             return F.sum(s.value).over(upto)
         case "min":
@@ -147,9 +148,12 @@ def _within(s: Step, w) -> Column:
     raise ValueError(s.kind)
 
 
-def _local(s: Step, w) -> Column:
-    boxed = {"lag": _boxed, "lead": _boxed, "known": _known_box, "prev_known": _known_box, "next_known": _known_box}
-    return _within(Step(s.kind, boxed[s.kind](s.value)) if s.kind in boxed else s, w)
+def _local(s: Step, part: list[str], order: list[str]) -> Column:
+    if s.kind in ("lag", "lead"):
+        s = Step(s.kind, _boxed(s.value))
+    elif s.kind in ("known", "prev_known", "next_known"):
+        s = Step(s.kind, _known_box(s.value))
+    return _within(s, part, order)
 
 
 def _summary(s: Step, rank: Column) -> Column:

@@ -12,6 +12,7 @@ from pathloom.functions.rules import blank_to_null
 from pathloom.functions.tokens import order_succeeded
 from pathloom.functions.urls import source_name
 from pathloom.operators.sessions import SESSION
+from pathloom.session import cut
 
 # Events that hint at a visitor giving up.
 RISK_EVENTS = ["tab_exit", "inactivity", "session_end", "cart_abandon_flag"]
@@ -88,20 +89,29 @@ def percent(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, F.floor(part * 100 / whole + F.lit(0.5))).otherwise(F.lit(0)).cast("long")
 
 
-def top_share(rollup: DataFrame, label: str, k: int = 3) -> DataFrame:
+def rollup_facts(rollup: DataFrame) -> DataFrame:
+    """Sessions counted by source, screen, cause and outcome: everything the summaries need, and small."""
+    return (
+        labelled_rollup(rollup)
+        .groupBy("source", "screen", "cause", "completed", "risky")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+def top_share(facts: DataFrame, label: str, k: int = 3) -> DataFrame:
     """Top labels of the risky sessions with their share of all risky sessions."""
-    counts = rollup.where("risky").groupBy(label).agg(F.count(F.lit(1)).alias("count"))
+    counts = facts.where("risky").groupBy(label).agg(F.sum("n").alias("count"))
     # screens and causes are fixed vocabularies, so this window sees at most a few rows
     shares = counts.withColumn("share", percent(F.col("count"), F.sum("count").over(Window.partitionBy())))
     return shares.orderBy(F.desc("count"), F.asc(label)).limit(k).withColumnRenamed(label, "label")
 
 
-def source_performance(rollup: DataFrame, k: int | None = 4) -> DataFrame:
+def source_performance(facts: DataFrame, k: int | None = 4) -> DataFrame:
     """Sources by sessions with completion and risk rates and the screen seen last most often."""
-    by_screen = rollup.groupBy("source", "screen").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if("completed").alias("c"),
-        F.count_if("risky").alias("r"),
+    by_screen = facts.groupBy("source", "screen").agg(
+        F.sum("n").alias("n"),
+        F.sum(F.when(F.col("completed"), F.col("n")).otherwise(0)).alias("c"),
+        F.sum(F.when(F.col("risky"), F.col("n")).otherwise(0)).alias("r"),
     )
     out = by_screen.groupBy("source").agg(
         F.sum("n").alias("total"),
@@ -120,53 +130,47 @@ def source_performance(rollup: DataFrame, k: int | None = 4) -> DataFrame:
 
 def operator_summary(rollup: DataFrame) -> DataFrame:
     """Blocked screens, causes, sources and priorities as rows of one table: (part, rank, label, …)."""
-    labelled = labelled_rollup(rollup)
-    rank = F.row_number()
+    # five small reports read the facts, the events are read once
+    facts = cut(rollup_facts(rollup))
 
-    def part(name: str, df: DataFrame, label: str, count: Column, share: Column, detail: Column) -> DataFrame:
-        w = Window.partitionBy(F.lit(name)).orderBy(F.desc("__count"), F.asc("__label"))
-        df = df.select(
-            F.col(label).alias("__label"), count.alias("__count"), share.alias("__share"), detail.alias("__detail")
-        )
+    def part(name: str, df: DataFrame, label: str, count: str, share: str, detail: Column) -> DataFrame:
+        w = Window.partitionBy(F.lit(name)).orderBy(F.desc(count), F.asc(label))
         return df.select(
             F.lit(name).alias("part"),
-            rank.over(w).cast("int").alias("rank"),
-            F.col("__label").alias("label"),
-            F.col("__count").cast("long").alias("count"),
-            F.col("__share").cast("long").alias("share"),
-            F.col("__detail").alias("detail"),
+            F.row_number().over(w).alias("rank"),
+            F.col(label).alias("label"),
+            F.col(count).cast("long").alias("count"),
+            F.col(share).cast("long").alias("share"),
+            detail.alias("detail"),
         )
 
-    none = F.lit("")
-    screens = part("blocked_pages", top_share(labelled, "screen"), "label", F.col("count"), F.col("share"), none)
-    causes = part("issue_causes", top_share(labelled, "cause"), "label", F.col("count"), F.col("share"), none)
-    best = source_performance(labelled)
-    sources = part("sources", best, "name", F.col("total"), F.col("risk_rate"), F.col("top_page"))
-    worst = best.where("total >= 3").orderBy(F.desc("risk_rate"), F.desc("total"), F.asc("name")).limit(1)
-    todo = (
-        screens.where("rank = 1").select(F.lit(1).alias("rank"), F.concat("label", F.lit(" 점검")).alias("label"), "count", "share")
-        .unionByName(
-            causes.where("rank = 1").select(F.lit(2).alias("rank"), F.concat("label", F.lit(" 대응")).alias("label"), "count", "share")
-        )
-        .unionByName(
-            worst.select(
-                F.lit(3).alias("rank"), F.concat("name", F.lit(" 유입 보강")).alias("label"),
-                F.col("total").alias("count"), F.col("risk_rate").alias("share"),
-            )
+    def advice(rank: int, df: DataFrame, suffix: str) -> DataFrame:
+        return df.select(
+            F.lit("priorities").alias("part"), F.lit(rank).alias("rank"),
+            F.concat("label", F.lit(suffix)).alias("label"), "count", "share", F.lit("").alias("detail"),
         )
-        .select(F.lit("priorities").alias("part"), "rank", "label", "count", "share", none.alias("detail"))
+
+    screens = part("blocked_pages", top_share(facts, "screen"), "label", "count", "share", F.lit(""))
+    causes = part("issue_causes", top_share(facts, "cause"), "label", "count", "share", F.lit(""))
+    best = source_performance(facts)
+    sources = part("sources", best, "name", "total", "risk_rate", F.col("top_page"))
+    worst = best.where("total >= 3").orderBy(F.desc("risk_rate"), F.desc("total"), F.asc("name")).limit(1).select(
+        F.col("name").alias("label"), F.col("total").alias("count"), F.col("risk_rate").alias("share")
     )
-    totals = rollup.agg(F.count(F.lit(1)).alias("n"), F.count_if("risky").alias("r")).select(
+    totals = facts.select(
         F.lit("totals").alias("part"), F.lit(1).alias("rank"), F.lit("sessions").alias("label"),
-        F.col("n").alias("count"), F.col("r").alias("share"), none.alias("detail"),
-    )
-    return screens.unionByName(causes).unionByName(sources).unionByName(todo).unionByName(totals)
+        F.col("n"), F.when(F.col("risky"), F.col("n")).otherwise(0).alias("r"), F.lit("").alias("detail"),
+    ).groupBy("part", "rank", "label", "detail").agg(F.sum("n").alias("count"), F.sum("r").alias("share"))
+    out = screens.unionByName(causes).unionByName(sources).unionByName(totals)
+    out = out.unionByName(advice(1, screens.where("rank = 1"), " 점검"))
+    out = out.unionByName(advice(2, causes.where("rank = 1"), " 대응"))
+    return out.unionByName(advice(3, worst, " 유입 보강"))
 
 
 def source_counts(rollup: DataFrame, k: int = 3) -> DataFrame:
     """Sessions per source, the top ``k`` (1 to 10)."""
     k = min(max(k, 1), 10)
-    counts = labelled_rollup(rollup).groupBy(F.col("source").alias("name")).agg(F.count(F.lit(1)).alias("count"))
+    counts = rollup_facts(rollup).groupBy(F.col("source").alias("name")).agg(F.sum("n").alias("count"))
     return counts.orderBy(F.desc("count"), F.asc("name")).limit(k)
 
 

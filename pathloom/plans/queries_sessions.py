@@ -167,14 +167,14 @@ def source_counts(spark, sf):
     SELECT label, "count", CAST(floor("count" * 100 / sum("count") OVER () + 0.5) AS BIGINT) AS share FROM c
     ORDER BY "count" DESC, label LIMIT 3""")
 def blocked_screens(spark, sf):
-    return rollups.top_share(rollups.labelled_rollup(rollup_of(spark, sf)), "screen")
+    return rollups.top_share(rollups.rollup_facts(rollup_of(spark, sf)), "screen")
 
 
 @query("issue_causes", f"""{LABELLED}, c AS (SELECT cause AS label, count(*) AS "count" FROM labelled WHERE risky GROUP BY 1)
     SELECT label, "count", CAST(floor("count" * 100 / sum("count") OVER () + 0.5) AS BIGINT) AS share FROM c
     ORDER BY "count" DESC, label LIMIT 3""")
 def issue_causes(spark, sf):
-    return rollups.top_share(rollups.labelled_rollup(rollup_of(spark, sf)), "cause")
+    return rollups.top_share(rollups.rollup_facts(rollup_of(spark, sf)), "cause")
 
 
 SOURCES_SQL = """
@@ -190,7 +190,7 @@ sources AS (SELECT source AS name, CAST(sum(n) AS BIGINT) AS total, CAST(sum(c)
 
 @query("source_performance", f"{LABELLED}, {SOURCES_SQL} SELECT * FROM sources")
 def source_performance(spark, sf):
-    return rollups.source_performance(rollups.labelled_rollup(rollup_of(spark, sf)))
+    return rollups.source_performance(rollups.rollup_facts(rollup_of(spark, sf)))
 
 
 @query("operator_summary", f"""{LABELLED}, {SOURCES_SQL},
