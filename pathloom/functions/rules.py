@@ -26,7 +26,8 @@ def first_match(subject: Column, rules: Rules, default: Column | str | None = No
 
 def lookup(key: Column, table: Mapping[str, str]) -> Column:
     """Value of a small fixed table, null when absent."""
-    return F.create_map(*(F.lit(x) for x in chain.from_iterable(table.items())))[key]
+    quoted = ("'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'" for text in chain.from_iterable(table.items()))
+    return F.expr(f"map({', '.join(quoted)})")[key]
 
 
 def lowered(value: Column) -> Column:

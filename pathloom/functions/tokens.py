@@ -6,10 +6,10 @@ and its context from one bucket. Null means the event leaves no token.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.functions.pages import AREAS, classify_area
+from pathloom.functions.pages import AREAS
 from pathloom.functions.rules import Rules, blank_to_null, first_match, lookup, lowered
 
 # Raw events that never reach a sequence, and events that only move the state.
@@ -19,6 +19,13 @@ CONTEXT_ONLY_EVENTS = [
     "subsection_enter", "subsection_exit", "subsection_revisit",
 ]
 
+ENTER_EVENTS = ["section_enter", "subsection_enter"]
+REVISIT_EVENTS = ["section_revisit", "subsection_revisit"]
+# Events that always leave a token, whose semantic depends on where they happen.
+FAMILY_EVENTS = [
+    "navigation", "session_end", "scroll_depth", "scroll_milestone", "subsection_dwell", "hover_dwell", "hover", "click",
+]
+
 # One semantic per event.
 EVENT_SEMANTICS = {
     "session_start": "START_SESSION",
@@ -134,69 +141,104 @@ def _text(p: Column, names: list[str]) -> Column:
     return F.coalesce(*(blank_to_null(p[n]) for n in names))
 
 
-def map_event_token(
-    event_type: Column,
-    payload: Column,
-    page: Column,
-    entered_page: Column,
-    section: Column,
-    subsection: Column,
-    compat: bool = False,
-) -> Column:
-    """Token of one event. ``page`` is the page carried so far, ``entered_page`` the event's own."""
-    p = payload
-    area = classify_area(section, subsection)
-    at = resolve_page(page, event_type, area)
+def _emits(kind: Column, area: Column, unknown: bool) -> Column:
+    """Whether an event leaves a token. Asked instead of "is the token null", which Spark would evaluate early."""
+    by_area = (kind.isin(ENTER_EVENTS) & area.isin(list(ENTERED))) | (kind.isin(REVISIT_EVENTS) & area.isin(list(REVISITED)))
+    out = kind.isin([*FAMILY_EVENTS, *EVENT_SEMANTICS]) | by_area
+    return out | ~kind.isin(CONTEXT_ONLY_EVENTS) if unknown else out
 
-    depth = _first(p, ["depth_pct", "milestone", "scroll_depth_pct", "max_scroll_depth"], compat)
-    review_depth = _first(p, ["depth_pct", "scroll_depth_pct"], compat)
-    dwell = _first(p, ["dwell_ms", "dwell_time_ms"], compat)
-    hover = p["hover_dwell_time_ms"]
-    revisits = p["revisit_count"] if compat else F.coalesce(p["revisit_count"], p["count"])
-    dwell_area = classify_area(section, F.coalesce(_text(p, ["subsection_id", "subsection"]), subsection))
-    hover_text = semantic_from_text(_text(p, ["hover_text", "hover_target"]))
-    click_text = semantic_from_text(_text(p, ["click_text", "click_target"]))
-    # the event's own section is the more direct signal, in this order
-    own_section = lowered(_text(p, ["section", "element_section"]))
-    own_area = first_match(own_section, [r for name in ("PRICE", "REVIEW", "SHIPPING", "SIZE") for r in AREAS if r[0] == name])
-    pointed = F.coalesce(lookup(own_area, POINTED), lookup(area, POINTED))
 
-    def family(*names: str) -> Column:
-        return event_type.isin(*names)
+def with_token(df: DataFrame, payload: str = "p", compat: bool = False, unknown: bool = False) -> DataFrame:
+    """Rows that leave a token, with ``token`` added; ``unknown`` keeps unmapped events as tokens too.
+
+    Needs event_type, the payload, the carried page, section and subsection, and ``own_page``.
 
+    What several families share (areas, text meanings, the page) becomes a column first, so that the
+    generated code evaluates it once per row.
+    """
+    p, kind = F.col(payload), F.col("event_type")
+    section, subsection = F.col("section"), F.col("subsection")
+    dwelt_in = F.coalesce(_text(p, ["subsection_id", "subsection"]), subsection)
+    # the event's own section is the more direct signal, in this order
+    own_rules = [rule for name in ("PRICE", "REVIEW", "SHIPPING", "SIZE") for rule in AREAS if rule[0] == name]
+    names = {
+        "__place": F.coalesce(blank_to_null(lowered(subsection)), lowered(section)),
+        "__dwelt": F.coalesce(blank_to_null(lowered(dwelt_in)), lowered(section)),
+        "__own": lowered(_text(p, ["section", "element_section"])),
+        "__hover": lowered(_text(p, ["hover_text", "hover_target"])),
+        "__click": lowered(_text(p, ["click_text", "click_target"])),
+    }
+    out = df.withColumns(names).withColumns(
+        {
+            "__area": first_match(F.col("__place"), AREAS, "UNKNOWN_AREA"),
+            "__dwell_area": first_match(F.col("__dwelt"), AREAS),
+            "__own_area": first_match(F.col("__own"), own_rules),
+            "__hover_sem": first_match(F.col("__hover"), TEXT_SEMANTICS),
+            "__click_sem": first_match(F.col("__click"), TEXT_SEMANTICS),
+        }
+    )
+    area = F.col("__area")
+    out = out.where(_emits(kind, area, unknown)).withColumns(
+        {
+            "__at": resolve_page(F.coalesce(F.col("page"), F.col("own_page")), kind, area),
+            "__pointed": F.coalesce(lookup(F.col("__own_area"), POINTED), lookup(area, POINTED)),
+        }
+    )
+    out = out.withColumn("__sem", _semantic(p, kind))
+    context = _context(p, kind, compat)
+    page = F.when(kind == "navigation", F.col("own_page")).otherwise(F.col("__at"))
+    temporary = [*names, "__area", "__dwell_area", "__own_area", "__hover_sem", "__click_sem", "__at", "__pointed", "__sem"]
+    token = make_token(page, F.col("__sem"), context)
+    if unknown:
+        raw = F.concat_ws("|", F.coalesce(F.col("page"), F.lit("UNKNOWN")), F.lit("UNKNOWN_EVENT"), kind)
+        token = F.coalesce(token, raw)
+    return out.withColumn("token", token).drop(*temporary)
+
+
+def _semantic(p: Column, kind: Column) -> Column:
+    """Semantic of the event's family, null where it leaves no token."""
+    area, at = F.col("__area"), F.col("__at")
     scrolled = F.coalesce(
         lookup(area, SCROLLED),
         F.when((at == "PRODUCT") | area.isin("PRODUCT_DETAIL", "IMAGE"), F.lit("SCROLL_PRODUCT")),
         lookup(at, SCROLLED_PAGE),
         F.lit("SCROLL_PAGE"),
     )
-    hovered_long = (
-        F.when((hover_text == "CHECK_SIZE") | (area == "SIZE"), F.lit("CHECK_SIZE"))
-        .otherwise(F.coalesce(hover_text, lookup(area, POINTED), F.lit("HOVER_ELEMENT")))
+    hover, click, pointed = F.col("__hover_sem"), F.col("__click_sem"), F.col("__pointed")
+    hovered_long = F.when((hover == "CHECK_SIZE") | (area == "SIZE"), F.lit("CHECK_SIZE")).otherwise(
+        F.coalesce(hover, lookup(area, POINTED), F.lit("HOVER_ELEMENT"))
     )
     left = F.when(F.coalesce(p["bounce_flag"], F.lit(False)), F.lit("EXIT_BOUNCE")).otherwise("EXIT_SESSION")
-
-    semantic = (
-        F.when(family("navigation"), F.concat(F.lit("ENTER_"), entered_page))
-        .when(family("session_end"), left)
-        .when(family("scroll_depth", "scroll_milestone"), scrolled)
-        .when(family("subsection_dwell"), F.coalesce(lookup(dwell_area, DWELT), F.lit("VIEW_SECTION")))
-        .when(family("section_enter", "subsection_enter"), lookup(area, ENTERED))
-        .when(family("section_revisit", "subsection_revisit"), lookup(area, REVISITED))
-        .when(family("hover_dwell"), hovered_long)
-        .when(family("hover"), F.coalesce(hover_text, pointed, F.lit("HOVER_ELEMENT")))
-        .when(family("click"), F.coalesce(click_text, pointed, F.lit("CLICK_ELEMENT")))
-        .otherwise(lookup(event_type, EVENT_SEMANTICS))
+    return (
+        F.when(kind == "navigation", F.concat(F.lit("ENTER_"), F.col("own_page")))
+        .when(kind == "session_end", left)
+        .when(kind.isin("scroll_depth", "scroll_milestone"), scrolled)
+        .when(kind == "subsection_dwell", F.coalesce(lookup(F.col("__dwell_area"), DWELT), F.lit("VIEW_SECTION")))
+        .when(kind.isin(ENTER_EVENTS), lookup(area, ENTERED))
+        .when(kind.isin(REVISIT_EVENTS), lookup(area, REVISITED))
+        .when(kind == "hover_dwell", hovered_long)
+        .when(kind == "hover", F.coalesce(hover, pointed, F.lit("HOVER_ELEMENT")))
+        .when(kind == "click", F.coalesce(click, pointed, F.lit("CLICK_ELEMENT")))
+        .otherwise(lookup(kind, EVENT_SEMANTICS))
     )
-    by_hover = F.when(semantic == "CHECK_SIZE", hover_bucket(hover)).otherwise(dwell_bucket(hover))
-    context = (
-        F.when(family("review_scroll", "review_area_scroll"), scroll_bucket(review_depth))
-        .when(family("scroll_depth", "scroll_milestone") & (semantic != "CHECK_SHIPPING"), scroll_bucket(depth))
-        .when(family("subsection_dwell"), dwell_bucket(dwell))
-        .when(family("section_revisit", "subsection_revisit"), revisit_bucket(revisits))
-        .when(family("hover_dwell"), by_hover)
+
+
+def _context(p: Column, kind: Column, compat: bool) -> Column:
+    """Bucket that goes with the event's family, null for none."""
+    sem = F.col("__sem")
+    depth = _first(p, ["depth_pct", "milestone", "scroll_depth_pct", "max_scroll_depth"], compat)
+    review_depth = _first(p, ["depth_pct", "scroll_depth_pct"], compat)
+    dwell = _first(p, ["dwell_ms", "dwell_time_ms"], compat)
+    hover = p["hover_dwell_time_ms"]
+    revisits = p["revisit_count"] if compat else F.coalesce(p["revisit_count"], p["count"])
+    return (
+        F.when(kind.isin("review_scroll", "review_area_scroll"), scroll_bucket(review_depth))
+        .when(kind.isin("scroll_depth", "scroll_milestone") & (sem != "CHECK_SHIPPING"), scroll_bucket(depth))
+        .when(kind == "subsection_dwell", dwell_bucket(dwell))
+        .when(kind.isin(REVISIT_EVENTS), revisit_bucket(revisits))
+        .when((kind == "hover_dwell") & (sem == "CHECK_SIZE"), hover_bucket(hover))
+        .when(kind == "hover_dwell", dwell_bucket(hover))
     )
-    return make_token(F.when(family("navigation"), entered_page).otherwise(at), semantic, context)
 
 
 # Fixed values: (event_type, action) of an external clickstream to a token.

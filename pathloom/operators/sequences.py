@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions import tokens as tk
-from pathloom.functions.pages import infer_page
+from pathloom.functions.pages import with_page
 from pathloom.functions.rules import blank_to_null
 from pathloom.operators.ordered import Keyed, known, lag, lead, ordered, prev_known, running_sum
 from pathloom.operators.sessions import ORDER, SESSION
@@ -53,11 +53,10 @@ def track_place(k: Keyed, payload: str = "p", preset: str = "compat") -> Keyed:
     p, kind = F.col(payload), F.col("event_type")
     sub = F.coalesce(blank_to_null(p["subsection_id"]), blank_to_null(p["subsection"]))
     sec = blank_to_null(p["section"])
-    own = infer_page(F.col("pathname"), F.col("page_url"), preset)
-    k = k.cols(__own_page=own, __sec=sec, __sub=sub)
+    k = k._with(with_page(k.df.withColumns({"__sec": sec, "__sub": sub}), "own_page", preset))
     sec, sub = F.col("__sec"), F.col("__sub")
     k = k.add(
-        page=known(F.when(F.col("__own_page") != "UNKNOWN", F.col("__own_page"))),
+        page=known(F.when(F.col("own_page") != "UNKNOWN", F.col("own_page"))),
         __in_sec=known(F.when(kind == "section_enter", sec)),
         __in_sub=known(F.when(kind == "subsection_enter", sub)),
     )
@@ -70,18 +69,6 @@ def track_place(k: Keyed, payload: str = "p", preset: str = "compat") -> Keyed:
     return k.cols(section=blank_to_null(F.col("section")), subsection=blank_to_null(F.col("subsection")))
 
 
-def add_tokens(k: Keyed, payload: str = "p", compat: bool = False, unknown: bool = False) -> Keyed:
-    """Add ``token``, null where the event leaves none; ``unknown`` keeps unmapped events as tokens."""
-    token = tk.map_event_token(
-        F.col("event_type"), F.col(payload), F.coalesce(F.col("page"), F.col("__own_page")), F.col("__own_page"),
-        F.col("section"), F.col("subsection"), compat,
-    )
-    if unknown:
-        raw = F.concat_ws("|", F.coalesce(F.col("page"), F.lit("UNKNOWN")), F.lit("UNKNOWN_EVENT"), F.col("event_type"))
-        token = F.coalesce(token, F.when(~F.col("event_type").isin(tk.CONTEXT_ONLY_EVENTS), raw))
-    return k.cols(token=token)
-
-
 def semantic_tokens(
     events: DataFrame, keys: Sequence[str] = SESSION, payload: str = "p", preset: str = "compat",
     compat: bool = False, unknown: bool = False, bounded: bool = False,
@@ -90,8 +77,8 @@ def semantic_tokens(
 
     def build(k: Keyed) -> DataFrame:
         k = k.where(~F.col("event_type").isin(tk.IGNORED_EVENTS))
-        k = add_tokens(track_place(k, payload, preset), payload, compat, unknown)
-        return k.where(F.col("token").isNotNull()).df.drop("__own_page", "__sec", "__sub", "__in_sec", "__in_sub")
+        k = track_place(k, payload, preset)
+        return tk.with_token(k.df, payload, compat, unknown).drop("own_page", "__sec", "__sub", "__in_sec", "__in_sub")
 
     return ordered(events, keys, ORDER, build, bounded)
 
@@ -208,7 +195,8 @@ def semantic_sequences(
 
     def build(k: Keyed) -> DataFrame:
         k = k.where(~F.col("event_type").isin(tk.IGNORED_EVENTS))
-        k = add_tokens(track_place(k, payload, preset), payload, compat, unknown).where(F.col("token").isNotNull())
+        k = track_place(k, payload, preset)
+        k = k._with(tk.with_token(k.df, payload, compat, unknown))
         carried = [c for c in k.df.columns if c in {*keys, *ORDER, "token", "__chunk"}]
         return sequence_steps(k._with(k.df.select(*carried)), dedupe, collapse, min_run, episodes)
 

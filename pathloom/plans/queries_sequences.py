@@ -292,8 +292,9 @@ def first_events(spark, sf):
     {_case("lower(page_url)", pages.EXTERNAL_PAGES, "'HOME'")} AS external FROM clicks""")
 def page_types(spark, sf):
     path, url = F.col("pathname"), F.col("page_url")
-    return Clicks(spark, sf).df.select(
-        "event_id", pages.infer_page(path, url).alias("compat"), pages.infer_page(path, url, "fixed").alias("fixed"),
+    df = pages.with_page(pages.with_page(Clicks(spark, sf).df, "compat"), "fixed", "fixed")
+    return df.select(
+        "event_id", "compat", "fixed",
         pages.simple_page(path, url).alias("simple"), pages.external_page(url).alias("external"),
     )
 
