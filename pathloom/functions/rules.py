@@ -15,8 +15,21 @@ from pyspark.sql import functions as F
 Rules = Sequence[tuple[str, str]]
 
 
-def first_match(subject: Column, rules: Rules, default: Column | str | None = None) -> Column:
-    """Value of the first rule whose pattern occurs in ``subject``."""
+def quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def first_match(subject: Column | str, rules: Rules, default: Column | str | None = None) -> Column:
+    """Value of the first rule whose pattern occurs in ``subject``.
+
+    A column named by text becomes one SQL expression; that spares a call per rule while planning.
+    """
+    if isinstance(subject, str):
+        fallback = "NULL" if default is None else quoted(default) if isinstance(default, str) else None
+        whens = " ".join(f"WHEN {subject} RLIKE {quoted(pattern)} THEN {quoted(value)}" for value, pattern in rules)
+        if fallback is not None:
+            return F.expr(f"CASE {whens} ELSE {fallback} END")
+        return F.coalesce(F.expr(f"CASE {whens} END"), default)
     out = None
     for value, pattern in rules:
         hit = subject.rlike(pattern)
@@ -24,10 +37,10 @@ def first_match(subject: Column, rules: Rules, default: Column | str | None = No
     return out.otherwise(default if isinstance(default, Column) else F.lit(default))
 
 
-def lookup(key: Column, table: Mapping[str, str]) -> Column:
+def lookup(key: Column | str, table: Mapping[str, str]) -> Column:
     """Value of a small fixed table, null when absent."""
-    quoted = ("'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'" for text in chain.from_iterable(table.items()))
-    return F.expr(f"map({', '.join(quoted)})")[key]
+    pairs = ", ".join(map(quoted, chain.from_iterable(table.items())))
+    return F.expr(f"map({pairs})[{key}]") if isinstance(key, str) else F.expr(f"map({pairs})")[key]
 
 
 def lowered(value: Column) -> Column:

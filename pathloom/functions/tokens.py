@@ -170,18 +170,18 @@ def with_token(df: DataFrame, payload: str = "p", compat: bool = False, unknown:
     }
     out = df.withColumns(names).withColumns(
         {
-            "__area": first_match(F.col("__place"), AREAS, "UNKNOWN_AREA"),
-            "__dwell_area": first_match(F.col("__dwelt"), AREAS),
-            "__own_area": first_match(F.col("__own"), own_rules),
-            "__hover_sem": first_match(F.col("__hover"), TEXT_SEMANTICS),
-            "__click_sem": first_match(F.col("__click"), TEXT_SEMANTICS),
+            "__area": first_match("__place", AREAS, "UNKNOWN_AREA"),
+            "__dwell_area": first_match("__dwelt", AREAS),
+            "__own_area": first_match("__own", own_rules),
+            "__hover_sem": first_match("__hover", TEXT_SEMANTICS),
+            "__click_sem": first_match("__click", TEXT_SEMANTICS),
         }
     )
     area = F.col("__area")
     out = out.where(_emits(kind, area, unknown)).withColumns(
         {
             "__at": resolve_page(F.coalesce(F.col("page"), F.col("own_page")), kind, area),
-            "__pointed": F.coalesce(lookup(F.col("__own_area"), POINTED), lookup(area, POINTED)),
+            "__pointed": F.coalesce(lookup("__own_area", POINTED), lookup("__area", POINTED)),
         }
     )
     out = out.withColumn("__sem", _semantic(p, kind))
@@ -199,23 +199,23 @@ def _semantic(p: Column, kind: Column) -> Column:
     """Semantic of the event's family, null where it leaves no token."""
     area, at = F.col("__area"), F.col("__at")
     scrolled = F.coalesce(
-        lookup(area, SCROLLED),
+        lookup("__area", SCROLLED),
         F.when((at == "PRODUCT") | area.isin("PRODUCT_DETAIL", "IMAGE"), F.lit("SCROLL_PRODUCT")),
-        lookup(at, SCROLLED_PAGE),
+        lookup("__at", SCROLLED_PAGE),
         F.lit("SCROLL_PAGE"),
     )
     hover, click, pointed = F.col("__hover_sem"), F.col("__click_sem"), F.col("__pointed")
     hovered_long = F.when((hover == "CHECK_SIZE") | (area == "SIZE"), F.lit("CHECK_SIZE")).otherwise(
-        F.coalesce(hover, lookup(area, POINTED), F.lit("HOVER_ELEMENT"))
+        F.coalesce(hover, lookup("__area", POINTED), F.lit("HOVER_ELEMENT"))
     )
     left = F.when(F.coalesce(p["bounce_flag"], F.lit(False)), F.lit("EXIT_BOUNCE")).otherwise("EXIT_SESSION")
     return (
         F.when(kind == "navigation", F.concat(F.lit("ENTER_"), F.col("own_page")))
         .when(kind == "session_end", left)
         .when(kind.isin("scroll_depth", "scroll_milestone"), scrolled)
-        .when(kind == "subsection_dwell", F.coalesce(lookup(F.col("__dwell_area"), DWELT), F.lit("VIEW_SECTION")))
-        .when(kind.isin(ENTER_EVENTS), lookup(area, ENTERED))
-        .when(kind.isin(REVISIT_EVENTS), lookup(area, REVISITED))
+        .when(kind == "subsection_dwell", F.coalesce(lookup("__dwell_area", DWELT), F.lit("VIEW_SECTION")))
+        .when(kind.isin(ENTER_EVENTS), lookup("__area", ENTERED))
+        .when(kind.isin(REVISIT_EVENTS), lookup("__area", REVISITED))
         .when(kind == "hover_dwell", hovered_long)
         .when(kind == "hover", F.coalesce(hover, pointed, F.lit("HOVER_ELEMENT")))
         .when(kind == "click", F.coalesce(click, pointed, F.lit("CLICK_ELEMENT")))
