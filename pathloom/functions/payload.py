@@ -88,5 +88,6 @@ def parse_payload(data: Column) -> Column:
 def scroll_position(p: Column, earlier: Column | None = None) -> Column:
     """First numeric scroll position of four names, not below 0, else the earlier one."""
     found = F.coalesce(p["last_viewport_scrollY"], p["scrollY"], p["position"], p["y"])
-    now = F.greatest(F.lit(0), found.cast("long"))
+    # greatest() would turn "no position" into 0
+    now = F.when(found.isNotNull(), F.greatest(F.lit(0), found.cast("long")))
     return F.coalesce(now, earlier) if earlier is not None else now
