@@ -55,6 +55,43 @@ def _unit(m: np.ndarray, eps: float) -> np.ndarray:
     return m / (np.linalg.norm(m, axis=1, keepdims=True) + eps)
 
 
+def _nearest(ids: np.ndarray, unit: np.ndarray, eps: float):
+    """(vector, best so far) to the better of it and the most similar row of ``unit``."""
+
+    def run(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
+        for vector, best in batches:
+            sims = _unit(np.stack(vector.to_numpy()).astype(float), eps) @ unit.T
+            at = sims.argmax(axis=1)
+            top = sims[np.arange(len(at)), at]
+            so_far = best["similarity"].to_numpy(dtype=float)
+            better = ~(so_far >= top)
+            cluster = np.where(better, ids[at], best["cluster"].fillna(-1)).astype("int32")
+            yield pd.DataFrame({"cluster": cluster, "similarity": np.where(better, top, so_far)})
+
+    return F.pandas_udf(run, "cluster int, similarity double")
+
+
+def _all_distances(unit: np.ndarray, eps: float):
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for vector in batches:
+            yield pd.Series(list(1.0 - _unit(np.stack(vector.to_numpy()).astype(float), eps) @ unit.T))
+
+    return F.pandas_udf(run, "array<double>")
+
+
+def _own(ids: np.ndarray, matrix: np.ndarray):
+    """(vector, cluster, distance so far) to the distance to the cluster's row, where ``matrix`` has it."""
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for vector, cluster, so_far in batches:
+            x, c = np.stack(vector.to_numpy()).astype(float), cluster.to_numpy()
+            at = np.minimum(np.searchsorted(ids, c), len(ids) - 1)
+            d = np.linalg.norm(x - matrix[at], axis=1)
+            yield pd.Series(np.where(ids[at] == c, d, so_far.to_numpy(dtype=float)))
+
+    return F.pandas_udf(run, "double")
+
+
 def assign_nearest(vectors: DataFrame, table: DataFrame, eps: float = EPS, cells: int = CELLS) -> DataFrame:
     """Add ``cluster`` and ``similarity`` of the most similar centroid by cosine; ties go to the lowest id.
 
@@ -62,22 +99,7 @@ def assign_nearest(vectors: DataFrame, table: DataFrame, eps: float = EPS, cells
     """
     out = vectors.withColumn("__best", F.lit(None).cast("struct<cluster:int,similarity:double>"))
     for ids, matrix in blocks(table, cells):
-        unit = _unit(matrix, eps)
-
-        def nearest(batches: Iterator[tuple[pd.Series, pd.DataFrame]], ids=ids, unit=unit) -> Iterator[pd.DataFrame]:
-            for vector, best in batches:
-                sims = _unit(np.stack(vector.to_numpy()).astype(float), eps) @ unit.T
-                at = sims.argmax(axis=1)
-                top = sims[np.arange(len(at)), at]
-                so_far = best["similarity"].to_numpy(dtype=float)
-                better = ~(so_far >= top)
-                yield pd.DataFrame({
-                    "cluster": np.where(better, ids[at], best["cluster"].fillna(-1)).astype("int32"),
-                    "similarity": np.where(better, top, so_far),
-                })
-
-        udf = F.pandas_udf(nearest, "cluster int, similarity double", F.PandasUDFType.SCALAR_ITER)
-        out = out.withColumn("__best", udf("vector", "__best"))
+        out = out.withColumn("__best", _nearest(ids, _unit(matrix, eps), eps)("vector", "__best"))
     return out.select(*vectors.columns, "__best.cluster", "__best.similarity")
 
 
@@ -85,14 +107,7 @@ def distances(vectors: DataFrame, table: DataFrame, eps: float = EPS) -> DataFra
     """Add ``distances``, a map from every cluster to 1 − cosine similarity (4 decimals)."""
     maps = []
     for ids, matrix in blocks(table):
-        unit = _unit(matrix, eps)
-
-        def all_of(batches: Iterator[pd.Series], unit=unit) -> Iterator[pd.Series]:
-            for vector in batches:
-                sims = _unit(np.stack(vector.to_numpy()).astype(float), eps) @ unit.T
-                yield pd.Series(list(1.0 - sims))
-
-        udf = F.pandas_udf(all_of, "array<double>", F.PandasUDFType.SCALAR_ITER)
+        udf = _all_distances(_unit(matrix, eps), eps)
         keys = F.array(*(F.lit(int(i)) for i in ids))
         maps.append(F.map_from_arrays(keys, F.transform(udf("vector"), lambda d: F.round(d, 4))))
     return vectors.withColumn("distances", F.map_concat(*maps) if len(maps) > 1 else maps[0])
@@ -108,18 +123,7 @@ def own_distance(vectors: DataFrame, table: DataFrame) -> DataFrame:
     """Add ``own_distance``, Euclidean, to the centroid of the vector's own cluster."""
     out = vectors.withColumn("own_distance", F.lit(None).cast("double"))
     for ids, matrix in blocks(table):
-
-        def own(batches, ids=ids, matrix=matrix):
-            for vector, cluster, so_far in batches:
-                x = np.stack(vector.to_numpy()).astype(float)
-                at = np.searchsorted(ids, cluster.to_numpy())
-                safe = np.minimum(at, len(ids) - 1)
-                mine = ids[safe] == cluster.to_numpy()
-                d = np.linalg.norm(x - matrix[safe], axis=1)
-                yield pd.Series(np.where(mine, d, so_far.to_numpy(dtype=float)))
-
-        udf = F.pandas_udf(own, "double", F.PandasUDFType.SCALAR_ITER)
-        out = out.withColumn("own_distance", udf("vector", "cluster", "own_distance"))
+        out = out.withColumn("own_distance", _own(ids, matrix)("vector", "cluster", "own_distance"))
     return out
 
 
@@ -273,5 +277,5 @@ def score_sequences(
                 pooled = (states * m[:, :, None]).sum(axis=1) / np.maximum(m.sum(axis=1, keepdims=True), 1.0)
             yield pd.Series(list(pooled.astype(float)))
 
-    udf = F.pandas_udf(run, "array<double>", F.PandasUDFType.SCALAR_ITER)
+    udf = F.pandas_udf(run, "array<double>")
     return encoded.select(*keys, udf("input_ids", "attention_mask").alias("vector"))
