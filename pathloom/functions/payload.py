@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,6 +87,12 @@ def parse_payload(data: Column) -> Column:
     )
 
 
+def slim(events: DataFrame, columns: Sequence[str], fields: Sequence[str], payload: str = "p") -> DataFrame:
+    """Only the named columns and payload fields, so that a shuffle carries no more than what is read later."""
+    kept = [c for c in dict.fromkeys(columns) if c in events.columns]
+    return events.select(*kept, F.struct(*(F.col(payload)[f].alias(f) for f in fields)).alias(payload))
+
+
 def scroll_position(p: Column, earlier: Column | None = None) -> Column:
     """First numeric scroll position of four names, not below 0, else the earlier one."""
     found = F.coalesce(p["last_viewport_scrollY"], p["scrollY"], p["position"], p["y"])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pathloom.functions.pages import external_page
 from pathloom.functions.rules import blank_to_null, lookup
 from pathloom.functions.tokens import external_token
-from pathloom.operators.ordered import Keyed, lag, numbered, ordered, running_sum
+from pathloom.operators.ordered import Keyed, lag, numbered, ordered, prev_known, running_sum
 from pathloom.operators.vocab import hash_of
 
 KEY = ["session_id_hash"]
@@ -34,8 +34,6 @@ def external_sequences(
         if by_url:
             # the previous mapped event, whatever lies between
             k = k.cols(__mapped=F.when(F.col("__is"), F.col("token")))
-            from pathloom.operators.ordered import prev_known
-
             k = k.add(__before=prev_known(F.col("__mapped")))
             k = k.cols(__is=F.col("__is") & ~F.col("token").eqNullSafe(F.col("__before")))
         return k.add(__pos=running_sum(F.col("__is").cast("long"))).df

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions import urls
 from pathloom.functions.pages import scroll_bucket_px
-from pathloom.functions.payload import scroll_position
+from pathloom.functions.payload import scroll_position, slim
 from pathloom.functions.rules import blank_to_null
 from pathloom.operators.ordered import Keyed, known, ordered
 from pathloom.operators.sessions import SESSION
@@ -23,6 +23,11 @@ PLACE_EVENTS = [
 ]
 
 
+EXIT_FIELDS = [
+    "page_url", "exit_page", "section", "element_section", "subsection_id", "subsection", "last_viewport_scrollY", "scrollY", "position", "y",
+]
+
+
 def between_days(at: Column, first: str, last: str) -> Column:
     """From the start of the first day to the last second of the last day."""
     return at.between(F.lit(first).cast("timestamp_ntz"), F.lit(f"{last} 23:59:59").cast("timestamp_ntz"))
@@ -39,7 +44,8 @@ def exit_places(
     """
     p = F.col(payload)
     own = urls.clean_fragment_url(F.coalesce(blank_to_null(F.col("page_url")), blank_to_null(p["page_url"]), F.lit("")))
-    rows = events.where(F.col("event_type").isin([*EXIT_EVENTS, *PLACE_EVENTS])).withColumn("__own", blank_to_null(own))
+    rows = events.where(F.col("event_type").isin([*EXIT_EVENTS, *PLACE_EVENTS]))
+    rows = slim(rows, [*keys, *order, "event_id", "event_type", "page_url"], EXIT_FIELDS, payload).withColumn("__own", blank_to_null(own))
     site = F.regexp_extract("__own", r"^([^:/?#]+://[^/?#]*)", 1)
     page = F.when(p["exit_page"].startswith("/"), p["exit_page"])
     tail = F.coalesce(page, F.substring(F.col("__own"), F.length(site) + 1, F.length("__own")))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from pathloom.functions import tokens as tk
 from pathloom.functions.pages import with_page
-from pathloom.functions.rules import blank_to_null
+from pathloom.functions.payload import slim
+from pathloom.functions.rules import blank_to_null, lookup
 from pathloom.operators.ordered import Keyed, known, lag, lead, ordered, prev_known, running_sum
 from pathloom.operators.sessions import ORDER, SESSION
 
@@ -26,6 +27,14 @@ def in_parts(long: DataFrame, keys: Sequence[str], value: str, pos: str = "pos",
     return long.groupBy(*keys, part).agg(F.transform(listed, lambda x: x["v"]).alias("values"))
 
 
+PLACE_COLUMNS = ["event_type", "pathname", "page_url", "page_type"]
+TOKEN_FIELDS = [
+    "section", "element_section", "subsection_id", "subsection", "hover_text", "hover_target", "click_text", "click_target",
+    "depth_pct", "milestone", "scroll_depth_pct", "max_scroll_depth", "dwell_ms", "dwell_time_ms", "hover_dwell_time_ms",
+    "revisit_count", "count", "bounce_flag",
+]
+
+
 # --- raw events to tokens --------------------------------------------------------------------------
 
 # Runs of these are noise and shrink to one token.
@@ -78,9 +87,9 @@ def semantic_tokens(
     def build(k: Keyed) -> DataFrame:
         k = k.where(~F.col("event_type").isin(tk.IGNORED_EVENTS))
         k = track_place(k, payload, preset)
-        return tk.with_token(k.df, payload, compat, unknown).drop("own_page", "__sec", "__sub", "__in_sec", "__in_sub")
+        return tk.with_token(k.df, payload, compat, unknown).drop("own_page", "__sec", "__sub", "__in_sec", "__in_sub", payload)
 
-    return ordered(events, keys, ORDER, build, bounded)
+    return ordered(slim(events, [*keys, *ORDER, *PLACE_COLUMNS], TOKEN_FIELDS, payload), keys, ORDER, build, bounded)
 
 
 # --- compression -----------------------------------------------------------------------------------
@@ -163,8 +172,6 @@ def mark_episodes(k: Keyed, token: str = "token", window: int = EPISODE_WINDOW)
     k = k.cols(__turn=turn)
     k = k.add(by=by, __before=prev_known(F.col("__turn")))
     marked = (F.col("__turn") == "again") & (F.col("__before") == "new")
-    from pathloom.functions.rules import lookup
-
     marker = F.when(marked, F.concat(page, F.lit("|"), lookup(F.col("__intent"), EPISODES), F.lit("|STRONG")))
     k = k.cols(marker=marker)
     return k._with(k.df.drop("__intent", "__epoch", "__at", "__last", "__turn", "__before"))
@@ -200,7 +207,7 @@ def semantic_sequences(
         carried = [c for c in k.df.columns if c in {*keys, *ORDER, "token", "__chunk"}]
         return sequence_steps(k._with(k.df.select(*carried)), dedupe, collapse, min_run, episodes)
 
-    return ordered(events, keys, ORDER, build, bounded)
+    return ordered(slim(events, [*keys, *ORDER, *PLACE_COLUMNS], TOKEN_FIELDS, payload), keys, ORDER, build, bounded)
 
 
 def sequence_steps(k: Keyed, dedupe: bool = True, collapse: bool = True, min_run: int = 3, episodes: bool = True) -> DataFrame:
@@ -269,8 +276,6 @@ def remap_tokens(long: DataFrame, known_tokens: DataFrame, mapping: dict[str, st
 
     Returns the sequences and, per key, how many tokens were dropped.
     """
-    from pathloom.functions.rules import lookup
-
     special = F.col("token").isin("[PAD]", "[CLS]", "[UNK]", "[MASK]")
     names = known_tokens.select("token").distinct().withColumn("__known", F.lit(True))
     mapped = F.when(F.col("__known"), F.col("token")).otherwise(F.nullif(lookup(F.col("token"), mapping), F.lit("[UNK]")))

@@ -6,10 +6,10 @@ column is one SQL text that Spark and the checking SQL both read, so inputs cann
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.functions.payload import parse_payload
+from pathloom.functions.payload import PAYLOAD
 from pathloom.operators.ordered import hot_keys
 from pathloom.operators.sessions import sessionize
 
@@ -106,9 +106,8 @@ def payload_sql(name: str) -> str:
     return PAYLOAD_SQL[name]
 
 
-def raw_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events in the envelope, payload as JSON text, no session yet."""
-    e = table(spark, sf_dir, "events").select(
+def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(
         "event_id",
         "user_id",
         F.col("ts").alias("received_at"),
@@ -117,23 +116,43 @@ def raw_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
         "value",
         F.from_json("props", "k INT")["k"].alias("k"),
     )
-    e = e.select("*", *(F.expr(s).alias(f"__{n}") for n, s in ENVELOPE_SQL.items()))
+
+
+def enveloped(base: DataFrame) -> DataFrame:
+    """Add the derived envelope columns."""
+    e = base.select("*", *(F.expr(s).alias(f"__{n}") for n, s in ENVELOPE_SQL.items()))
     e = e.drop("event_type").withColumnsRenamed({f"__{n}": n for n in ENVELOPE_SQL})
+    return e.withColumn("page_url", F.concat("origin", "pathname", "url_tail")).drop("url_tail")
+
+
+def raw_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in the envelope, payload as JSON text, no session yet."""
     payload = F.to_json(F.struct(*(F.expr(payload_sql(n)).alias(n) for n in PAYLOAD_SQL)))
-    return e.withColumns(
-        {"page_url": F.concat("origin", "pathname", "url_tail"), "data": payload}
-    ).drop("url_tail")
+    return enveloped(_base(spark, sf_dir)).withColumn("data", payload)
+
+
+def _payload() -> Column:
+    """The payload as typed columns, absent fields null."""
+    fields = (
+        (F.expr(payload_sql(f.name)) if f.name in PAYLOAD_SQL else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in PAYLOAD.fields
+    )
+    return F.struct(*fields)
 
 
 class Clicks:
-    """Sessionized clicks, and whether no user exceeds the rows one task may order."""
+    """Sessionized clicks, and whether no user exceeds the rows one task may order.
+
+    Sessions are cut on the narrow table; what a query needs of the envelope and payload is derived
+    after the shuffle.
+    """
 
     KEYS = ["user_id", "session_id"]
 
     def __init__(self, spark: SparkSession, sf_dir: str, ttl_ms: int = DAY_MS):
-        raw = raw_clicks(spark, sf_dir)
         self.bounded = hot_keys(table(spark, sf_dir, "events"), ["user_id"]) is None
-        self.df = sessionize(raw, ttl_ms=ttl_ms, bounded=self.bounded).withColumn("p", parse_payload(F.col("data")))
+        sessions = sessionize(_base(spark, sf_dir), ttl_ms=ttl_ms, bounded=self.bounded)
+        self.df = enveloped(sessions).withColumn("p", _payload())
 
 
 def clicks_sql(ttl_ms: int = DAY_MS) -> str:

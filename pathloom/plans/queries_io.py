@@ -152,3 +152,11 @@ def site_snapshots(spark, sf):
 def latest_artifact(spark, sf):
     runs = table(spark, sf, "orders").select(F.concat(F.lit("run-"), F.col("o_orderkey").cast("string")).alias("path"), F.col("o_orderkey").alias("modificationTime"))
     return sinks.latest(runs).select("path")
+
+
+@query("parse_payload", f"""{CLICKS} SELECT event_id, p_depth_pct AS depth_pct, p_section AS section, p_click_text AS click_text, p_bounce_flag AS bounce_flag FROM clicks""")
+def parse_payload_(spark, sf):
+    from pathloom.functions.payload import parse_payload
+
+    e = raw_clicks(spark, sf).withColumn("p", parse_payload(F.col("data")))
+    return e.select("event_id", *(F.col(f"p.{n}").alias(n) for n in ("depth_pct", "section", "click_text", "bounce_flag")))

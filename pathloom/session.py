@@ -54,6 +54,11 @@ def work_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder, so that later steps neither recompute nor change them."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write the rows to the shared folder and read them back.
+
+    Later steps neither recompute nor change them, a lost executor costs no more than its own tasks,
+    and the table's real size decides about broadcasts. (``checkpoint()`` would compute the rows twice.)
+    """
+    path = work_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
