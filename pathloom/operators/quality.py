@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -186,7 +186,7 @@ def auc_metrics(rows: DataFrame) -> DataFrame:
     by_score = rows.groupBy((-F.col("y_prob")).alias("__low")).agg(
         F.count_if(F.col("y_true") == 1).alias("p"), F.count_if(F.col("y_true") == 0).alias("q"), F.lit(0).alias("__all")
     )
-    run = ordered(by_score, ["__all"], ["__low"], lambda k: k.add(tp=running_sum(F.col("p")), fp=running_sum(F.col("q"))).df)
+    run = ordered(cut(by_score), ["__all"], ["__low"], lambda k: k.add(tp=running_sum(F.col("p")), fp=running_sum(F.col("q"))).df)
     # a negative loses to the positives above it and ties with those beside it
     won = F.sum(F.col("q") * (F.col("tp") - F.col("p") / 2))
     total = F.sum("p") * F.sum("q")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pathloom.operators.ordered import numbered
 from pathloom.operators.sessions import SESSION
+from pathloom.session import cut
 
 # The order of the special tokens differs between tools, so it is a parameter.
 LAYOUTS = {
@@ -31,7 +32,8 @@ def build_vocab(long: DataFrame, layout: str = "default", min_freq: int = 1, max
     """(token, id, freq): special tokens first, then by frequency, equal ones by name."""
     special = special_ids(layout)
     counts = token_frequencies(long).where((F.col("freq") >= min_freq) & ~F.col("token").isin(list(special)))
-    ranked = numbered(counts.withColumn("__rare", -F.col("freq")), ["__rare", "token"], "__n")
+    # counting and numbering both read the counts, the sequences are read once
+    ranked = numbered(cut(counts.withColumn("__rare", -F.col("freq"))), ["__rare", "token"], "__n")
     words = ranked.select("token", (F.col("__n") + len(special) - 1).cast("int").alias("id"), "freq")
     if max_size is not None:
         words = words.where(F.col("id") < max_size)

@@ -74,9 +74,6 @@ def feature_sink(spark, sf):
     return back.select("session_id", F.col("click_count").cast("long").alias("click_count"), F.col("is_churned").cast("int").alias("is_churned"), "utm_source")
 
 
-_TEXT = """WITH d AS (SELECT doc_id, regexp_split_to_array(trim(lang || '  ' || source || ' x'), '\\s+') AS w FROM documents)"""
-
-
 def _texts(spark, sf):
     d = table(spark, sf, "documents")
     return d.select(
