@@ -1,7 +1,7 @@
 """BPE encoding and decoding (6) by a trie of distinct words.
 
 The merges of a word's prefix are settled by one fact: the last token of its encoding. So the distinct words of
-a batch go into a trie, and a depth-first walk carries the last token of every prefix from node to node; a
+a batch form a trie, and a depth-first walk carries the last token of every prefix from node to node; a
 prefix that many words share is encoded once. A token may end a prefix if it is a suffix of it and if it
 stands next to the last token of what remains without a merge across the border; exactly one does.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import json
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -20,11 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pathloom.llm.common import small_batches
+from pathloom.llm.common import Recent, small_batches
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Pieces remembered per Python worker; the memory starts afresh beyond, nothing else changes.
-REMEMBERED = 400_000
 NEVER = 1 << 60
 
 
@@ -72,7 +71,11 @@ class Vocabulary:
         for b, i in sorted(self.ids.items(), key=lambda x: self.parts.get(x[1], (0, 0, -1))[2]):
             if len(b) == 1 or i in self.parts and self._forms(*self.parts[i]):
                 self.usable[b] = i
-        self.suffixes = {b[k:] for b in self.usable for k in range(len(b))}
+        # every part of a token, with the tokens that end it, longest first; a part's own parts are parts too
+        self.tails: dict[bytes, tuple[tuple[int, int], ...]] = {b"": ()}
+        for tail in sorted({b[i:j] for b in self.usable for i in range(len(b)) for j in range(i + 1, len(b) + 1)}, key=len):
+            own = ((len(tail), self.usable[tail]),) if tail in self.usable else ()
+            self.tails[tail] = own + self.tails[tail[1:]]
 
     def edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """What stands at the token's left (0) or right (1) edge while it forms: (part, rank at which it is merged away)."""
@@ -111,49 +114,42 @@ class Vocabulary:
             known = self._fits[key] = not self._crossed(left, right, NEVER)
         return known
 
-    def ending(self, path: bytearray, last: list[int]) -> int:
-        """The last token of the encoding of ``path``, given those of its prefixes."""
-        n, found = len(path), []
-        for size in range(1, n + 1):
-            tail = bytes(path[n - size :])
-            if tail not in self.suffixes:
-                break
-            if tail in self.usable:
-                found.append((size, self.usable[tail]))
-        for size, token in reversed(found):
-            if size == n or self.fits(last[n - size], token):
-                return token
-        raise AssertionError("no token ends the prefix")
-
     def encode_words(self, words: Iterable[bytes]) -> dict[bytes, list[int]]:
-        """Encodings of distinct words, each shared prefix worked out once."""
-        children: list[dict[int, int]] = [{}]
-        ends: dict[int, bytes] = {}
-        for word in words:
-            node = 0
-            for b in word:
-                nxt = children[node].get(b)
-                if nxt is None:
-                    nxt = children[node][b] = len(children)
-                    children.append({})
-                node = nxt
-            ends[node] = word
-        out = {}
-        path, last = bytearray(), [-1]  # last[k]: last token of the first k bytes
-        todo = [(0, 0, 0)]
-        while todo:
-            node, depth, byte = todo.pop()
-            if depth:
-                del path[depth - 1 :], last[depth:]
-                path.append(byte)
-                last.append(self.ending(path, last))
-            if node in ends:
-                ids, k = [], depth
-                while k:
-                    ids.append(last[k])
-                    k -= len(self.bytes_of[last[k]])
-                out[ends[node]] = ids[::-1]
-            todo.extend((child, depth + 1, b) for b, child in children[node].items())
+        """Encodings of distinct words, each shared prefix worked out once.
+
+        Sorted words are the leaves of their trie in depth-first order, so only the branch to the current word is
+        held: per prefix its last token, and the length of its longest suffix that lies within some token.
+        """
+        out, tails, fits, size_of = {}, self.tails, self._fits, self.bytes_of
+        before, last, reach = b"", [-1], [0]
+        for word in sorted(words):
+            same, most = 0, min(len(before), len(word))
+            while same < most and before[same] == word[same]:
+                same += 1
+            del last[same + 1 :], reach[same + 1 :]
+            for n in range(same + 1, len(word) + 1):
+                size = reach[-1] + 1
+                found = tails.get(word[n - size : n])
+                while found is None:
+                    size -= 1
+                    found = tails.get(word[n - size : n])
+                reach.append(size)
+                for k, token in found:
+                    if k == n:
+                        break
+                    ok = fits.get((last[n - k], token))
+                    if ok is None:
+                        ok = self.fits(last[n - k], token)
+                    if ok:
+                        break
+                else:
+                    raise AssertionError("no token ends the prefix")
+                last.append(token)
+            before, ids, k = word, [], len(word)
+            while k:
+                ids.append(last[k])
+                k -= len(size_of[last[k]])
+            out[word] = ids[::-1]
         return out
 
 
@@ -162,6 +158,12 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One per Python worker, which serves many tasks."""
+    return Encoder(path)
+
+
 _DOUBLE = re.compile(r"\s ")
 _BORDER = re.compile(r"(?<=\S) ")
 
@@ -174,15 +176,23 @@ def pieces(text: str) -> list[str]:
     return _BORDER.split(text) if _DOUBLE.search(text) else text.split(" ")
 
 
+# pieces of these characters are cut by the vocabulary's own pattern; others by the tokenizers library
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+_PLAIN = re.compile(rf"[ -~\n{_LETTERS}]*")
+_PLAIN_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
+
+
 class Encoder:
-    """Encodes batches of texts; remembers pieces across batches."""
+    """Encodes batches of texts; remembers pieces and words across batches."""
 
     def __init__(self, path: str):
         self.v = vocabulary(path)
-        self.known: dict[str, bytes] = {}
+        self.known, self.of_word = Recent(), Recent()
 
     def words(self, piece: str) -> list[tuple[str, int | None]]:
         """Words of a piece as the vocabulary's pattern cuts them, and special tokens with their ids."""
+        if _PLAIN.fullmatch(piece) and not any(t in piece for t in self.v.special):
+            return [(w, None) for w in _PLAIN_WORDS.findall(piece)]
         out = []
         for part in self.v.split_special.split(piece) if self.v.split_special else [piece]:
             if part in self.v.special:
@@ -192,12 +202,12 @@ class Encoder:
         return out
 
     def learn(self, new: set[str]) -> None:
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
         cut = {p: self.words(p) for p in new}
-        ids = self.v.encode_words({w.encode() for ws in cut.values() for w, special in ws if special is None})
+        found = self.v.encode_words(self.of_word.missing({w.encode() for ws in cut.values() for w, special in ws if special is None}))
+        of_word = self.of_word.now
+        of_word.update((w, array("i", ids).tobytes()) for w, ids in found.items())
         for p, ws in cut.items():
-            self.known[p] = np.array([i for w, s in ws for i in ([s] if s is not None else ids[w.encode()])], "<i4").tobytes()
+            self.known.now[p] = b"".join([array("i", [s]).tobytes() if s is not None else of_word[w.encode()] for w, s in ws])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out = []
@@ -206,13 +216,10 @@ class Encoder:
             for text in texts[start : start + 200]:
                 first, *rest = pieces(text)
                 cut.append([first, *(f" {p}" for p in rest)])
-            wanted = {p for ps in cut for p in ps}
-            new = wanted - self.known.keys()
+            new = self.known.missing({p for ps in cut for p in ps})
             if new:
-                if len(self.known) + len(new) > REMEMBERED:
-                    new = wanted
                 self.learn(new)
-            get = self.known.__getitem__
+            get = self.known.now.__getitem__
             out += [np.frombuffer(b"".join(map(get, ps)), "<i4") for ps in cut]
         return out
 
@@ -227,9 +234,8 @@ def encode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", tex
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
         for batch in batches:
-            ids = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
+            ids = encoder(path).encode([t or "" for t in batch.column(1).to_pylist()])
             ends = np.cumsum([0, *map(len, ids)]).astype("int32")
             values = np.concatenate(ids) if ids else np.zeros(0, "int32")
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int32()))

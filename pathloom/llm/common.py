@@ -21,6 +21,22 @@ SPACES = " \t\n\v\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+class Recent:
+    """What a Python worker remembers, in two generations: entries that are still in use move to the new one, the rest goes."""
+
+    def __init__(self, most: int = 150_000):
+        self.most, self.now, self.before = most, {}, {}
+
+    def missing(self, wanted: set) -> set:
+        """Bring the wanted entries to ``now``; those that are not known at all come back."""
+        if len(self.now) > self.most:
+            self.before, self.now = self.now, {}
+        new = wanted - self.now.keys()
+        again = new & self.before.keys()
+        self.now.update((k, self.before[k]) for k in again)
+        return new - again
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,7 +1,7 @@
 """Packing (7): documents into sequences of equal length and about equal cost.
 
-A document of n tokens costs ``linear * n + quadratic * n²`` (attention looks inside a document only). In groups of a
-few million tokens, documents go in descending order to the cheapest sequence that has room for them; a group has as
+A document of n tokens costs ``linear * n + quadratic * n²`` (attention looks inside a document only). In groups of about two
+million tokens, documents go in descending order to the cheapest sequence that has room for them; a group has as
 few sequences as its tokens need, and a document that fits nowhere is cut. Full groups are packed in the task that
 reads their documents. What remains of every task meets in a shuffle and is packed the same way, so padding does
 not depend on how finely the input is split.
@@ -9,7 +9,10 @@ not depend on how finely the input is split.
 
 from __future__ import annotations
 
+import functools
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,50 +23,77 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pathloom.llm.common import small_batches
+from pathloom.llm.bpe import byte_alphabet
+from pathloom.llm.common import Recent, small_batches
 from pathloom.session import cut
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 4_096
 #: Tokens that are packed together; bounds a task's memory.
-GROUP_TOKENS = 1 << 22
+GROUP_TOKENS = 1 << 21
 END_ID = 2
 LINEAR, QUADRATIC = 1.0, 1 / 1_024
-REMEMBERED = 400_000
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
+_PLAIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+
 class Words:
-    """Ids by white-space separated pieces, each distinct piece encoded once by the tokenizers library.
+    """Ids by white-space separated pieces, each distinct piece encoded once.
 
     The vocabulary drops white space and neither joins nor looks across it, so pieces are independent of each other.
+    Pieces of ASCII and Latin-1 letters are cut by the vocabulary's pattern here and their words go to the library's
+    model; all other pieces go through the library whole.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[bytes, bytes] = {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.stand_in = str.maketrans({b: c for c, b in byte_alphabet().items()})
+        self.known, self.of_word = Recent(), Recent()
+
+    def learn(self, new: set[bytes]) -> None:
+        cut, others = {}, []
+        for p in new:
+            piece = p.decode()
+            if _PLAIN.fullmatch(piece) and not any(t in piece for t in self.special):
+                cut[p] = _PLAIN_WORDS.findall(piece.lower())
+            else:
+                others.append(p)
+        tokenize = self.tokenizer.model.tokenize
+        words = self.of_word.missing({w for ws in cut.values() for w in ws})
+        of_word = self.of_word.now
+        for w in words:
+            letters = w if w.isascii() else w.encode().decode("latin-1").translate(self.stand_in)
+            of_word[w] = array("I", [t.id for t in tokenize(letters)]).tobytes()
+        for p, ws in cut.items():
+            self.known.now[p] = b"".join([of_word[w] for w in ws])
+        for p in others:
+            self.known.now[p] = array("I", self.tokenizer.encode(p.decode(), add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of every text."""
         out = []
         for start in range(0, len(texts), 200):
             cuts = [t.encode().split() for t in texts[start : start + 200]]
-            wanted = {p for ps in cuts for p in ps}
-            new = wanted - self.known.keys()
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-                new = wanted
+            new = self.known.missing({p for ps in cuts for p in ps})
             if new:
-                pieces = list(new)
-                found = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
-                self.known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(pieces, found))
-            get = self.known.__getitem__
+                self.learn(new)
+            get = self.known.now.__getitem__
             out += [b"".join(map(get, ps)) for ps in cuts]
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def words(path: str) -> Words:
+    """One per Python worker, which serves many tasks."""
+    return Words(path)
+
+
 def assign(lengths: list[int], capacity: int, linear: float, quadratic: float) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """((document, start, length, sequence, offset) …, number of sequences) for one group."""
     pieces, sequences, rests = [], 0, []
@@ -138,13 +168,11 @@ def pack(
     columns = [doc_id, *(c.split()[0] for c in PIECE.split(", "))]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(path)
-
         def documents():
             for batch in batches:
                 who, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
                 for i in range(0, len(texts), 200):
-                    yield from zip(who[i : i + 200], (x + end for x in words.encode(texts[i : i + 200])))
+                    yield from zip(who[i : i + 200], (x + end for x in words(path).encode(texts[i : i + 200])))
 
         for out, rest in flow(documents(), 0):
             full = [*out, *((r[0], None, None, None, None, None, None) for r in rest)]
