@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pathloom.llm import bpe, packing, quality
+from pyspark.sql import functions as F
+
+from pathloom.llm import bpe, packing, pii, quality
 from pathloom.llm.common import table
 from pathloom.llm.registry import query
 
@@ -20,3 +22,15 @@ def bpe_trie(spark, sf_dir):
 @query("op7_cost_packing")
 def cost_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op2_pii_crf")
+def pii_crf(spark, sf_dir):
+    found = pii.detect(table(spark, sf_dir, "documents"))
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    base = F.filter("found", lambda s: s["base"])
+    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS[:4]]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
