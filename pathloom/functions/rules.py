@@ -1,7 +1,7 @@
 """Ordered rules as data: the first rule that matches names the value.
 
-A rule set is a list of ``(value, pattern)``; patterns are regular expressions over a lower-cased
-column. Sites swap rule sets, the operators stay the same.
+A rule set is a list of ``(value, words)``: the words that name the value, as regular expressions over a lower-cased
+column, or one such expression. Sites swap rule sets, the operators stay the same.
 """
 
 from __future__ import annotations
@@ -12,7 +12,11 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-Rules = Sequence[tuple[str, str]]
+Rules = Sequence[tuple[str, "str | Sequence[str]"]]
+
+
+def pattern_of(words: str | Sequence[str]) -> str:
+    return words if isinstance(words, str) else "|".join(words)
 
 
 def quoted(text: str) -> str:
@@ -26,13 +30,13 @@ def first_match(subject: Column | str, rules: Rules, default: Column | str | Non
     """
     if isinstance(subject, str):
         fallback = "NULL" if default is None else quoted(default) if isinstance(default, str) else None
-        whens = " ".join(f"WHEN {subject} RLIKE {quoted(pattern)} THEN {quoted(value)}" for value, pattern in rules)
+        whens = " ".join(f"WHEN {subject} RLIKE {quoted(pattern_of(pattern))} THEN {quoted(value)}" for value, pattern in rules)
         if fallback is not None:
             return F.expr(f"CASE {whens} ELSE {fallback} END")
         return F.coalesce(F.expr(f"CASE {whens} END"), default)
     out = None
     for value, pattern in rules:
-        hit = subject.rlike(pattern)
+        hit = subject.rlike(pattern_of(pattern))
         out = F.when(hit, F.lit(value)) if out is None else out.when(hit, F.lit(value))
     return out.otherwise(default if isinstance(default, Column) else F.lit(default))
 

@@ -69,12 +69,12 @@ SCROLLED_PAGE = {"HOME": "SCROLL_HOME", "CATEGORY": "SCROLL_CATEGORY"}
 
 # Semantics by click or hover text.
 TEXT_SEMANTICS: Rules = [
-    ("VIEW_REVIEW", "리뷰|후기|review"),
-    ("CHECK_SHIPPING", "배송|delivery|shipping"),
-    ("CHECK_SIZE", "사이즈|size"),
-    ("CHECK_PRICE", "가격|price|할인|쿠폰|discount|coupon"),
-    ("ADD_CART", "장바구니|cart|bag|basket|담기"),
-    ("CLICK_BUY", "구매|결제|buy|checkout|purchase"),
+    ("VIEW_REVIEW", ["리뷰", "후기", "review"]),
+    ("CHECK_SHIPPING", ["배송", "delivery", "shipping"]),
+    ("CHECK_SIZE", ["사이즈", "size"]),
+    ("CHECK_PRICE", ["가격", "price", "할인", "쿠폰", "discount", "coupon"]),
+    ("ADD_CART", ["장바구니", "cart", "bag", "basket", "담기"]),
+    ("CLICK_BUY", ["구매", "결제", "buy", "checkout", "purchase"]),
 ]
 
 # The only semantics that carry a context.

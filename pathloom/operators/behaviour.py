@@ -304,10 +304,10 @@ def rage_clicks(
         recent.append([int(ts), float(x), float(y)])
         if len(recent) < times:
             return {"recent": recent, **({} if fired is None else {"fired": fired})}, []
-        return {"fired": int(ts)}, [(int(ts), int(event_id), float(x), float(y), len(recent))]
+        return {"fired": int(ts)}, [(int(ts), event_id, float(x), float(y), len(recent))]
 
     out = T.StructType([
-        T.StructField("timestamp", _LONG), T.StructField("event_id", _LONG), T.StructField("x", _DOUBLE),
+        T.StructField("timestamp", _LONG), clicks.schema["event_id"], T.StructField("x", _DOUBLE),
         T.StructField("y", _DOUBLE), T.StructField("click_count", _LONG),
     ])
     return fold(clicks, keys, ORDER, [*ORDER, "x", "y"], step, out, bounded)
@@ -325,11 +325,11 @@ def thin_by_delta(
         if base is None and first_is_base:
             return {"base": float(v)}, []
         if abs(v - (-1 if base is None else base)) >= delta:
-            return {"base": float(v)}, [(int(ts), int(event_id), float(v))]
+            return {"base": float(v)}, [(int(ts), event_id, float(v))]
         return state, []
 
     out = T.StructType([
-        T.StructField("timestamp", _LONG), T.StructField("event_id", _LONG), T.StructField(value, _DOUBLE),
+        T.StructField("timestamp", _LONG), values.schema["event_id"], T.StructField(value, _DOUBLE),
     ])
     rows = values.where(F.col(value).isNotNull())
     return fold(rows, keys, ORDER, [*ORDER, value], step, out, bounded)
@@ -347,11 +347,11 @@ def throttled_speed(
         dt, dy = ts - state["t"], abs(at - state["y"])
         if dt < every_ms:
             return state, []
-        moved = [(int(ts), int(event_id), round(float(dy / dt), 3), float(dy), int(dt))] if dy >= min_px else []
+        moved = [(int(ts), event_id, round(float(dy / dt), 3), float(dy), int(dt))] if dy >= min_px else []
         return {"t": int(ts), "y": float(at)}, moved
 
     out = T.StructType([
-        T.StructField("timestamp", _LONG), T.StructField("event_id", _LONG), T.StructField("speed", _DOUBLE),
+        T.StructField("timestamp", _LONG), scrolls.schema["event_id"], T.StructField("speed", _DOUBLE),
         T.StructField("distance_px", _DOUBLE), T.StructField("duration_ms", _LONG),
     ])
     return fold(scrolls.where(F.col(y).isNotNull()), keys, ORDER, [*ORDER, y], step, out, bounded)
@@ -366,10 +366,10 @@ def suppress_repeats(
         ts, event_id, path = row
         if state and state["path"] == path and ts - state["ts"] < within_ms:
             return state, []
-        return {"path": path, "ts": int(ts)}, [(int(ts), int(event_id), path)]
+        return {"path": path, "ts": int(ts)}, [(int(ts), event_id, path)]
 
     out = T.StructType([
-        T.StructField("timestamp", _LONG), T.StructField("event_id", _LONG), T.StructField("pathname", _STRING),
+        T.StructField("timestamp", _LONG), navigations.schema["event_id"], T.StructField("pathname", _STRING),
     ])
     return fold(navigations, keys, ORDER, [*ORDER, "pathname"], step, out, bounded)
 

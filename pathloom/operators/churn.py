@@ -12,25 +12,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def projection(features: DataFrame, label: str = "is_churned", drop: Sequence[str] = ("session_id",), max_categories: int = 1_000) -> list:
+def projection(features: DataFrame, label: str = "is_churned", drop: Sequence[str] = ("session_id",), hashed: Sequence[str] = ()) -> list:
     """Stages that turn a feature row into one vector: numbers as they are, texts one-hot.
 
-    A text column with more than ``max_categories`` values is hashed instead, so that no value list
-    has to fit the driver. Values unseen in training become zeros.
+    Text columns named in ``hashed`` are hashed instead; name those whose value lists would not fit the driver.
+    Values unseen in training become zeros.
     """
     texts = [f.name for f in features.schema.fields if f.dataType.typeName() == "string" and f.name not in (*drop, label)]
-    numbers = [f.name for f in features.schema.fields if f.name not in (*drop, label, *texts)]
-    sizes = features.agg(*(F.approx_count_distinct(c).alias(c) for c in texts)).first() if texts else {}
-    small = [c for c in texts if sizes[c] <= max_categories]
-    large = [c for c in texts if sizes[c] > max_categories]
+    inputs = [f.name for f in features.schema.fields if f.name not in (*drop, label, *texts)]
+    listed = [c for c in texts if c not in hashed]
     stages: list = []
-    inputs = list(numbers)
-    if small:
-        stages.append(StringIndexer(inputCols=small, outputCols=[f"{c}__i" for c in small], handleInvalid="keep"))
-        stages.append(OneHotEncoder(inputCols=[f"{c}__i" for c in small], outputCols=[f"{c}__v" for c in small], dropLast=False))
-        inputs += [f"{c}__v" for c in small]
-    if large:
-        stages.append(FeatureHasher(inputCols=large, outputCol="__hashed", numFeatures=1 << 14))
+    if listed:
+        stages.append(StringIndexer(inputCols=listed, outputCols=[f"{c}__i" for c in listed], handleInvalid="keep"))
+        stages.append(OneHotEncoder(inputCols=[f"{c}__i" for c in listed], outputCols=[f"{c}__v" for c in listed], dropLast=False))
+        inputs += [f"{c}__v" for c in listed]
+    if hashed:
+        stages.append(FeatureHasher(inputCols=list(hashed), outputCol="__hashed", numFeatures=1 << 14))
         inputs.append("__hashed")
     return [*stages, VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep")]
 

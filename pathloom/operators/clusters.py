@@ -7,6 +7,7 @@ are compared block by block, which gives the same nearest one.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions.vectors import EPS, confidence
+from pathloom.session import cut
 
 CELLS = 4_000_000  # numbers of one centroid block, 32 MB
 
@@ -206,8 +208,11 @@ def w2v_vectors(long: DataFrame, keys: Sequence[str], size: int = 64, window: in
 
     from pathloom.operators.sequences import in_parts
 
-    sentences = in_parts(long, keys, "token").select("values")
-    model = Word2Vec(vectorSize=size, windowSize=window, minCount=1, seed=seed, inputCol="values", outputCol="v").fit(sentences)
+    sentences = cut(in_parts(long, keys, "token").select("values"))
+    # one training task per about a million tokens; each trains on its own share and the results are averaged
+    tasks = max(1, math.ceil((sentences.agg(F.sum(F.size("values"))).first()[0] or 0) / 1_000_000))
+    trained = Word2Vec(vectorSize=size, windowSize=window, minCount=1, seed=seed, numPartitions=tasks, inputCol="values", outputCol="v")
+    model = trained.fit(sentences)
     words = model.getVectors().select(F.col("word").alias("token"), F.col("vector").alias("__v"))
     counts = long.groupBy(*keys, "token").agg(F.count(F.lit(1)).cast("double").alias("__n"))
     means = counts.join(words, on="token").groupBy(*keys).agg(Summarizer.mean(F.col("__v"), F.col("__n")).alias("__m"))
@@ -235,7 +240,7 @@ def cluster_sessions(
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
 
-    rows = vectors.withColumn("__f", array_to_vector("vector"))
+    rows = cut(vectors).withColumn("__f", array_to_vector("vector"))
     judge = ClusteringEvaluator(featuresCol="__f", predictionCol="cluster")
     best, top = None, -2.0
     for k in ks:

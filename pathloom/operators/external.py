@@ -18,12 +18,13 @@ START = "HOME|START_SESSION|NONE"
 
 
 def external_sequences(
-    events: DataFrame, order: list[str], min_len: int = 3, max_len: int = 50, by_url: bool = False, prefix: str = "ext_",
-    bounded: bool = False,
+    events: DataFrame, order: list[str], min_len: int = 3, max_len: int | None = None, by_url: bool = False, prefix: str = "ext_",
+    id_chars: int | None = None, bounded: bool = False,
 ) -> DataFrame:
-    """One row per session: tokens after a start token, too short sessions left out, the first ``max_len`` kept.
+    """One row per session: tokens after a start token, too short sessions left out, all tokens or the first ``max_len`` kept.
 
-    ``by_url`` tells page views apart by URL, drops repeats, and counts the start token into ``max_len``.
+    ``by_url`` tells page views apart by URL, drops repeats, and counts the start token into ``max_len``. ``id_chars``
+    shortens session ids, which may make two sessions one name; by default they stay whole.
     """
     page = external_page(F.col("page_url")) if by_url else None
 
@@ -39,15 +40,18 @@ def external_sequences(
         return k.add(__pos=running_sum(F.col("__is").cast("long"))).df
 
     rows = ordered(events, KEY, order, build, bounded)
-    room = max_len - 1 if by_url else max_len
-    kept = F.collect_list(F.when(F.col("__is") & (F.col("__pos") <= room), F.struct("__pos", "token")))
+    wanted = F.col("__is")
+    if max_len is not None:
+        wanted = wanted & (F.col("__pos") <= (max_len - 1 if by_url else max_len))
+    kept = F.collect_list(F.when(wanted, F.struct("__pos", "token")))
+    name = F.col(KEY[0]) if id_chars is None else F.substring(KEY[0], 1, id_chars)
     out = rows.groupBy(*KEY).agg(
         F.count_if("__is").alias("__n"), F.min(TIME).alias("start_timestamp"), F.max(TIME).alias("end_timestamp"),
         F.transform(F.array_sort(kept), lambda x: x["token"]).alias("__tokens"),
     )
     tokens = F.concat(F.array(F.lit(START)), F.col("__tokens"))
     return out.where(F.col("__n") >= min_len).select(
-        F.concat(F.lit(prefix), F.substring(KEY[0], 1, 16)).alias("session_id"),
+        F.concat(F.lit(prefix), name).alias("session_id"),
         "start_timestamp", "end_timestamp", F.size(tokens).alias("length"), tokens.alias("sequence"),
     )
 

@@ -27,6 +27,8 @@ from pyspark.sql import types as T
 from pathloom.session import cut, hot_rows
 
 CHUNK = "__chunk"
+SEQUENCE = "__sequence"
+EVENT_ORDER = ["timestamp", "event_id"]
 
 
 @dataclass(frozen=True)
@@ -218,6 +220,17 @@ def ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int)
     return cut(df.repartitionByRange(n, *keys, *order).withColumn(CHUNK, F.spark_partition_id()))
 
 
+def sequenced(df: DataFrame, order: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Events of one time follow the client's own numbering, where there is one, before their id.
+
+    A number that is missing or no number counts as 0.
+    """
+    if list(order) != EVENT_ORDER or "event_seq" not in df.columns:
+        return df, list(order)
+    number = F.coalesce(F.col("event_seq").cast("string").try_cast("double"), F.lit(0.0))
+    return df.withColumn(SEQUENCE, number), [order[0], SEQUENCE, order[1]]
+
+
 def ordered(
     df: DataFrame,
     keys: Sequence[str],
@@ -226,16 +239,17 @@ def ordered(
     bounded: bool = False,
 ) -> DataFrame:
     """Run ``build`` over the rows; ``bounded`` says the caller has already checked the keys."""
+    df, order = sequenced(df, order)
     hot = None if bounded else hot_keys(df, keys)
     if hot is None:
-        return build(Keyed(df, keys, order))
+        return build(Keyed(df, keys, order)).drop(SEQUENCE)
     names = hot.select(*keys)
     same = [df[k].eqNullSafe(names[k]) for k in keys]
     rows = hot.agg(F.sum("__n")).first()[0]
     chunks = ranges(df.join(names, on=same, how="left_semi"), keys, order, rows)
     few = build(Keyed(df.join(names, on=same, how="left_anti"), keys, order))
     many = build(Keyed(chunks, keys, order, chunked=True))
-    return few.unionByName(many.drop(CHUNK))
+    return few.unionByName(many.drop(CHUNK)).drop(SEQUENCE)
 
 
 def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
@@ -268,13 +282,22 @@ def fold(
     into ranges; each range starts from the state its predecessor ended in, and only ranges whose
     start state changed are walked again, until none changes.
     """
-    df = df.select(*keys, *order, *(v for v in values if v not in [*keys, *order]))
+    df, sorted_by = sequenced(df, order)
+    df = df.select(*keys, *sorted_by, *(v for v in values if v not in [*keys, *sorted_by]))
+    order = sorted_by
+    # keys walk as text: a null among numbers would turn them all into floats
+    own_type = {k: df.schema[k].dataType for k in keys}
+    df = df.withColumns({k: F.col(k).cast("string") for k in keys})
     key_type = [df.schema[k] for k in keys]
     result = T.StructType([*key_type, *out.fields])
+
+    def typed(rows: DataFrame) -> DataFrame:
+        return rows.withColumns({k: F.col(k).cast(t) for k, t in own_type.items()})
+
     hot = None if bounded else hot_keys(df, keys)
     if hot is None:
         rows = df.repartition(*keys).sortWithinPartitions(*keys, *order)
-        return rows.mapInPandas(_walker(keys, values, step, result.names), result)
+        return typed(rows.mapInPandas(_walker(keys, values, step, result.names), result))
 
     names = hot.select(*keys)
     same = [df[k].eqNullSafe(names[k]) for k in keys]
@@ -305,7 +328,7 @@ def fold(
     hot_out = _started(chunks, entry, group, order).mapInPandas(
         _walker(keys, values, step, result.names, (CHUNK,)), result
     )
-    return cold.mapInPandas(_walker(keys, values, step, result.names), result).unionByName(hot_out)
+    return typed(cold.mapInPandas(_walker(keys, values, step, result.names), result).unionByName(hot_out))
 
 
 def _started(chunks: DataFrame, entry: DataFrame, group: list[str], order: Sequence[str]) -> DataFrame:

@@ -168,15 +168,14 @@ def operator_summary(rollup: DataFrame) -> DataFrame:
 
 
 def source_counts(rollup: DataFrame, k: int = 3) -> DataFrame:
-    """Sessions per source, the top ``k`` (1 to 10)."""
-    k = min(max(k, 1), 10)
+    """Sessions per source, the top ``k``."""
     counts = rollup_facts(rollup).groupBy(F.col("source").alias("name")).agg(F.sum("n").alias("count"))
     return counts.orderBy(F.desc("count"), F.asc("name")).limit(k)
 
 
 def recent_sessions(rollup: DataFrame, k: int = 8) -> DataFrame:
-    """Sessions by last activity, the newest ``k`` (1 to 50)."""
-    return rollup.orderBy(F.desc("last_at"), F.asc("session_id")).limit(min(max(k, 1), 50))
+    """Sessions by last activity, the newest ``k``."""
+    return rollup.orderBy(F.desc("last_at"), F.asc("session_id")).limit(k)
 
 
 def event_type_counts(events: DataFrame) -> DataFrame:
@@ -207,10 +206,10 @@ def kpi_stats(events: DataFrame, now: Column) -> DataFrame:
 
 
 def scan_events(
-    events: DataFrame, limit: int = 100, event_type: str | None = None, session_id: str | None = None,
+    events: DataFrame, limit: int | None = None, event_type: str | None = None, session_id: str | None = None,
     since: Column | None = None, origin: str | None = None,
 ) -> DataFrame:
-    """Newest events first, at most 1000; ``since`` is exclusive."""
+    """Newest events first, all or the first ``limit``; ``since`` is exclusive."""
     from pathloom.functions.urls import origin_filter
 
     out = events.where(origin_filter(F.col("origin"), origin)) if origin else events
@@ -220,4 +219,5 @@ def scan_events(
         out = out.where(F.col("session_id") == session_id)
     if since is not None:
         out = out.where(F.col("received_at") > since)
-    return out.orderBy(F.desc("received_at"), F.asc("event_id")).limit(min(limit or 100, 1000))
+    out = out.orderBy(F.desc("received_at"), F.asc("event_id"))
+    return out if limit is None else out.limit(limit)

@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.operators.ordered import Keyed, lag, ordered, running_max, running_sum, known
+from pathloom.operators.ordered import EVENT_ORDER, Keyed, known, lag, ordered, running_max, running_sum, sequenced
 
 SESSION = ["session_id"]
-ORDER = ["timestamp", "event_id"]
+ORDER = EVENT_ORDER
 TTL_MS = 30 * 60 * 1000
 
 
@@ -62,14 +62,10 @@ def inter_event_gap(events: DataFrame, keys: Sequence[str] = SESSION, order: Seq
     return ordered(events, keys, order, build, bounded)
 
 
-def numeric_or_zero(value: Column) -> Column:
-    """Sort key of a possibly textual number; anything else sorts as 0."""
-    return F.coalesce(value.cast("string").try_cast("double"), F.lit(0.0))
-
-
 def first_touch(events: DataFrame, columns: Sequence[str], keys: Sequence[str] = SESSION) -> DataFrame:
     """Attribution of the first event in event time, one row per session; arrival order does not matter."""
-    rank = F.struct(*ORDER)
+    events, order = sequenced(events, ORDER)
+    rank = F.struct(*order)
     return events.groupBy(*keys).agg(*(F.min_by(c, rank).alias(c) for c in columns))
 
 

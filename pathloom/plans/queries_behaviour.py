@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pathloom.operators import behaviour as b
+from pathloom.operators import behaviour as b, sessions as ss
 from pathloom.plans.fixtures import Clicks, clicks_sql, table
 from pathloom.plans.registry import query
 
@@ -283,6 +283,66 @@ def suppress_repeats(spark, sf):
     return b.suppress_repeats(c.df, KEYS, 8 * _HOUR, c.bounded).select("event_id")
 
 
+# the same folds on the envelope's own string ids, at their default thresholds: hours count as milliseconds
+_QUICK = "SELECT session_id, user_id, event_type, \"timestamp\" // 40000 AS t, concat('evt-', md5(CAST(event_id AS VARCHAR))) AS id, pathname AS p, p_x AS x, value AS y, p_depth_pct AS v FROM clicks"
+
+
+def _quick(spark, sf):
+    c = Clicks(spark, sf)
+    return c, c.df.drop("event_seq").withColumns({
+        "timestamp": F.expr("timestamp div 40000"), "event_id": F.concat(F.lit("evt-"), F.md5(F.col("event_id").cast("string"))),
+        "x": F.col("p.x"), "y": F.col("value"),
+    })
+
+
+@query("suppress_repeats_defaults", f"""{RCLICKS}, q AS ({_QUICK}), r0 AS (SELECT session_id, id, t, p, row_number() OVER (PARTITION BY session_id ORDER BY t, id) AS rn FROM q),
+    r AS (SELECT session_id, rn, id, t AS bt, p AS bp, true AS kept FROM r0 WHERE rn = 1
+      UNION ALL SELECT n.session_id, n.rn, n.id, CASE WHEN n.p = r.bp AND n.t - r.bt < 100 THEN r.bt ELSE n.t END,
+        n.p, NOT (n.p = r.bp AND n.t - r.bt < 100) FROM r JOIN r0 n ON n.session_id = r.session_id AND n.rn = r.rn + 1)
+    SELECT id AS event_id FROM r WHERE kept""")
+def suppress_repeats_defaults(spark, sf):
+    c, rows = _quick(spark, sf)
+    return b.suppress_repeats(rows, KEYS, bounded=c.bounded).select("event_id")
+
+
+@query("throttled_speed_defaults", f"""{RCLICKS}, q AS ({_QUICK}), r0 AS (SELECT session_id, id, t, y, row_number() OVER (PARTITION BY session_id ORDER BY t, id) AS rn FROM q),
+    r AS (SELECT session_id, rn, id, t AS bt, y AS yb, CAST(NULL AS DOUBLE) AS dy, CAST(NULL AS BIGINT) AS dt FROM r0 WHERE rn = 1
+      UNION ALL SELECT n.session_id, n.rn, n.id, CASE WHEN n.t - r.bt >= 1000 THEN n.t ELSE r.bt END, CASE WHEN n.t - r.bt >= 1000 THEN n.y ELSE r.yb END,
+        CASE WHEN n.t - r.bt >= 1000 THEN abs(n.y - r.yb) END, CASE WHEN n.t - r.bt >= 1000 THEN n.t - r.bt END
+        FROM r JOIN r0 n ON n.session_id = r.session_id AND n.rn = r.rn + 1)
+    SELECT id AS event_id, round(dy, 6) AS distance_px, dt AS duration_ms FROM r WHERE dy >= 50""")
+def throttled_speed_defaults(spark, sf):
+    c, rows = _quick(spark, sf)
+    out = b.throttled_speed(rows, "y", KEYS, bounded=c.bounded)
+    return out.select("event_id", F.round("distance_px", 6).alias("distance_px"), "duration_ms")
+
+
+@query("thin_by_delta_defaults", f"""{RCLICKS}, q AS ({_QUICK}), r0 AS (SELECT session_id, id, v, row_number() OVER (PARTITION BY session_id ORDER BY t, id) AS rn FROM q WHERE v IS NOT NULL),
+    r AS (SELECT session_id, rn, id, v AS base, false AS kept FROM r0 WHERE rn = 1
+      UNION ALL SELECT n.session_id, n.rn, n.id, CASE WHEN abs(n.v - r.base) >= 5 THEN n.v ELSE r.base END,
+        abs(n.v - r.base) >= 5 FROM r JOIN r0 n ON n.session_id = r.session_id AND n.rn = r.rn + 1)
+    SELECT id AS event_id, base AS depth FROM r WHERE kept""")
+def thin_by_delta_defaults(spark, sf):
+    c, rows = _quick(spark, sf)
+    return b.thin_by_delta(rows.withColumn("depth", F.col("p.depth_pct")), "depth", KEYS, bounded=c.bounded).select("event_id", "depth")
+
+
+# events of one hour share a time; the client's numbering, a text, orders them, then the id
+_TIES = {
+    "t": "epoch_ms - epoch_ms % 3600000",
+    "seq": "CASE WHEN event_id % 50 = 0 THEN 'x' WHEN event_id % 41 = 0 THEN NULL ELSE CAST(event_id % 97 AS VARCHAR(9)) END",
+    "id": "md5(CAST(event_id AS VARCHAR(20)))",
+}
+
+
+@query("event_order", f"""WITH e AS (SELECT user_id, {", ".join(f"{q} AS {n}" for n, q in _TIES.items())} FROM (SELECT *, epoch_us(ts) // 1000 AS epoch_ms FROM events))
+    SELECT user_id, id AS event_id, row_number() OVER (PARTITION BY user_id ORDER BY t, coalesce(try_cast(seq AS DOUBLE), 0), id) AS event_seq FROM e""")
+def event_order(spark, sf):
+    raw = table(spark, sf, "events").withColumn("epoch_ms", F.unix_millis(F.col("ts").cast("timestamp")))
+    e = raw.select("user_id", *(F.expr(q).alias(n) for n, q in _TIES.items())).withColumnsRenamed({"t": "timestamp", "seq": "event_seq", "id": "event_id"})
+    return ss.event_seq(e, ["user_id"]).select("user_id", "event_id", "event_seq")
+
+
 INTENTS = {"add_to_cart": ["purchase_click", "session_end"], "search_use": ["product_click", "tab_exit", "inactivity"]}
 
 

@@ -133,16 +133,16 @@ def calinski_harabasz(spark, sf):
     return q.calinski_harabasz(vectors_of(spark, sf, True, True)).select(F.round("calinski_harabasz", 2).alias("calinski_harabasz"))
 
 
-@query("tf_vectors", f"""{SEQ}, {vocab_sql()}, c AS (SELECT session_id, id AS token_id, count(*) AS c FROM seq JOIN voc USING (token) WHERE id < 40 GROUP BY 1, 2)
+@query("tf_vectors", f"""{SEQ}, {vocab_sql()}, c AS (SELECT session_id, id AS token_id, count(*) AS c FROM seq JOIN voc USING (token) GROUP BY 1, 2)
     SELECT session_id, token_id, round(c / sqrt(sum(c * c) OVER (PARTITION BY session_id)), 6) AS weight FROM c""")
 def tf_vectors(spark, sf):
     _, long, vocabulary = vocab_of(spark, sf)
-    out = cl.tf_vectors(long, vocabulary.where("id < 40"), KEYS)
+    out = cl.tf_vectors(long, vocabulary, KEYS)
     return out.select("session_id", "token_id", F.round("weight", 6).alias("weight"))
 
 
 _ASSIGNED = "asg AS (SELECT DISTINCT session_id, user_id % 5 AS cluster FROM clicks)"
-_TCENT = f"""{SEQ}, {vocab_sql()}, {_ASSIGNED}, tc0 AS (SELECT cluster, coalesce(id, 1) AS token_id, count(*) AS c FROM seq LEFT JOIN (SELECT * FROM voc WHERE id < 40) USING (token)
+_TCENT = f"""{SEQ}, {vocab_sql()}, {_ASSIGNED}, tc0 AS (SELECT cluster, coalesce(id, 1) AS token_id, count(*) AS c FROM seq LEFT JOIN voc USING (token)
       JOIN asg USING (session_id) GROUP BY 1, 2),
     tc AS (SELECT cluster, token_id, c / sqrt(sum(c * c) OVER (PARTITION BY cluster)) AS weight FROM tc0)"""
 
@@ -155,11 +155,11 @@ def assignments(long):
 @query("token_centroids", f"{_TCENT} SELECT cluster, token_id, round(weight, 6) AS weight FROM tc")
 def token_centroids(spark, sf):
     _, long, vocabulary = vocab_of(spark, sf)
-    out = cl.token_centroids(long, assignments(long), vocabulary.where("id < 40"), KEYS)
+    out = cl.token_centroids(long, assignments(long), vocabulary, KEYS)
     return out.withColumn("weight", F.round("weight", 6))
 
 
-@query("classify_sessions", f"""{_TCENT}, v0 AS (SELECT session_id, id AS token_id, count(*) AS c FROM seq JOIN voc USING (token) WHERE id < 40 GROUP BY 1, 2),
+@query("classify_sessions", f"""{_TCENT}, v0 AS (SELECT session_id, id AS token_id, count(*) AS c FROM seq JOIN voc USING (token) GROUP BY 1, 2),
     v AS (SELECT *, c / sqrt(sum(c * c) OVER (PARTITION BY session_id)) AS w FROM v0), l AS (SELECT session_id, count(*) AS seq_len FROM seq GROUP BY 1),
     d AS (SELECT l.session_id, seq_len, k.cluster, 1 - coalesce((SELECT sum(v.w * tc.weight) FROM v JOIN tc USING (token_id) WHERE v.session_id = l.session_id AND tc.cluster = k.cluster), 0) AS d
       FROM l, (SELECT DISTINCT cluster FROM tc) k)
@@ -167,7 +167,7 @@ def token_centroids(spark, sf):
       string_agg(concat(CAST(cluster AS VARCHAR), ':', printf('%.4f', d)), ' ' ORDER BY cluster) AS distances FROM d GROUP BY 1""")
 def classify_sessions(spark, sf):
     _, long, vocabulary = vocab_of(spark, sf)
-    vocabulary = cut(vocabulary.where("id < 40"))
+    vocabulary = cut(vocabulary)
     centres = cut(cl.token_centroids(long, assignments(long), vocabulary, KEYS))
     out = cl.classify_sessions(long, vocabulary, centres, KEYS)
     pairs = F.transform(F.array_sort(F.map_entries("distances")), lambda e: F.format_string("%d:%.4f", e["key"], e["value"]))
@@ -177,7 +177,7 @@ def classify_sessions(spark, sf):
 @query("w2v_vectors")
 def w2v_vectors(spark, sf):
     _, long, _ = vocab_of(spark, sf)
-    return cl.w2v_vectors(long, ["session_id"], size=16)
+    return cl.w2v_vectors(long, ["session_id"])
 
 
 @query("plane_points")
@@ -187,7 +187,7 @@ def plane_points(spark, sf):
 
 @query("cluster_sessions")
 def cluster_sessions(spark, sf):
-    return cl.cluster_sessions(vectors_of(spark, sf, True).drop("cluster"), ks=(5, 10)).select("id", "cluster", "probability")
+    return cl.cluster_sessions(vectors_of(spark, sf, True).drop("cluster")).select("id", "cluster", "probability")
 
 
 @query("score_sequences", f"""WITH v AS (SELECT conv_id, array_agg(turn ORDER BY turn) AS ids FROM conversations GROUP BY 1)
@@ -256,3 +256,34 @@ def class_report(spark, sf):
 def auc_metrics(spark, sf):
     rows = labelled_documents(spark, sf).select(F.col("is_churned").alias("y_true"), (F.col("n_chars") % 50).cast("double").alias("y_prob"))
     return q.auc_metrics(rows).select(F.round("roc_auc", 6).alias("roc_auc"), F.round("pr_auc", 6).alias("pr_auc"))
+
+
+@query("w2v_vectors_checks", f"{SEQ} SELECT DISTINCT session_id, 64 AS dims, true AS finite FROM seq")
+def w2v_vectors_checks(spark, sf):
+    """One vector of full length and finite numbers per session."""
+    bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) > 1e6))
+    return w2v_vectors(spark, sf).select("session_id", F.size("vector").alias("dims"), (~bad).alias("finite"))
+
+
+@query("plane_points_checks", """WITH v AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+    t AS (SELECT sum(s) AS total FROM (SELECT sum(CAST(x AS DOUBLE) * x) AS s FROM v GROUP BY i))
+    SELECT (SELECT count(*) FROM embeddings) AS n, true AS first_axis_widest, true AS uncorrelated, true AS within_total FROM t""")
+def plane_points_checks(spark, sf):
+    """Second moments of the axes: the first is the widest, they are uncorrelated and explain a part of the whole."""
+    p = cl.plane_points(vectors_of(spark, sf))
+    total = F.sum(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
+    x, y = F.var_pop("pca_x"), F.var_pop("pca_y")
+    return p.agg(
+        F.count(F.lit(1)).alias("n"), (x >= y).alias("first_axis_widest"), (F.abs(F.corr("pca_x", "pca_y")) < 1e-3).alias("uncorrelated"),
+        ((x + y) * F.count(F.lit(1)) <= total * (1 + 1e-9)).alias("within_total"),
+    )
+
+
+@query("cluster_sessions_checks", """SELECT count(*) AS n, true AS in_range, true AS noise_is_zero, true AS little_noise FROM embeddings""")
+def cluster_sessions_checks(spark, sf):
+    """Every vector has a label, probabilities lie in 0 … 1 and are 0 for noise, and most vectors are no noise."""
+    noise = F.col("cluster") == -1
+    return cluster_sessions(spark, sf).agg(
+        F.count("cluster").alias("n"), F.bool_and(F.col("probability").between(0, 1)).alias("in_range"),
+        F.bool_and(~noise | (F.col("probability") == 0)).alias("noise_is_zero"), (F.count_if(noise) <= 0.2 * F.count(F.lit(1))).alias("little_noise"),
+    )

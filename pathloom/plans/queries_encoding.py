@@ -47,13 +47,13 @@ def vocabulary_words(spark, sf):
     return vocab_of(spark, sf)[2].where(~F.col("token").isin(vo.LAYOUTS["default"])).select("token")
 
 
-_IDS = f"{SEQ}, {vocab_sql()}, top AS (SELECT token, id FROM voc WHERE id < 60), ids AS (SELECT s.*, coalesce(t.id, 1) AS id FROM seq s LEFT JOIN top t USING (token))"
+_IDS = f"{SEQ}, {vocab_sql()}, ids AS (SELECT s.*, coalesce(t.id, 1) AS id FROM seq s LEFT JOIN voc t USING (token))"
 
 
 @query("encode_tokens", f"{_IDS} SELECT session_id, pos, id AS token_id FROM ids")
 def encode_tokens(spark, sf):
     _, long, vocabulary = vocab_of(spark, sf)
-    return vo.encode_tokens(long, vocabulary.where("id < 60")).select("session_id", "pos", "token_id")
+    return vo.encode_tokens(long, vocabulary).select("session_id", "pos", "token_id")
 
 
 def _encoded_sql(where: str, tail: str = "") -> str:
@@ -74,13 +74,13 @@ def _joined(df):
 @query("encode_sequences", _encoded_sql("pos <= 15"))
 def encode_sequences(spark, sf):
     _, long, vocabulary = vocab_of(spark, sf)
-    return _joined(vo.encode_sequences(long, vocabulary.where("id < 60"), 16, KEYS))
+    return _joined(vo.encode_sequences(long, vocabulary, 16, KEYS))
 
 
 @query("encode_sequences_left", _encoded_sql("pos > n - 15"))
 def encode_sequences_left(spark, sf):
     _, long, vocabulary = vocab_of(spark, sf)
-    return _joined(vo.encode_sequences(long, vocabulary.where("id < 60"), 16, KEYS, truncate="left"))
+    return _joined(vo.encode_sequences(long, vocabulary, 16, KEYS, truncate="left"))
 
 
 @query("left_padded", f"""{_IDS}, n AS (SELECT *, count(*) OVER (PARTITION BY session_id) AS n FROM ids),
@@ -88,7 +88,7 @@ def encode_sequences_left(spark, sf):
     SELECT session_id, raw_len, array_to_string(list_concat(list_transform(range(8 - len(ids)), lambda x: 0), ids), ' ') AS ids FROM a""")
 def left_padded(spark, sf):
     _, long, vocabulary = vocab_of(spark, sf)
-    out = vo.left_padded(vo.encode_tokens(long, vocabulary.where("id < 60")), "token_id", 8, KEYS)
+    out = vo.left_padded(vo.encode_tokens(long, vocabulary), "token_id", 8, KEYS)
     return out.select("session_id", "raw_len", F.array_join(F.col("values").cast("array<string>"), " ").alias("ids"))
 
 
@@ -96,7 +96,7 @@ def left_padded(spark, sf):
     SELECT session_id, pos, CASE WHEN m THEN 3 ELSE id END AS masked_id, CASE WHEN m THEN id ELSE -100 END AS label FROM h""")
 def mask_tokens(spark, sf):
     _, long, vocabulary = vocab_of(spark, sf)
-    ids = vo.encode_tokens(long, vocabulary.where("id < 60")).select("session_id", "pos", "token_id")
+    ids = vo.encode_tokens(long, vocabulary).select("session_id", "pos", "token_id")
     return vo.mask_tokens(ids)
 
 
@@ -124,7 +124,7 @@ _EXT_TOKEN = """CASE concat(event_type, '/', coalesce(product_action, '')) WHEN
 
 @query("external_sequences", f"""WITH {EXT}, t AS (SELECT *, {_EXT_TOKEN} AS token FROM ext),
     p AS (SELECT *, count(token) OVER (PARTITION BY session_id_hash ORDER BY rn ROWS UNBOUNDED PRECEDING) AS pos FROM t)
-    SELECT concat('ext_', substr(session_id_hash, 1, 16)) AS session_id, min(t) AS start_timestamp, max(t) AS end_timestamp,
+    SELECT concat('ext_', session_id_hash) AS session_id, min(t) AS start_timestamp, max(t) AS end_timestamp,
       1 + least(count(token), 10) AS length,
       concat('HOME|START_SESSION|NONE ', string_agg(token, ' ' ORDER BY rn) FILTER (token IS NOT NULL AND pos <= 10)) AS "sequence"
     FROM p GROUP BY session_id_hash HAVING count(token) >= 3""")
@@ -148,7 +148,7 @@ def external_sequences(spark, sf):
     m AS (SELECT *, lag(token) OVER (PARTITION BY session_id_hash ORDER BY rn) AS b FROM t WHERE token IS NOT NULL),
     q AS (SELECT session_id_hash, token, row_number() OVER (PARTITION BY session_id_hash ORDER BY rn) AS pos FROM m WHERE b IS NULL OR b <> token),
     z AS (SELECT session_id_hash, min(t) AS s, max(t) AS e FROM ext GROUP BY 1)
-    SELECT concat('ext_', substr(session_id_hash, 1, 16)) AS session_id, any_value(s) AS start_timestamp, any_value(e) AS end_timestamp,
+    SELECT concat('ext_', session_id_hash) AS session_id, any_value(s) AS start_timestamp, any_value(e) AS end_timestamp,
       1 + least(count(*), 7) AS length, concat('HOME|START_SESSION|NONE ', string_agg(token, ' ' ORDER BY pos) FILTER (pos <= 7)) AS "sequence"
     FROM q JOIN z USING (session_id_hash) GROUP BY session_id_hash HAVING count(*) >= 3""")
 def external_sequences_by_url(spark, sf):
@@ -201,8 +201,8 @@ def undersample(spark, sf):
 
 @query("merge_sequences", f"""WITH {EXT}, t AS (SELECT *, {_EXT_TOKEN} AS token FROM ext),
     n AS (SELECT session_id_hash, count(token) AS n, min(t) AS s, max(t) AS e FROM t GROUP BY 1 HAVING count(token) >= 3)
-    SELECT concat('ext_', substr(session_id_hash, 1, 16)) AS session_id, s AS start_timestamp, e AS end_timestamp, 1 + least(n, 10) AS length FROM n
-    UNION ALL SELECT concat('aug_', substr(session_id_hash, 1, 16)), s, e, 1 + least(n, 4) FROM n""")
+    SELECT concat('ext_', session_id_hash) AS session_id, s AS start_timestamp, e AS end_timestamp, 1 + least(n, 10) AS length FROM n
+    UNION ALL SELECT concat('aug_', session_id_hash), s, e, 1 + least(n, 4) FROM n""")
 def merge_sequences(spark, sf):
     c, e = external_of(spark, sf)
     real = build_external(e, [_TIME, "event_id"], 3, 10, bounded=c.bounded)

@@ -21,14 +21,14 @@ def churn_model(spark, sf):
     rows = cut(features.session_features(Clicks(spark, sf).df, KEYS))
     # the flags that define the label are left out
     rows = rows.drop("add_to_cart_flag", "add_to_cart_count", "purchase_click_flag", "cart_abandon_flag", "cart_indecision_flag")
-    model, _ = churn.train(rows, depth=3, rounds=5)
+    model, _ = churn.train(rows)
     return churn.predict(model, rows)
 
 
 def _refreshed(spark, sf, full):
     _, long = sequences_of(spark, sf)
     long = cut(long)
-    vectors = cut(cl.w2v_vectors(long, KEYS, size=8))
+    vectors = cut(cl.w2v_vectors(long, KEYS, size=64))
     labels = assigned(long).where("cluster >= 0")
     old = cut(cl.centroids(vectors.join(labels, on=KEYS)).select("cluster", "centroid"))
     return refresh(vectors, long, old, cut(pf.cluster_profiles(long, labels, KEYS)), KEYS, work_path(spark, "refresh"), full=full, ks=(4,))
@@ -44,14 +44,21 @@ def refresh_centroids_full(spark, sf):
     return _refreshed(spark, sf, True)["profiles"].select("cluster", "count", "label", "status", "stability")
 
 
-@query("results_with_sequences", f"""{SEQ}, {ASG} SELECT session_id, cluster, string_agg(token, ' ' ORDER BY pos) FILTER (pos <= 32) AS start FROM asg LEFT JOIN seq USING (session_id) GROUP BY 1, 2""")
+@query("results_with_sequences", f"""{SEQ}, {ASG} SELECT session_id, cluster, (pos - 1) // 4096 AS part, string_agg(token, ' ' ORDER BY pos) AS "sequence"
+    FROM asg LEFT JOIN seq USING (session_id) GROUP BY 1, 2, 3""")
 def results_with_sequences(spark, sf):
-    """Cluster results with the first part of each sequence."""
+    """Cluster results with their whole sequences, a long one in parts."""
     c, long = sequences_of(spark, sf)
     results = c.df.select(*KEYS).distinct().withColumn("cluster", (F.col("user_id") % 6 - 1).cast("int"))
-    first = in_parts(long.where("pos <= 32"), KEYS, "token", rows=32)
-    out = results.join(first, on=KEYS, how="left")
-    return out.select("session_id", "cluster", F.array_join("values", " ").alias("start"))
+    out = results.join(in_parts(long, KEYS, "token"), on=KEYS, how="left")
+    return out.select("session_id", "cluster", "part", F.array_join("values", " ").alias("sequence"))
+
+
+@query("churn_model_checks", f"{CLICKS} SELECT DISTINCT session_id, true AS in_range, true AS agrees FROM clicks")
+def churn_model_checks(spark, sf):
+    """One prediction per session: a probability, and a decision that follows it."""
+    p = churn_model(spark, sf)
+    return p.select("session_id", F.col("y_prob").between(0, 1).alias("in_range"), ((F.col("y_prob") > 0.5).cast("int") == F.col("y_pred")).alias("agrees"))
 
 
 @query("kept_sessions", f"{CLICKS} SELECT DISTINCT session_id FROM clicks WHERE event_type IN ('add_to_cart', 'purchase_click')")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pathloom.functions import pages, tokens as tk
+from pathloom.functions.rules import pattern_of
 from pathloom.operators import sequences as sq
 from pathloom.plans.fixtures import Clicks, clicks_sql, table
 from pathloom.plans.registry import query
@@ -19,7 +20,7 @@ def _in(names) -> str:
 
 
 def _case(subject: str, rules, default: str) -> str:
-    whens = " ".join(f"WHEN regexp_matches({subject}, '{pat}') THEN '{value}'" for value, pat in rules)
+    whens = " ".join(f"WHEN regexp_matches({subject}, '{pattern_of(pat)}') THEN '{value}'" for value, pat in rules)
     return f"CASE {whens} ELSE {default} END"
 
 
