@@ -201,26 +201,35 @@ class Encoder:
                 out += [(part[i:j], None) for _, (i, j) in self.v.pre.pre_tokenize_str(part)]
         return out
 
+    def learn_words(self, words: set[str]) -> None:
+        new = {w.encode(): w for w in self.of_word.missing(words)}
+        self.of_word.now.update((new[w], array("i", ids).tobytes()) for w, ids in self.v.encode_words(new).items())
+
     def learn(self, new: set[str]) -> None:
         cut = {p: self.words(p) for p in new}
-        found = self.v.encode_words(self.of_word.missing({w.encode() for ws in cut.values() for w, special in ws if special is None}))
+        self.learn_words({w for ws in cut.values() for w, special in ws if special is None})
         of_word = self.of_word.now
-        of_word.update((w, array("i", ids).tobytes()) for w, ids in found.items())
         for p, ws in cut.items():
-            self.known.now[p] = b"".join([array("i", [s]).tobytes() if s is not None else of_word[w.encode()] for w, s in ws])
+            self.known.now[p] = b"".join([array("i", [s]).tobytes() if s is not None else of_word[w] for w, s in ws])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out = []
         for start in range(0, len(texts), 200):
-            cut = []
+            cut, plain = [], []
             for text in texts[start : start + 200]:
-                first, *rest = pieces(text)
-                cut.append([first, *(f" {p}" for p in rest)])
+                if _PLAIN.fullmatch(text) and not any(t in text for t in self.v.special):
+                    cut.append([])
+                    plain.append(_PLAIN_WORDS.findall(text))
+                else:
+                    first, *rest = pieces(text)
+                    cut.append([first, *(f" {p}" for p in rest)])
+                    plain.append([])
             new = self.known.missing({p for ps in cut for p in ps})
             if new:
                 self.learn(new)
-            get = self.known.now.__getitem__
-            out += [np.frombuffer(b"".join(map(get, ps)), "<i4") for ps in cut]
+            self.learn_words({w for ws in plain for w in ws})
+            piece, word = self.known.now.__getitem__, self.of_word.now.__getitem__
+            out += [np.frombuffer(b"".join([*map(piece, ps), *map(word, ws)]), "<i4") for ps, ws in zip(cut, plain)]
         return out
 
 

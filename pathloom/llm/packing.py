@@ -36,16 +36,16 @@ LINEAR, QUADRATIC = 1.0, 1 / 1_024
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
-_PLAIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_PLAIN = re.compile("[ -~\t-\rÀ-ÖØ-öø-ÿ]*")
+_PLAIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t-\ra-zß-öø-ÿ0-9]+")
 
 
 class Words:
-    """Ids by white-space separated pieces, each distinct piece encoded once.
+    """Ids of texts, each distinct word encoded once.
 
-    The vocabulary drops white space and neither joins nor looks across it, so pieces are independent of each other.
-    Pieces of ASCII and Latin-1 letters are cut by the vocabulary's pattern here and their words go to the library's
-    model; all other pieces go through the library whole.
+    Texts of ASCII and Latin-1 letters are cut by the vocabulary's pattern here and their words go to the library's
+    model. In others, white-space separated pieces go through the library whole: the vocabulary drops white space and
+    neither joins nor looks across it.
     """
 
     def __init__(self, path: str):
@@ -54,37 +54,26 @@ class Words:
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.stand_in = str.maketrans({b: c for c, b in byte_alphabet().items()})
-        self.known, self.of_word = Recent(), Recent()
-
-    def learn(self, new: set[bytes]) -> None:
-        cut, others = {}, []
-        for p in new:
-            piece = p.decode()
-            if _PLAIN.fullmatch(piece) and not any(t in piece for t in self.special):
-                cut[p] = _PLAIN_WORDS.findall(piece.lower())
-            else:
-                others.append(p)
-        tokenize = self.tokenizer.model.tokenize
-        words = self.of_word.missing({w for ws in cut.values() for w in ws})
-        of_word = self.of_word.now
-        for w in words:
-            letters = w if w.isascii() else w.encode().decode("latin-1").translate(self.stand_in)
-            of_word[w] = array("I", [t.id for t in tokenize(letters)]).tobytes()
-        for p, ws in cut.items():
-            self.known.now[p] = b"".join([of_word[w] for w in ws])
-        for p in others:
-            self.known.now[p] = array("I", self.tokenizer.encode(p.decode(), add_special_tokens=False).ids).tobytes()
+        self.words, self.pieces = Recent(), Recent()
+
+    def _cut(self, text: str) -> tuple[bool, list]:
+        if _PLAIN.fullmatch(text) and not any(t in text for t in self.special):
+            return True, _PLAIN_WORDS.findall(text.lower())
+        return False, text.encode().split()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of every text."""
         out = []
+        tokenize = self.tokenizer.model.tokenize
         for start in range(0, len(texts), 200):
-            cuts = [t.encode().split() for t in texts[start : start + 200]]
-            new = self.known.missing({p for ps in cuts for p in ps})
-            if new:
-                self.learn(new)
-            get = self.known.now.__getitem__
-            out += [b"".join(map(get, ps)) for ps in cuts]
+            cuts = [self._cut(t) for t in texts[start : start + 200]]
+            for w in self.words.missing({w for plain, ws in cuts if plain for w in ws}):
+                letters = w if w.isascii() else w.encode().decode("latin-1").translate(self.stand_in)
+                self.words.now[w] = array("I", [t.id for t in tokenize(letters)]).tobytes()
+            for p in self.pieces.missing({p for plain, ps in cuts if not plain for p in ps}):
+                self.pieces.now[p] = array("I", self.tokenizer.encode(p.decode(), add_special_tokens=False).ids).tobytes()
+            word, piece = self.words.now.__getitem__, self.pieces.now.__getitem__
+            out += [b"".join(map(word if plain else piece, ws)) for plain, ws in cuts]
         return out
 
 
