@@ -74,17 +74,29 @@ def silhouettes(vectors: DataFrame, id_: str, block: int = 2048) -> DataFrame:
     return per.select("id", "cluster", s.alias("silhouette"))
 
 
+def _enough(vectors: DataFrame, value: Column) -> DataFrame:
+    """Null below two clusters or three vectors."""
+    sizes = vectors.where(F.col("cluster") >= 0).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.when((F.count(F.lit(1)) >= 2) & (F.sum("n") >= 3), value).alias("silhouette"))
+
+
 def silhouette(vectors: DataFrame, id_: str) -> DataFrame:
-    return silhouettes(vectors, id_).agg(F.avg("silhouette").alias("silhouette"))
+    """Mean exact Euclidean silhouette; its work grows with the square of the rows, see ``linear_silhouette``."""
+    mean = silhouettes(vectors, id_).agg(F.avg("silhouette").alias("s"))
+    return _enough(vectors, mean.scalar())
 
 
-def fast_silhouette(vectors: DataFrame) -> float:
-    """Silhouette by squared distances, linear in the rows."""
+def linear_silhouette(vectors: DataFrame) -> DataFrame:
+    """Mean silhouette by squared Euclidean distances, from sums per cluster: linear in the rows."""
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.functions import array_to_vector
 
-    rows = vectors.where(F.col("cluster") >= 0).withColumn("__f", array_to_vector("vector"))
-    return ClusteringEvaluator(featuresCol="__f", predictionCol="cluster").evaluate(rows)
+    rows = vectors.where(F.col("cluster") >= 0)
+    checked = _enough(rows, F.lit(0.0))
+    if checked.first()[0] is None:
+        return checked
+    value = ClusteringEvaluator(featuresCol="__f", predictionCol="cluster").evaluate(rows.withColumn("__f", array_to_vector("vector")))
+    return _enough(rows, F.lit(value))
 
 
 def _spread(vectors: DataFrame) -> DataFrame:
@@ -110,7 +122,8 @@ def davies_bouldin(vectors: DataFrame) -> DataFrame:
         ),
     )
     mean = F.try_divide(F.aggregate(worst, F.lit(0.0), lambda a, w: a + w), F.size("all"))
-    return everyone.select(F.when(F.size("all") >= 2, mean).alias("davies_bouldin"))
+    rows = vectors.where(F.col("cluster") >= 0).agg(F.count(F.lit(1)).alias("n")).scalar()
+    return everyone.select(F.when((F.size("all") >= 2) & (rows >= 3), mean).alias("davies_bouldin"))
 
 
 def calinski_harabasz(vectors: DataFrame) -> DataFrame:

@@ -110,6 +110,11 @@ def silhouette(spark, sf):
     return q.silhouette(vectors_of(spark, sf, True, True), "id").select(F.round("silhouette", 4).alias("silhouette"))
 
 
+@query("linear_silhouette", f"{_SIL.replace('list_distance(a.vector, b.vector)', 'list_distance(a.vector, b.vector) ** 2')} SELECT round(avg(s), 4) AS silhouette FROM sil")
+def linear_silhouette(spark, sf):
+    return q.linear_silhouette(vectors_of(spark, sf, True, True)).select(F.round("silhouette", 4).alias("silhouette"))
+
+
 @query("silhouette_by_cluster", f"{_SIL} SELECT cluster, count(*) AS n, round(avg(s), 4) AS silhouette FROM sil GROUP BY 1")
 def silhouette_by_cluster(spark, sf):
     each = q.silhouettes(vectors_of(spark, sf, True, True), "id")

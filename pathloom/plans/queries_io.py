@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pathloom.operators import features
+from pathloom.operators import features, vocab as vo
 from pathloom.operators.sequences import token_lists
 from pathloom.plans.fixtures import Clicks, clicks_sql, raw_clicks, table
 from pathloom.plans.queries_encoding import vocab_of, vocab_sql
@@ -157,3 +157,28 @@ def parse_payload_(spark, sf):
 
     e = raw_clicks(spark, sf).withColumn("p", parse_payload(F.col("data")))
     return e.select("event_id", *(F.col(f"p.{n}").alias(n) for n in ("depth_pct", "section", "click_text", "bounce_flag")))
+
+
+@query("table_source", "SELECT event_id, event_type FROM events")
+def table_source(spark, sf):
+    """A table of the catalog, two columns of it."""
+    table(spark, sf, "events").createOrReplaceTempView("pathloom_events")
+    return ev.read_table(spark, "pathloom_events", ["event_id", "event_type"])
+
+
+@query("audit_sink", f"{SEQ} SELECT session_id, pos, token FROM seq")
+def audit_sink(spark, sf):
+    path = work_path(spark, "audit")
+    sinks.write_audit(vocab_of(spark, sf)[1].select("session_id", "pos", "token"), path)
+    return spark.read.schema("session_id string, pos long, token string").json(path)
+
+
+@query("encoded_sink", f"{SEQ}, {vocab_sql()} SELECT session_id, len(array_agg(id)) + 1 AS used_length, 2 AS first_id, array_agg(id ORDER BY pos)[1] AS second_id FROM seq JOIN voc USING (token) GROUP BY session_id")
+def encoded_sink(spark, sf):
+    """Encoded sequences as CSV and back."""
+    _, long, vocabulary = vocab_of(spark, sf)
+    path = work_path(spark, "encoded")
+    sinks.write_encoded(vo.encode_sequences(long, vocabulary, 4_096, KEYS), path, "csv")
+    ids = F.split("input_ids", " ").cast("array<int>")
+    rows = spark.read.csv(path, header=True).withColumn("ids", ids)
+    return rows.select("session_id", F.col("used_length").cast("int").alias("used_length"), F.col("ids")[0].alias("first_id"), F.col("ids")[1].alias("second_id"))

@@ -30,7 +30,10 @@ def unwrap(lines: DataFrame, value: str = "value") -> DataFrame:
     v = F.try_parse_json(F.col(value))
     listed = F.coalesce(F.try_variant_get(v, "$.events", "array<variant>"), F.try_variant_get(v, "$", "array<variant>"), F.array(v))
     each = lines.select(*(c for c in lines.columns if c != value), F.explode(listed).alias("e"))
-    fields = [F.try_variant_get("e", f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in _BARE.fields]
+    # a type that is no text is no type
+    kind = F.try_variant_get("e", "$.event_type", "variant")
+    read = {"event_type": F.when(F.schema_of_variant(kind) == "STRING", F.try_variant_get("e", "$.event_type", "string"))}
+    fields = [read.get(f.name, F.try_variant_get("e", f"$.{f.name}", f.dataType.simpleString())).alias(f.name) for f in _BARE.fields]
     data = F.try_variant_get("e", "$.data", "variant")
     kept = [c for c in lines.columns if c != value and c not in _BARE.names]
     rows = each.select(*kept, *fields, F.to_json(data).alias("data"))
@@ -42,9 +45,12 @@ def read_json(spark: SparkSession, path: str, multi_line: bool = False) -> DataF
     return unwrap(spark.read.text(path, wholetext=multi_line))
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with header; numbers that are none become null, the payload stays text."""
-    raw = spark.read.csv(path, header=True, quote='"', escape='"', encoding="UTF-8", multiLine=True)
+def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """CSV with header; numbers that are none become null, the payload stays text.
+
+    ``multi_line`` for files with line breaks inside quotes; such a file is read by one task.
+    """
+    raw = spark.read.csv(path, header=True, quote='"', escape='"', encoding="UTF-8", multiLine=multi_line)
     names = {c: c.lstrip("﻿") for c in raw.columns}
     raw = raw.withColumnsRenamed(names)
     numbers = {"timestamp": "double", "event_seq": "double", "event_token": "double", "inter_event_gap": "double"}

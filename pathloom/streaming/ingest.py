@@ -22,9 +22,10 @@ def accept(lines: DataFrame, origin: Column, received_at: Column) -> DataFrame:
 
 def once(events: DataFrame, delay: str = "1 day", time: str = "event_time") -> DataFrame:
     """Every event id once, as long as its repeats arrive within ``delay``; events without id all stay."""
-    timed = events.withWatermark(time, delay)
-    named = timed.where(F.col("event_id").isNotNull()).dropDuplicatesWithinWatermark(["event_id"])
-    return named.unionByName(timed.where(F.col("event_id").isNull()))
+    # an event without id gets one of its own, so that one pass over the stream serves both kinds
+    known = F.coalesce(F.col("event_id").cast("string"), F.concat(F.lit("none-"), F.uuid()))
+    timed = events.withWatermark(time, delay).withColumn("__id", known)
+    return timed.dropDuplicatesWithinWatermark(["__id"]).drop("__id")
 
 
 def once_batch(events: DataFrame) -> DataFrame:
