@@ -2,7 +2,7 @@
 
 A line is the set of its words. Words are ordered by rarity, so two lines of Jaccard similarity t share a word among the
 first few of each: n - ⌈t·n⌉ + 1 of n. That word is the join key; length and position of it must allow the overlap,
-and so must a 64-bit parity sketch of both lines. What is left is verified on the whole sets.
+and so must a 128-bit parity sketch of both lines. What is left is verified on the whole sets.
 
 No step emits the pairs of a group:
 
@@ -73,11 +73,16 @@ def _lines(rows: DataFrame, classes: np.ndarray, t: Fraction) -> DataFrame:
     split = rows.select("row", "id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
     words = split.select("row", "id", "line", _ordered_words(F.col("text"), classes).alias("words")).withColumn("n", F.size("words"))
     prefix = F.col("n") - F.ceil(F.col("n") * F.lit(t.numerator) / F.lit(t.denominator) - 1e-9).cast("int") + 1
-    parity = F.aggregate("words", F.lit(0).cast("long"), lambda b, w: b.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(63).cast("int"))))
+
+    def parity(half: int) -> Column:
+        """Which of 64 bits an odd number of words hash to, for the words of one half."""
+        mine = lambda w: (F.shiftright(w, 6).bitwiseAND(1) if half else 1 - F.shiftright(w, 6).bitwiseAND(1)).cast("long")
+        return F.aggregate("words", F.lit(0).cast("long"), lambda b, w: b.bitwiseXOR(F.call_function("shiftleft", mine(w), w.bitwiseAND(63).cast("int"))))
+
     return words.select(
         "row", "id", "line", "n",
         F.when(F.col("n") > 0, F.xxhash64("n", "words")).alias("set"),
-        parity.alias("parity"),
+        parity(0).alias("even"), parity(1).alias("odd"),
         # 32 bits of a word are enough for a key: a clash brings a candidate that verification drops
         F.transform(F.slice("words", 1, F.greatest(prefix, F.lit(1))), lambda w: F.hash(w)).alias("prefix"),
     )
@@ -87,7 +92,7 @@ def _may_match(l: str, r: str, t: Fraction) -> Column:
     """Length, position and sketch allow the pair: overlap o >= t/(1+t) · (n+m), difference <= (1-t)/(1+t) · (n+m)."""
     n, m = F.col(f"{l}.n").cast("long"), F.col(f"{r}.n").cast("long")
     most = F.least(n - F.col(f"{l}.at"), m - F.col(f"{r}.at"))
-    differ = F.bit_count(F.col(f"{l}.parity").bitwiseXOR(F.col(f"{r}.parity")))
+    differ = sum(F.bit_count(F.col(f"{l}.{h}").bitwiseXOR(F.col(f"{r}.{h}"))) for h in ("even", "odd"))
     p, q = t.numerator, t.denominator
     return (
         (n * q >= m * p) & (m * q >= n * p) & (most * (p + q) >= (n + m) * p) & (differ * (p + q) <= (n + m) * (q - p))
@@ -96,7 +101,7 @@ def _may_match(l: str, r: str, t: Fraction) -> Column:
 
 
 def _entries(sets: DataFrame, *more: str) -> DataFrame:
-    return sets.select("set", "n", "parity", *more, F.posexplode("prefix").alias("at", "key"))
+    return sets.select("set", "n", "even", "odd", *more, F.posexplode("prefix").alias("at", "key"))
 
 
 def _matched(pairs: DataFrame, words: DataFrame, t: Fraction) -> DataFrame:
@@ -126,7 +131,7 @@ def _fetch(rows: DataFrame, wanted: DataFrame, classes: np.ndarray) -> DataFrame
 
 
 def _similar(rows: DataFrame, sets: DataFrame, classes: np.ndarray, t: Fraction) -> DataFrame:
-    """(set): lines with an earlier line of enough similarity. ``sets``: set, first, n, parity, prefix."""
+    """(set): lines with an earlier line of enough similarity. ``sets``: set, first, n, even, odd, prefix."""
     entries = _entries(sets)
     met = entries.alias("l").join(entries.alias("r"), (F.col("l.key") == F.col("r.key")) & _may_match("l", "r", t), "left_semi")
     some = cut(sets.join(met.select("set").distinct(), "set"))
@@ -135,7 +140,7 @@ def _similar(rows: DataFrame, sets: DataFrame, classes: np.ndarray, t: Fraction)
 
     # lengths in classes of ratio 1/t, so that the earliest line of a word and class is likely alike
     length = F.floor(F.log(1 / float(t), F.col("n")) + 1e-9).alias("length")
-    earliest = own.groupBy("key", length).agg(F.min(F.struct("first", "set", "n", "parity", "at")).alias("e"))
+    earliest = own.groupBy("key", length).agg(F.min(F.struct("first", "set", "n", "even", "odd", "at")).alias("e"))
     earliest = earliest.select("key", "length", "e.*")
     pivoted = own.withColumn("length", length).alias("l").join(
         earliest.alias("r"),
@@ -157,7 +162,7 @@ def _flagged(rows: DataFrame, threshold: float) -> DataFrame:
     place = F.struct("id", "row", "line").alias("first")
     filled = lines.where(F.col("set").isNotNull())
     # the earliest of equal lines stands for them; counted before the shuffle
-    alike = filled.groupBy("set").agg(F.min(F.struct(place, "n", "parity", "prefix")).alias("f")).select("set", "f.*")
+    alike = filled.groupBy("set").agg(F.min(F.struct(place, "n", "even", "odd", "prefix")).alias("f")).select("set", "f.*")
     gone = cut(_similar(rows, alike, classes, t))
     stay = (
         filled.groupBy("set").agg(F.min(F.struct("id", "row", "line")).alias("first"))

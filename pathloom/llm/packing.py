@@ -171,11 +171,10 @@ def pack(
                 yield batch_of(some, [*columns, "__ids", "__task", "__row"])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def documents():
-            for batch in batches:
-                yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-
-        for out, _ in flow(documents(), 1):
+        # a pool has about one group of tokens; sorted, since rows of a shuffle come in any order
+        pool = [row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns))]
+        pool.sort(key=lambda r: r[2:])
+        for out, _ in flow((r[:2] for r in pool), 1):
             yield batch_of([list(c) for c in zip(*out)], columns)
 
     who_type = pa_type(docs, doc_id)
@@ -191,7 +190,7 @@ def pack(
     rest = first.where(F.col("__ids").isNotNull()).select(doc_id, "__ids", "__task", "__row")
     tokens = rest.agg(F.sum(F.length("__ids")) / 4).first()[0] or 0
     pools = max(1, round(tokens / group_tokens))
-    pooled = rest.repartition(pools, F.xxhash64("__task", "__row")).sortWithinPartitions("__task", "__row")
+    pooled = rest.repartition(pools, F.xxhash64("__task", "__row"))
     return first.where(F.col("__ids").isNull()).select(*columns).unionByName(pooled.mapInArrow(finish, pieces))
 
 
