@@ -10,11 +10,13 @@ from pathloom.operators import behaviour as b
 from pathloom.operators.clusters import centroids
 from pathloom.plans.fixtures import DAY_MS, ENVELOPE_SQL, PAYLOAD_SQL, clicks_sql, payload_sql, raw_clicks, table
 from pathloom.plans.queries_clusters import CENTROIDS, SIMS, vectors_of
-from pathloom.plans.registry import query
+from pathloom.plans.queries_behaviour import INTENTS
+from pathloom.plans.registry import CHECKS, query
 from pathloom.session import cut, work_path
 from pathloom.streaming import ingest, kpis, sessions as ss
 
 CLICKS = "WITH " + clicks_sql()
+HOUR = 3_600_000
 
 
 def event_stream(spark, sf):
@@ -83,14 +85,64 @@ def stream_sessions(spark, sf):
     SELECT event_id, cart_count FROM cart""")
 def stream_carts(spark, sf):
     """Cart states, derived as the sessions close."""
-    path = work_path(spark, "carts")
+    return _derived(spark, sf, "carts", b.cart_state).select("event_id", "cart_count")
+
+
+def _derived(spark, sf, name, derive):
+    """What a batch operator makes of the sessions as they close."""
+    path = work_path(spark, name)
 
     def stored():
-        return raw_clicks(spark, sf).withColumn("event_time", ingest.event_time(F.col("timestamp")))
+        e = raw_clicks(spark, sf).withColumn("event_time", ingest.event_time(F.col("timestamp")))
+        return e.withColumn("p", parse_payload("data"))
 
     closing = ss.stream_sessions(event_stream(spark, sf), ttl_ms=DAY_MS)
-    finish(ss.on_close(closing, stored, b.cart_state, path, work_path(spark, "carts-progress")))
-    return spark.read.parquet(path).select("event_id", "cart_count")
+    finish(ss.on_close(closing, stored, derive, path, work_path(spark, f"{name}-progress")))
+    return spark.read.parquet(path)
+
+
+def _closed_only(batch: str, columns: str) -> str:
+    """Rows of a batch query that belong to events of closed sessions."""
+    return f"""{_CLOSED}, own AS (SELECT event_id FROM clicks WHERE session_id IN (SELECT session_id FROM closed))
+    SELECT {columns} FROM ({CHECKS[batch]}) q WHERE q.event_id IN (SELECT event_id FROM own)"""
+
+
+@query("stream_rage_clicks", _closed_only("rage_clicks", "event_id, click_count"))
+def stream_rage_clicks(spark, sf):
+    def derive(rows):
+        return b.rage_clicks(rows.withColumns({"x": F.col("p.x"), "y": F.col("value")}), ["session_id"], 12 * HOUR, 400, 3, 24 * HOUR)
+
+    return _derived(spark, sf, "rage", derive).select("event_id", "click_count")
+
+
+@query("stream_revisits", _closed_only("section_revisits", 'event_id, section, "count"'))
+def stream_revisits(spark, sf):
+    return _derived(spark, sf, "revisits", b.section_revisits).select("event_id", "section", "count")
+
+
+@query("stream_options", _closed_only("option_changes", "event_id, change_count"))
+def stream_options(spark, sf):
+    return _derived(spark, sf, "options", b.option_changes).select("event_id", "change_count")
+
+
+@query("stream_tab_away", _closed_only("tab_away", "event_id, tab_exit_duration_ms"))
+def stream_tab_away(spark, sf):
+    return _derived(spark, sf, "tabs", b.tab_away).select("event_id", "tab_exit_duration_ms")
+
+
+@query("stream_intents", _closed_only("resolve_intents", "event_id, intent, outcome, wait_ms"))
+def stream_intents(spark, sf):
+    """Each intent with its outcome, once its session is over."""
+    out = _derived(spark, sf, "intents", lambda rows: b.resolve_intents(rows, INTENTS, ["session_id"], 12 * HOUR))
+    return out.select("event_id", "intent", "outcome", "wait_ms")
+
+
+@query("stream_first_clicks", f"""{_CLOSED} SELECT q.* REPLACE (CAST(split_part(q.session_id, '-', 1) AS BIGINT) AS session_id) FROM ({CHECKS["time_to_first_click"]}) q
+    WHERE q.session_id IN (SELECT session_id FROM closed)""")
+def stream_first_clicks(spark, sf):
+    """The session is named by its user here; a stream numbers no sessions."""
+    out = _derived(spark, sf, "first-clicks", b.time_to_first_click)
+    return out.drop("batch").withColumn("session_id", F.split_part("session_id", F.lit("@"), F.lit(1)).cast("long"))
 
 
 @query("stream_activity", """WITH e AS (SELECT epoch_us(ts) // 1000 AS t FROM events), w AS (SELECT t, unnest(generate_series(t // 300000 * 300000 - 3300000, t // 300000 * 300000, 300000)) AS s FROM e)

@@ -45,19 +45,25 @@ def on_close(
 ) -> StreamingQuery:
     """Run a batch operator over the stored events of each batch of closed sessions; results go to ``path``.
 
-    Each batch writes its own folder, so a repeated batch replaces itself.
+    The closed spans are written first, since the stateful plan behind them must run once only. Stored events are found by
+    user and day, so a session meets the events of its own days and not all of the user's. Each batch writes its own
+    folders, so a repeated batch replaces itself.
     """
 
     def run(closed: DataFrame, batch: int) -> None:
-        if closed.isEmpty():
-            return
-        spans = closed.select(user, "started_at", "ended_at")
-        stored = events()
+        spark = closed.sparkSession
+        kept = f"{path}-spans/batch={batch}"
+        closed.select(user, "started_at", "ended_at").write.mode("overwrite").parquet(kept)
+        spans = spark.read.parquet(kept)
         edges = spans.agg(F.min("started_at"), F.max("ended_at")).first()
-        stored = stored.where(F.col(time).between(*edges))
-        rows = stored.join(spans, on=user).where(F.col(time).between(F.col("started_at"), F.col("ended_at")))
+        if edges[0] is None:
+            return
+        days = F.sequence(F.to_date("started_at"), F.to_date("ended_at"))
+        spans = spans.withColumn("__day", F.explode(days))
+        stored = events().where(F.col(time).between(*edges)).withColumn("__day", F.to_date(time))
+        rows = stored.join(spans, on=[user, "__day"]).where(F.col(time).between(F.col("started_at"), F.col("ended_at")))
         named = rows.withColumn("session_id", F.concat_ws("@", F.col(user).cast("string"), F.unix_millis("started_at").cast("string")))
-        derive(named.drop("started_at", "ended_at")).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        derive(named.drop("started_at", "ended_at", "__day")).write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
     return (
         sessions.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(run)
