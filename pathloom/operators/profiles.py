@@ -422,6 +422,24 @@ def site_clusters(assigned: DataFrame, profiles: DataFrame, total: Column) -> tu
     return cluster_validation(named, total), noise
 
 
+def live_distribution(
+    long: DataFrame, sessions: DataFrame, vocab: DataFrame, table: DataFrame, keys: Sequence[str] = SESSION, newest: int | None = None
+) -> DataFrame:
+    """Where a site's sessions belong now: (cluster, count, total, share).
+
+    ``sessions``: keys and last_at of the site; all of them or the ``newest``. Their tokens (``long``) are classified by the
+    token centroids; ``total`` counts the sessions that were classified, whatever was asked for.
+    """
+    from pathloom.operators.clusters import classify_sessions
+
+    if newest is not None:
+        sessions = sessions.orderBy(F.desc("last_at"), *keys).limit(newest)
+    own = long.join(sessions.select(*keys), on=list(keys), how="left_semi")
+    counts = classify_sessions(own, vocab, table, keys).groupBy("cluster").agg(F.count(F.lit(1)).alias("count"))
+    total = counts.agg(F.sum("count").alias("t")).scalar()
+    return counts.withColumn("total", total).withColumn("share", F.round(F.col("count") / F.col("total"), 4))
+
+
 def cluster_churn(long: DataFrame, assignments: DataFrame, churn: DataFrame, keys: Sequence[str] = SESSION) -> tuple[DataFrame, DataFrame]:
     """Per cluster: sessions, mean length, churn rate with its warning; and the five leading tokens."""
     lengths = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("length"))

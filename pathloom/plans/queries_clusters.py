@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pathloom.functions import vectors as vec
-from pathloom.operators import clusters as cl, quality as q
+from pathloom.operators import clusters as cl, quality as q, profiles as pf
 from pathloom.plans.fixtures import Clicks, table
 from pathloom.plans.queries_encoding import vocab_of, vocab_sql
 from pathloom.plans.queries_sequences import KEYS, SEQ
@@ -179,6 +179,21 @@ def classify_sessions(spark, sf):
     return out.select("session_id", "seq_len", "confidence", F.array_join(pairs, " ").alias("distances"))
 
 
+@query("live_distribution", f"""{_TCENT}, site AS (SELECT session_id, max(received_at) AS last_at FROM clicks WHERE origin = 'https://site1' GROUP BY 1 ORDER BY 2 DESC, any_value(user_id), 1 LIMIT 500),
+    own AS (SELECT * FROM seq WHERE session_id IN (SELECT session_id FROM site)), v0 AS (SELECT session_id, id AS token_id, count(*) AS c FROM own JOIN voc USING (token) GROUP BY 1, 2),
+    v AS (SELECT *, c / sqrt(sum(c * c) OVER (PARTITION BY session_id)) AS w FROM v0),
+    d AS (SELECT session_id, cluster, round(sum(v.w * tc.weight), 9) AS s FROM v JOIN tc USING (token_id) GROUP BY 1, 2),
+    b AS (SELECT session_id, cluster FROM d QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY s DESC, cluster) = 1)
+    SELECT cluster, count(*) AS "count", sum(count(*)) OVER () AS total, round(count(*) / sum(count(*)) OVER (), 4) AS share FROM b GROUP BY 1""")
+def live_distribution(spark, sf):
+    """The newest 500 sessions of a site, classified by the token centroids of all sites."""
+    c, long, vocabulary = vocab_of(spark, sf)
+    vocabulary = cut(vocabulary)
+    centres = cut(cl.token_centroids(long, assignments(long), vocabulary, KEYS))
+    site = c.df.where(F.col("origin") == "https://site1").groupBy(*KEYS).agg(F.max("received_at").alias("last_at"))
+    return pf.live_distribution(long, site, vocabulary, centres, KEYS, 500)
+
+
 @query("w2v_vectors")
 def w2v_vectors(spark, sf):
     _, long, _ = vocab_of(spark, sf)
