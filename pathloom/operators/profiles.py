@@ -304,11 +304,59 @@ def profile_label() -> Column:
     return F.when(F.size(top) > 0, named).otherwise(F.concat(F.lit("Cluster "), F.col("cluster").cast("string")))
 
 
+# Names of actions on the operator's screen; other actions are shown in lower case.
+SCREEN_ACTIONS = {
+    "SCROLL_HOME": "홈 화면 스크롤",
+    "SCROLL_PRODUCT": "상품 페이지 스크롤",
+    "SCROLL_PAGE": "페이지 스크롤",
+    "ENTER_CATEGORY": "카테고리 진입",
+    "ENTER_PRODUCT": "상품 상세 진입",
+    "ENTER_CHECKOUT": "결제 화면 진입",
+    "VIEW_PRODUCT": "상품 확인",
+    "VIEW_DETAIL": "상세정보 확인",
+    "VIEW_REVIEW": "리뷰 확인",
+    "VIEW_QNA": "상품 문의 확인",
+    "ZOOM_IMAGE": "상품 이미지 확대",
+    "HOVER_ELEMENT": "요소 위에 머무름",
+    "CLICK_ELEMENT": "버튼 또는 메뉴 클릭",
+    "SEARCH_USE": "검색 사용",
+    "CHECK_PRICE": "가격 확인",
+    "CHECK_SIZE": "사이즈 확인",
+    "CHECK_SHIPPING": "배송 정보 확인",
+    "START_INPUT": "입력 시작",
+    "EDIT_INPUT": "입력 수정",
+    "EXIT_BOUNCE": "빠른 탐색 중지",
+    "EXIT_SESSION": "탐색 중지",
+    "INACTIVE": "움직임 없음",
+    "RAGE_CLICK": "반복 클릭",
+    "CHANGE_QUANTITY": "수량 변경",
+}
+# Texts of a cluster with and without data.
+SUMMARY_END = " 중심으로 묶인 고객 유형입니다."
+SUMMARY_NO_ACTION = "행동 패턴"
+NO_DATA_SUMMARY = "세션은 확인됐지만 대표 행동이나 방문 화면 정보가 부족해 패턴을 명확히 해석하기 어렵습니다."
+ADVICE = "이 유형의 주요 행동이 많은 화면을 점검하고, 다음 행동으로 이어지는 안내 문구를 보강하세요."
+NO_DATA_ADVICE = "SDK 수집 상태와 페이지별 이벤트 매핑을 먼저 점검해 행동 데이터가 충분히 쌓이도록 보완하세요."
+
+
+def screen_action(action: Column) -> Column:
+    return F.coalesce(lookup(action, SCREEN_ACTIONS), F.lower(F.replace(action, F.lit("_"), F.lit(" "))))
+
+
+def has_data() -> Column:
+    """Whether a profile row knows any action or page."""
+    return (F.size(_names("top_actions", "action")) > 0) | (F.size(_names("page_dist", "page")) > 0)
+
+
 def summary_text() -> Column:
-    """One sentence about a profile row: its three leading actions."""
-    leading = F.transform(F.slice(_names("top_actions", "action"), 1, 3), lambda a: display_action(a))
-    listed = F.coalesce(F.nullif(F.array_join(leading, ", "), F.lit("")), F.lit("행동 패턴"))
-    return F.concat(listed, F.lit(" 중심으로 묶인 고객 유형입니다."))
+    """One sentence about a profile row: its three leading actions, or that there is too little data."""
+    leading = F.transform(F.slice(_names("top_actions", "action"), 1, 3), lambda a: screen_action(a))
+    listed = F.coalesce(F.nullif(F.array_join(leading, ", "), F.lit("")), F.lit(SUMMARY_NO_ACTION))
+    return F.when(has_data(), F.concat(listed, F.lit(SUMMARY_END))).otherwise(F.lit(NO_DATA_SUMMARY))
+
+
+def advice_text() -> Column:
+    return F.when(has_data(), F.lit(ADVICE)).otherwise(F.lit(NO_DATA_ADVICE))
 
 
 def insight_text(profiles: DataFrame, templates: DataFrame, name: str = "name") -> DataFrame:

@@ -175,11 +175,11 @@ def cluster_validation(spark, sf):
     return out.select("cluster", "label", "status", "status_label", F.size("reasons").alias("reasons"), "session_share")
 
 
-@query("summary_texts", f"""{PROF} SELECT cluster, concat(array_to_string(list_transform(acts[1:3], lambda a: coalesce({_map('a', pf.ACTION_NAMES)},
-    array_to_string(list_transform(string_split(a, '_'), lambda w: concat(upper(w[1]), lower(w[2:]))), ' '))), ', '),
-    ' 중심으로 묶인 고객 유형입니다.') AS summary FROM prof""")
+@query("summary_texts", f"""{PROF} SELECT cluster, concat(array_to_string(list_transform(acts[1:3], lambda a: coalesce({_map('a', pf.SCREEN_ACTIONS)},
+    lower(replace(a, '_', ' ')))), ', '), ' 중심으로 묶인 고객 유형입니다.') AS summary,
+    '이 유형의 주요 행동이 많은 화면을 점검하고, 다음 행동으로 이어지는 안내 문구를 보강하세요.' AS advice FROM prof""")
 def summary_texts(spark, sf):
-    return profiles_of(spark, sf)[2].select("cluster", pf.summary_text().alias("summary"))
+    return profiles_of(spark, sf)[2].select("cluster", pf.summary_text().alias("summary"), pf.advice_text().alias("advice"))
 
 
 @query("quality_summary", f"""{PROF}, nz AS (SELECT count(*) AS noise FROM (SELECT DISTINCT session_id FROM seq) JOIN asg USING (session_id) WHERE cluster < 0),
@@ -254,7 +254,7 @@ def site_clusters(spark, sf):
     site = c.df.where(F.col("origin") == "https://site1").groupBy(*KEYS).agg(F.max("received_at").alias("last_at"))
     newest = site.orderBy(F.desc("last_at"), "session_id").limit(120)
     labelled = newest.withColumn("cluster", (F.col("user_id") % 6 - 1).cast("int"))
-    out, _ = pf.site_clusters(labelled, profiles, F.lit(120))
+    out, _ = pf.site_clusters(labelled, profiles, labelled.agg(F.count(F.lit(1)).alias("n")).scalar())
     return out.select("cluster", "count", _text("top_actions", "action"))
 
 
