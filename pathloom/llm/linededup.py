@@ -40,14 +40,10 @@ def _table(values: np.ndarray, kind: str) -> Column:
     return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast(f"array<{kind}>")
 
 
-def _words(line: Column) -> Column:
-    return F.array_remove(F.split(line, SPACES), "")
-
-
 def rarity(texts: DataFrame, text: str) -> np.ndarray:
     """Count class of every hash bucket of words: four classes per doubling. One count per word of the table, combined map-side."""
-    word = F.explode(_words(F.col(text))).alias("w")
-    counts = texts.select(word).groupBy(F.pmod(F.xxhash64("w"), F.lit(COUNTERS)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    words = texts.select(F.explode(F.split(text, SPACES)).alias("w")).where("w != ''")
+    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(COUNTERS)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     seen = np.zeros(COUNTERS, "int64")
     found = counts.toPandas()
     seen[found["b"].to_numpy(dtype="int64")] = found["n"].to_numpy(dtype="int64")
@@ -57,7 +53,8 @@ def rarity(texts: DataFrame, text: str) -> np.ndarray:
 def _ordered_words(line: Column, classes: np.ndarray) -> Column:
     """The distinct words of a line as longs, rarest first: class of the count, then hash."""
     table = _table(classes, "int")
-    hashes = F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
+    # a separator at either end leaves an empty text, which is no word
+    hashes = F.array_remove(F.array_distinct(F.transform(F.split(line, SPACES), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
     low = F.lit((1 << HASH_BITS) - 1)
     return F.sort_array(
         F.transform(
