@@ -145,12 +145,12 @@ def stream_first_clicks(spark, sf):
     return out.drop("batch").withColumn("session_id", F.split_part("session_id", F.lit("@"), F.lit(1)).cast("long"))
 
 
-@query("stream_activity", """WITH e AS (SELECT epoch_us(ts) // 1000 AS t FROM events), w AS (SELECT t, unnest(generate_series(t // 300000 * 300000 - 3300000, t // 300000 * 300000, 300000)) AS s FROM e)
-    SELECT s AS window_start, count(*) AS events FROM w GROUP BY 1 HAVING s + 3600000 <= (SELECT max(t) FROM e) - 600000""")
+@query("stream_activity", """WITH e AS (SELECT epoch_us(ts) // 1000 AS t, user_id FROM events), w AS (SELECT t, user_id, unnest(generate_series(t // 300000 * 300000 - 3300000, t // 300000 * 300000, 300000)) AS s FROM e)
+    SELECT s AS window_start, count(*) AS events, count(DISTINCT user_id) AS sessions FROM w GROUP BY 1 HAVING s + 3600000 <= (SELECT max(t) FROM e) - 600000""")
 def stream_activity(spark, sf):
     stream = event_stream(spark, sf).withColumn("session_id", F.col("user_id").cast("string"))
     out = collected(spark, kpis.sliding_activity(stream), "activity")
-    return out.select(F.unix_millis("window_start").alias("window_start"), "events")
+    return out.select(F.unix_millis("window_start").alias("window_start"), "events", "sessions")
 
 
 @query("stream_motion", f"""{CLICKS} SELECT user_id, "timestamp" // 3600000 * 3600000 AS window_start, sum(p_x) AS distance_px, sum(k % 7) AS jitter_count FROM clicks GROUP BY 1, 2

@@ -12,10 +12,11 @@ from pathloom.operators.clusters import assign_nearest, ema_centroids
 
 
 def sliding_activity(events: DataFrame, time: str = "event_time", delay: str = "10 minutes", length: str = "1 hour", every: str = "5 minutes") -> DataFrame:
-    """Events and, approximately, sessions per sliding window."""
-    return events.withWatermark(time, delay).groupBy(F.window(time, length, every).alias("w")).agg(
-        F.count(F.lit(1)).alias("events"), F.approx_count_distinct("session_id").alias("sessions")
-    ).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "events", "sessions")
+    """Events and sessions per sliding window, exactly: events are counted per session first, so no window holds a set of sessions."""
+    per_session = events.withWatermark(time, delay).groupBy(F.window(time, length, every).alias("w"), "session_id").agg(F.count(F.lit(1)).alias("n"))
+    return per_session.groupBy("w").agg(F.sum("n").alias("events"), F.count("session_id").alias("sessions")).select(
+        F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "events", "sessions"
+    )
 
 
 def tumbling_motion(moves: DataFrame, keys: Sequence[str], time: str = "event_time", delay: str = "10 seconds", length: str = "2 seconds") -> DataFrame:
