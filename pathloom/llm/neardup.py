@@ -150,10 +150,14 @@ def shared(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _signed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Rows with text, the text's MD5, number of shingles, band keys and one byte per MinHash value; written."""
-    kind = docs.schema[doc_id].dataType.simpleString()
-    names = ["row", "id", "text", "copy", "shingles", "bands", "signs"]
+def _signed(rows: DataFrame, keep_text: bool) -> DataFrame:
+    """Rows (row, id, text) with the text's MD5, number of shingles, band keys and one byte per MinHash value; written.
+
+    The text itself is written with them unless the caller holds it in a table already.
+    """
+    kind = rows.schema["id"].dataType.simpleString()
+    held = 3 if keep_text else 2
+    names = [*["row", "id", "text"][:held], "copy", "shingles", "bands", "signs"]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles()
@@ -170,10 +174,10 @@ def _signed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 width = 4 * BAND_ROWS
                 bands.append([xxhash.xxh64_intdigest(raw[i : i + width], i) - (1 << 63) for i in range(0, len(raw), width)])
             columns = [pa.array(copy, pa.binary()), pa.array(count, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(signs, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:held], *columns], names)
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    return cut(rows.mapInArrow(sign, f"row long, id {kind}, text string, copy binary, shingles long, bands array<long>, signs binary"))
+    text = "text string, " if keep_text else ""
+    return cut(rows.select("row", "id", "text").mapInArrow(sign, f"row long, id {kind}, {text}copy binary, shingles long, bands array<long>, signs binary"))
 
 
 def _block_pairs(members: DataFrame, blocks: str) -> DataFrame:
@@ -250,8 +254,8 @@ def _verified(members: DataFrame, threshold: float, needed: list[tuple[int, int]
     return work.mapInArrow(verify, "node long, links long, root long")
 
 
-def _classes(rows: DataFrame, threshold: float, tolerance: float) -> DataFrame:
-    """(node, copies, links, root) of every distinct text; ``root`` is null for a node without links."""
+def _classes(rows: DataFrame, texts: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """(copy, node, copies, links, class) of every distinct text. ``texts``: row, text."""
     needed = fewest_matches(threshold, tolerance)
     # the first row stands for all rows of its text; counted before the shuffle
     first = F.min(F.struct("row", "shingles", "bands", "signs")).alias("f")
@@ -265,7 +269,7 @@ def _classes(rows: DataFrame, threshold: float, tolerance: float) -> DataFrame:
     sizes = weighed.groupBy("group").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / GROUP_BLOCK), F.ceil(F.sum("shingles") / GROUP_SHINGLES)).alias("blocks")
     )
-    members = weighed.join(sizes, "group").join(rows.select(F.col("row").alias("node"), "text"), "node")
+    members = weighed.join(sizes, "group").join(texts.select(F.col("row").alias("node"), "text"), "node")
     found = cut(_verified(members, threshold, needed))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = connected(found, "node", "root")
@@ -291,8 +295,9 @@ def near_duplicates(
     Other columns play no part. An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    rows = _signed(docs, doc_id, text)
-    classes = cut(_classes(rows, threshold, tolerance))
+    given = docs.select(F.monotonically_increasing_id().alias("row"), docs[doc_id].alias("id"), docs[text].alias("text"))
+    rows = _signed(given, keep_text=True)
+    classes = cut(_classes(rows, rows, threshold, tolerance))
     held = cut(rows.select("id", "copy").join(classes, "copy"))
     names = held.groupBy("class").agg(F.min("id").alias("class_id"))
     return held.join(names, "class").select(
@@ -307,8 +312,10 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = T
     """
     small_batches(docs.sparkSession)
     whole = F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("whole")
-    held = cut(docs.select(F.monotonically_increasing_id().alias("at"), docs[doc_id].alias("id"), docs[text].alias("text"), whole))
-    rows = _signed(held.withColumn("id", F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), "at")), "id", "text")
-    classes = _classes(rows, threshold, tolerance)
-    stay = rows.select("id", "copy").join(classes, "copy").groupBy("class").agg(F.min("id")["at"].alias("at"))
-    return held.join(stay, "at", "left_semi").select("whole.*")
+    held = cut(docs.select(F.monotonically_increasing_id().alias("row"), whole))
+    texts = held.select("row", F.col(f"whole.`{text}`").alias("text"))
+    named = F.struct(F.col(f"whole.`{doc_id}`").isNull().alias("none"), F.col(f"whole.`{doc_id}`").alias("id"), "row").alias("id")
+    rows = _signed(held.select("row", named, F.col(f"whole.`{text}`").alias("text")), keep_text=False)
+    classes = _classes(rows, texts, threshold, tolerance)
+    stay = rows.select("id", "copy").join(classes, "copy").groupBy("class").agg(F.min("id")["row"].alias("row"))
+    return held.join(stay, "row", "left_semi").select("whole.*")
