@@ -199,7 +199,8 @@ def _rebuilt(rows: DataFrame) -> DataFrame:
 
 def without_repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text", from_files: bool = False) -> DataFrame:
     """``docs`` with its texts deduplicated, all other columns as they were (``n_chars`` follows the text where there is one)."""
-    whole = F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("whole")
+    # the text travels once, beside the other columns
+    whole = F.struct(*(docs[f"`{c}`"] for c in docs.columns if c != text)).alias("whole")
     given = docs.select(F.monotonically_increasing_id().alias("row"), docs[doc_id].alias("id"), docs[text].alias("text"), whole)
     rows = given if from_files else cut(given)
     flags = _flagged(rows.select("row", "id", "text"), threshold)
