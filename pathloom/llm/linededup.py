@@ -171,6 +171,22 @@ def _flagged(rows: DataFrame, threshold: float) -> DataFrame:
     return flags.groupBy("row").agg(F.sort_array(F.collect_list(F.col("line") * 2 + drop)).alias("flags"))
 
 
+def _numbered(docs: DataFrame, columns: list[Column], from_files: bool) -> DataFrame:
+    """``columns`` behind a number ``row`` that every later scan repeats, however the files are split by then.
+
+    Rows of files are numbered by 31 bits of their file's name and their place in it; that is checked to be unique. Other rows,
+    and files that the numbers do not tell apart, are numbered once and written.
+    """
+    if from_files:
+        file, place = (docs.metadataColumn("_metadata")[f] for f in ("file_path", "row_index"))
+        name = F.xxhash64(file).bitwiseAND(F.lit((1 << 31) - 1))
+        names = docs.select(name.alias("name"), file.alias("file"), place.alias("place")).groupBy("name")
+        seen = names.agg(F.min("file").alias("a"), F.max("file").alias("b"), F.max("place").alias("last"))
+        if seen.where((F.col("a") != F.col("b")) | (F.col("last") >= 1 << 32)).isEmpty():
+            return docs.select(F.shiftleft(name, 32).bitwiseOR(place).alias("row"), *columns)
+    return cut(docs.select(F.monotonically_increasing_id().alias("row"), *columns))
+
+
 def dedup_lines(
     docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text", from_files: bool = False
 ) -> DataFrame:
@@ -180,10 +196,10 @@ def dedup_lines(
     ``threshold``, whether that line stays or not. Blank lines have no words and always stay. Null texts stay null and have no lines;
     null ids come first. Repeated rows lose the lines that their first row has. Other columns play no part; an empty table gives no rows.
 
-    ``from_files`` says that ``docs`` is read from files and comes in the same order each time; else it is written first.
+    ``from_files`` says that every row of ``docs`` is a row of a Parquet file, as ``spark.read.parquet`` gives it (columns may be
+    left out): its place is then its file, by a hash of the name, and its number there. Other tables are written first.
     """
-    given = docs.select(F.monotonically_increasing_id().alias("row"), docs[doc_id].alias("id"), docs[text].alias("text"))
-    rows = given if from_files else cut(given)
+    rows = _numbered(docs, [docs[doc_id].alias("id"), docs[text].alias("text")], from_files)
     return _rebuilt(rows.join(_flagged(rows, threshold), "row", "left")).select(F.col("id").alias(doc_id), F.col("text").alias(text), "n_lines", "n_removed")
 
 
@@ -201,8 +217,7 @@ def without_repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, doc_id
     """``docs`` with its texts deduplicated, all other columns as they were (``n_chars`` follows the text where there is one)."""
     # the text travels once, beside the other columns
     whole = F.struct(*(docs[f"`{c}`"] for c in docs.columns if c != text)).alias("whole")
-    given = docs.select(F.monotonically_increasing_id().alias("row"), docs[doc_id].alias("id"), docs[text].alias("text"), whole)
-    rows = given if from_files else cut(given)
+    rows = _numbered(docs, [docs[doc_id].alias("id"), docs[text].alias("text"), whole], from_files)
     flags = _flagged(rows.select("row", "id", "text"), threshold)
     done = _rebuilt(rows.join(flags, "row", "left"))
     new = {text: F.col("text"), "n_chars": F.length("text").cast("long")}

@@ -277,6 +277,29 @@ def test_line_dedup(spark):
     assert linededup.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_line_dedup_of_files_split_otherwise(spark, monkeypatch, tmp_path):
+    """Rows keep their numbers when the files are cut into other partitions between two jobs."""
+    rows = [x for x in line_texts()[:-2] if x[0] is not None]  # repeated ids take the order of the files
+    path = str(tmp_path / "docs")
+    docs(spark, rows).repartition(12).write.parquet(path)
+    name, given = "spark.sql.files.maxPartitionBytes", linededup.cut
+    before = spark.conf.get(name)
+
+    def resized(df):
+        out = given(df)
+        spark.conf.set(name, "8k")
+        return out
+
+    monkeypatch.setattr(linededup, "cut", resized)
+    try:
+        for dedup in (linededup.dedup_lines, linededup.without_repeated_lines):
+            spark.conf.set(name, before)
+            got = dedup(spark.read.parquet(path), from_files=True).select("doc_id", "text").collect()
+            assert sorted(map(tuple, got), key=repr) == [x[:2] for x in brute_lines(rows)]
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_pipeline(spark):
     """Stage by stage against what each stage promises."""
     import corpus_pipeline
