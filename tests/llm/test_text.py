@@ -68,6 +68,26 @@ def test_quality_bands(spark, texts):
     assert quality.judged(docs(spark, [])).count() == 0
 
 
+def test_quality_on_held_out_labels(spark):
+    """Rows that the limits of the bands were not taken from: no good text goes, a good part of the junk does."""
+    found = Counter()
+    for sf in ("sf0.1", "sf0.01", "sf0.001"):
+        rows = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").join(spark.read.parquet(f"/root/testdata/{sf}/labels.parquet"), "doc_id")
+        rows = rows.where("doc_id % 2 = 1" if sf == "sf0.1" else "true").select("quality", quality.verdict(rows["text"]).alias("v"))
+        found.update((r["quality"], r["kept"]) for r in rows.where("not v.base_failed").select("quality", "v.kept").collect())
+    assert found[1, True] > 2_000 and not found[1, False]
+    assert found[0, False] >= 0.45 * (found[0, True] + found[0, False])
+
+
+def test_fitted_bands():
+    r = np.random.default_rng(5)
+    sizes = 2 ** r.uniform(8, 14, 2_000)
+    ratios = 0.9 - 0.03 * np.log2(sizes) + r.uniform(-0.01, 0.01, 2_000)
+    bands = quality.fitted(sizes, ratios)
+    assert not any(quality.outside(s, x, bands) for s, x in zip(sizes, ratios))
+    assert all(quality.outside(s, x - 0.06, bands) == "repetitive" for s, x in zip(sizes, ratios) if s >= 256)
+
+
 # --- BPE ------------------------------------------------------------------------------------------
 
 
