@@ -8,7 +8,7 @@ from pathloom.operators import external as ext, vocab as vo
 from pathloom.operators.external import external_sequences as build_external
 from pathloom.plans.fixtures import Clicks, clicks_sql
 from pathloom.plans.queries_sequences import KEYS, SEQ, sequences_of
-from pathloom.plans.registry import query
+from pathloom.plans.registry import CHECKS, query
 from pathloom.session import cut
 
 
@@ -208,3 +208,47 @@ def merge_sequences(spark, sf):
     real = build_external(e, [_TIME, "event_id"], 3, 10, bounded=c.bounded)
     more = build_external(e, [_TIME, "event_id"], 3, 4, prefix="aug_", bounded=c.bounded)
     return ext.merge_sequences(real, more).drop("sequence")
+
+
+# the same over whole sequences, and encodings as long as the reference's
+
+
+def _whole(name: str, *limits: tuple[str, str]) -> str:
+    """The checking SQL of a query without its limits."""
+    sql = CHECKS[name]
+    for limit, without in limits:
+        if limit not in sql:
+            raise ValueError(f"{name} has no limit {limit}")
+        sql = sql.replace(limit, without)
+    return sql
+
+
+@query("external_sequences_whole", _whole("external_sequences", ("least(count(token), 10)", "count(token)"), (" AND pos <= 10", "")))
+def external_sequences_whole(spark, sf):
+    c, e = external_of(spark, sf)
+    return build_external(e, [_TIME, "event_id"], 3, bounded=c.bounded).withColumn("sequence", F.array_join("sequence", " "))
+
+
+@query("external_sequences_by_url_whole", _whole("external_sequences_by_url", ("least(count(*), 7)", "count(*)"), (" FILTER (pos <= 7)", "")))
+def external_sequences_by_url_whole(spark, sf):
+    c, e = external_of(spark, sf)
+    return build_external(e, [_TIME, "event_id"], 3, by_url=True, bounded=c.bounded).withColumn("sequence", F.array_join("sequence", " "))
+
+
+@query("merge_sequences_whole", _whole("merge_sequences", ("least(n, 10)", "n"), ("least(n, 4)", "n")))
+def merge_sequences_whole(spark, sf):
+    c, e = external_of(spark, sf)
+    real, more = (build_external(e, [_TIME, "event_id"], 3, prefix=p, bounded=c.bounded) for p in ("ext_", "aug_"))
+    return ext.merge_sequences(real, more).drop("sequence")
+
+
+@query("encode_sequences_64", _encoded_sql("pos <= 63").replace("16 -", "64 -"))
+def encode_sequences_64(spark, sf):
+    _, long, vocabulary = vocab_of(spark, sf)
+    return _joined(vo.encode_sequences(long, vocabulary, 64, KEYS))
+
+
+@query("encode_sequences_left_64", _encoded_sql("pos > n - 63").replace("16 -", "64 -"))
+def encode_sequences_left_64(spark, sf):
+    _, long, vocabulary = vocab_of(spark, sf)
+    return _joined(vo.encode_sequences(long, vocabulary, 64, KEYS, truncate="left"))

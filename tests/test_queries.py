@@ -32,3 +32,14 @@ def test_entry_contract():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name, length, limit", [
+    ("external_sequences_whole", "length", 11), ("external_sequences_by_url_whole", "length", 8), ("merge_sequences_whole", "length", 11),
+    ("encode_sequences_64", "used_length", 16), ("encode_sequences_left_64", "used_length", 16),
+])
+def test_whole_sequences(spark, con, name, length, limit):
+    """Tokens beyond the limits of the short queries are there."""
+    found = QUERIES[name](spark, SF).cache()
+    assert difference(found, con, CHECKS[name]) is None
+    assert found.agg({length: "max"}).first()[0] > limit
