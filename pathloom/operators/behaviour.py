@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pathloom.operators.ordered import (
+    Fold,
     Keyed,
     fold,
     known,
@@ -287,11 +288,14 @@ def motion_summary(positions: DataFrame, keys: Sequence[str], window_ms: int = 2
 _LONG, _DOUBLE, _STRING = T.LongType(), T.DoubleType(), T.StringType()
 
 
-def rage_clicks(
-    clicks: DataFrame, keys: Sequence[str] = SESSION, window_ms: int = 500, radius: float = 20, times: int = 3,
-    cooldown_ms: int = 1_000, bounded: bool = False,
-) -> DataFrame:
-    """``times`` clicks within ``window_ms`` near the newest one; then a pause. Needs timestamp, event_id, x, y."""
+def click_point(payload: Column) -> tuple[Column, Column]:
+    """Where a click was: its ``click_position``, else ``x`` and ``y``, else 0."""
+    nested = payload["click_position"]
+    return F.coalesce(nested["x"], payload["x"], F.lit(0.0)), F.coalesce(nested["y"], payload["y"], F.lit(0.0))
+
+
+def rage_step(window_ms: int, radius: float, times: int, cooldown_ms: int) -> Fold:
+    """One click: (state, (timestamp, event_id, x, y)) to the new state and the click that fires, if it does."""
 
     def step(state: dict, row: tuple) -> tuple[dict, list[tuple]]:
         ts, event_id, x, y = row
@@ -306,6 +310,15 @@ def rage_clicks(
             return {"recent": recent, **({} if fired is None else {"fired": fired})}, []
         return {"fired": int(ts)}, [(int(ts), event_id, float(x), float(y), len(recent))]
 
+    return step
+
+
+def rage_clicks(
+    clicks: DataFrame, keys: Sequence[str] = SESSION, window_ms: int = 500, radius: float = 20, times: int = 3,
+    cooldown_ms: int = 1_000, bounded: bool = False,
+) -> DataFrame:
+    """``times`` clicks within ``window_ms`` near the newest one; then a pause. Needs timestamp, event_id, x, y (see ``click_point``)."""
+    step = rage_step(window_ms, radius, times, cooldown_ms)
     out = T.StructType([
         T.StructField("timestamp", _LONG), clicks.schema["event_id"], T.StructField("x", _DOUBLE),
         T.StructField("y", _DOUBLE), T.StructField("click_count", _LONG),
