@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pathloom.plans.fixtures import DAY_MS, _payload
-from pathloom.plans.queries_behaviour import RCLICKS, UPTO, W
-from pathloom.plans.queries_streaming import CLICKS, HOUR, collected, event_stream
+from pathloom.plans.fixtures import DAY_MS, _payload, raw_clicks
+from pathloom.plans.queries_behaviour import INTENTS, RCLICKS, UPTO, W
+from pathloom.plans.queries_streaming import CLICKS, HOUR, collected, event_stream, finish
 from pathloom.plans.registry import CHECKS, query
-from pathloom.streaming import live
+from pathloom.session import work_path
+from pathloom.streaming import ingest, intents, late, live
 
 #: What the watermark has passed when the stream has been read.
 _SEEN = '(SELECT max("timestamp") - 600000 FROM clicks)'
@@ -91,3 +92,63 @@ def live_motion(spark, sf):
     rows = event_stream(spark, sf).withColumn("p", _payload())
     rows = rows.select("user_id", "event_time", "timestamp", "event_id", F.col("p.x").alias("x"), F.col("value").cast("double").alias("y"))
     return collected(spark, live.live_motion(rows, window_ms=HOUR, ttl_ms=DAY_MS), "motion")
+
+
+@query("intent_outcomes", f"""{CLICKS} SELECT q.event_id, q.intent, q.outcome, q.wait_ms FROM ({CHECKS["resolve_intents"]}) q JOIN clicks USING (event_id)
+    WHERE "timestamp" + {12 * HOUR + 601_000} < (SELECT max("timestamp") FROM clicks)""")
+def intent_outcomes(spark, sf):
+    """Two streams joined within twelve hours; intents whose bound the watermark has passed."""
+    pairs = collected(spark, intents.intent_pairs(event_stream(spark, sf), 12 * HOUR, INTENTS), "pairs")
+    newest = raw_clicks(spark, sf).agg(F.max("timestamp").alias("newest"))
+    done = intents.resolved(pairs).join(F.broadcast(newest), F.col("timestamp") + 12 * HOUR + 601_000 < F.col("newest"))  # one row
+    return done.select("event_id", "intent", "outcome", "wait_ms")
+
+
+def _delivered(spark, sf, *parts):
+    """Events as files, one after the other; ``parts`` are conditions. The second value adds the next file."""
+    path, rest = work_path(spark, "delivered"), iter(parts)
+
+    def deliver():
+        raw_clicks(spark, sf).where(next(rest)).coalesce(1).write.mode("append").parquet(path)
+
+    return path, deliver
+
+
+@query("late_sessions", f"""{CLICKS} SELECT user_id, count(*) AS events, min("timestamp") AS started, max("timestamp") AS ended,
+    (array_agg(utm_source ORDER BY "timestamp", event_id))[1] AS utm_source, (array_agg(pathname ORDER BY "timestamp" DESC, event_id DESC))[1] AS exit_page,
+    count(*) FILTER (event_type = 'navigation') AS page_depth FROM clicks GROUP BY user_id, session_id""")
+def late_sessions(spark, sf):
+    """A seventh of the events arrives after all others; merged in, the stored sessions are those of all events."""
+    path, deliver = _delivered(spark, sf, "event_id % 7 <> 0", "event_id % 7 = 0")
+    out, progress = work_path(spark, "split"), work_path(spark, "split-progress")
+    for _ in range(2):
+        deliver()
+        stream = spark.readStream.schema(raw_clicks(spark, sf).schema).parquet(path)
+        finish(late.split(stream, out, progress))
+    rows = late.stored(spark, out)
+    sessions = late.merge(late.as_sessions(rows.where(~F.col("late"))), ttl_ms=DAY_MS)
+    whole = late.correct(sessions, rows.where("late"), ttl_ms=DAY_MS)
+    return whole.select("user_id", "events", "started", "ended", "first.utm_source", F.col("last.pathname").alias("exit_page"), "page_depth")
+
+
+@query("late_events", f"""{CLICKS} SELECT event_id, event_id % 7 = 0 AND "timestamp" <= (SELECT max("timestamp") - 600000 FROM clicks WHERE event_id % 7 <> 0) AS late FROM clicks""")
+def late_events(spark, sf):
+    """Rows that come after the watermark has passed them are marked and kept."""
+    path, deliver = _delivered(spark, sf, "event_id % 7 <> 0", "event_id % 7 = 0")
+    out, progress = work_path(spark, "split"), work_path(spark, "split-progress")
+    for _ in range(2):
+        deliver()
+        finish(late.split(spark.readStream.schema(raw_clicks(spark, sf).schema).parquet(path), out, progress))
+    return late.stored(spark, out).select("event_id", "late")
+
+
+@query("follow_events", """SELECT event_id, event_id % 2 AS run FROM events WHERE ts > TIMESTAMP '2024-01-15 12:00:00'""")
+def follow_events(spark, sf):
+    """Two runs over what has arrived by then; the second one resumes and reads only what is new."""
+    path, deliver = _delivered(spark, sf, "event_id % 2 = 0", "event_id % 2 = 1")
+    out, progress = work_path(spark, "followed"), work_path(spark, "followed-progress")
+    schema = raw_clicks(spark, sf).schema
+    for _ in range(2):
+        deliver()
+        finish(ingest.follow(spark, path, schema, out, progress, F.lit("2024-01-15 12:00:00").cast("timestamp_ntz"), 1))
+    return spark.read.parquet(out).select("event_id", F.col("batch").cast("long").alias("run"))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from pathloom.functions.urls import collect_origin
@@ -22,7 +23,8 @@ def accept(lines: DataFrame, origin: Column, received_at: Column) -> DataFrame:
 
 def once(events: DataFrame, delay: str = "1 day", time: str = "event_time") -> DataFrame:
     """Every event id once, as long as its repeats arrive within ``delay``; events without id all stay."""
-    # an event without id gets one of its own, so that one pass over the stream serves both kinds
+    # an event without id gets one of its own, so that one pass over the stream serves both kinds; Spark fixes the generator's
+    # seed per micro-batch and partition, so a repeated task gives the same ids again
     known = F.coalesce(F.col("event_id").cast("string"), F.concat(F.lit("none-"), F.uuid()))
     timed = events.withWatermark(time, delay).withColumn("__id", known)
     return timed.dropDuplicatesWithinWatermark(["__id"]).drop("__id")
@@ -45,3 +47,20 @@ def append(stream: DataFrame, path: str, checkpoint: str, by: list[str] | None =
 def tail(events: DataFrame, since: Column) -> DataFrame:
     """Events received after ``since``: the batch form of a checkpointed stream."""
     return valid(events).where(F.col("received_at") > since)
+
+
+def follow(
+    spark: SparkSession, source: str, schema: T.StructType, path: str, checkpoint: str, since: Column | None = None, files_per_batch: int = 1_000,
+) -> StreamingQuery:
+    """Append what has arrived below ``source`` since the last run, in batches of bounded size.
+
+    The checkpoint remembers the files that were read, so a run that was stopped goes on where it was. Each batch writes its own
+    folder, so a repeated batch replaces itself. ``since`` bounds the first run as in ``tail``.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        rows = valid(batch) if since is None else tail(batch, since)
+        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    new = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    return new.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run).trigger(availableNow=True).start()
