@@ -9,6 +9,7 @@ stands next to the last token of what remains without a merge across the border;
 from __future__ import annotations
 
 import functools
+import hashlib
 import json
 import re
 from array import array
@@ -66,7 +67,9 @@ class Vocabulary:
             self.parts.setdefault(whole, (left, right, r))
         self._left: dict[int, list] = {}
         self._right: dict[int, list] = {}
-        self._fits: dict[tuple[int, int], bool] = {}
+        # pairs of neighbours, left id above 20 bits of the right one
+        self._fits: set[int] = set()
+        self._apart: set[int] = set()
         self.usable: dict[bytes, int] = {}
         for b, i in sorted(self.ids.items(), key=lambda x: self.parts.get(x[1], (0, 0, -1))[2]):
             if len(b) == 1 or i in self.parts and self._forms(*self.parts[i]):
@@ -106,13 +109,17 @@ class Vocabulary:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether two tokens may follow one another."""
-        key = (left, right)
-        known = self._fits.get(key)
-        if known is None:
-            if len(self._fits) > 2_000_000:
-                self._fits.clear()
-            known = self._fits[key] = not self._crossed(left, right, NEVER)
-        return known
+        pair = left << 20 | right
+        if pair in self._fits:
+            return True
+        if pair in self._apart:
+            return False
+        if len(self._fits) + len(self._apart) > 2_000_000:
+            self._fits.clear()
+            self._apart.clear()
+        ok = not self._crossed(left, right, NEVER)
+        (self._fits if ok else self._apart).add(pair)
+        return ok
 
     def encode_words(self, words: Iterable[bytes]) -> dict[bytes, list[int]]:
         """Encodings of distinct words, each shared prefix worked out once.
@@ -120,15 +127,16 @@ class Vocabulary:
         Sorted words are the leaves of their trie in depth-first order, so only the branch to the current word is
         held: per prefix its last token, and the length of its longest suffix that lies within some token.
         """
-        out, tails, fits, size_of = {}, self.tails, self._fits, self.bytes_of
+        out, tails, fits, apart, size_of = {}, self.tails, self._fits, self._apart, self.bytes_of
         before, last, reach = b"", [-1], [0]
         for word in sorted(words):
             same, most = 0, min(len(before), len(word))
             while same < most and before[same] == word[same]:
                 same += 1
             del last[same + 1 :], reach[same + 1 :]
+            size = reach[-1]
             for n in range(same + 1, len(word) + 1):
-                size = reach[-1] + 1
+                size += 1
                 found = tails.get(word[n - size : n])
                 while found is None:
                     size -= 1
@@ -137,10 +145,10 @@ class Vocabulary:
                 for k, token in found:
                     if k == n:
                         break
-                    ok = fits.get((last[n - k], token))
-                    if ok is None:
-                        ok = self.fits(last[n - k], token)
-                    if ok:
+                    pair = last[n - k] << 20 | token
+                    if pair in fits:
+                        break
+                    if pair not in apart and self.fits(last[n - k], token):
                         break
                 else:
                     raise AssertionError("no token ends the prefix")
@@ -187,7 +195,10 @@ class Encoder:
 
     def __init__(self, path: str):
         self.v = vocabulary(path)
-        self.known, self.of_word = Recent(), Recent()
+        self.known, self.of_word = Recent(50_000), Recent(250_000)
+        most = max(self.v.bytes_of) + 1
+        self.bytes_of = [self.v.bytes_of.get(i, b"") for i in range(most)]
+        self.decimal = [str(i).encode() for i in range(most)]
 
     def words(self, piece: str) -> list[tuple[str, int | None]]:
         """Words of a piece as the vocabulary's pattern cuts them, and special tokens with their ids."""
@@ -233,6 +244,37 @@ class Encoder:
         return out
 
 
+def round_trip(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256): every whole text encoded, and decoded again from its ids, in one pass.
+
+    The same as ``digests(decode(encode(docs)))``, but ids and decoded texts stay in the worker that hashes them. Null texts
+    count as empty; rows as in ``encode``.
+    """
+    path = path or public_tokenizers.path(VOCABULARY)
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coder = encoder(path)
+            bytes_of, decimal = coder.bytes_of.__getitem__, coder.decimal.__getitem__
+            counts, of_ids, of_text = [], [], []
+            texts = batch.column(1).to_pylist()
+            for start in range(0, len(texts), 200):
+                for ids in coder.encode([t or "" for t in texts[start : start + 200]]):
+                    ids = ids.tolist()
+                    counts.append(len(ids))
+                    of_ids.append(hashlib.sha256(b",".join(map(decimal, ids))).hexdigest())
+                    decoded = b"".join(map(bytes_of, ids)).decode("utf-8", "replace")
+                    of_text.append(hashlib.sha256(decoded.encode()).hexdigest())
+            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [doc_id, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    return docs.select(F.col(doc_id), F.col(text).alias("__text")).mapInArrow(
+        run, f"`{doc_id}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    )
+
+
 def encode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids): the token ids of every whole text; a null text counts as empty and has none.
 

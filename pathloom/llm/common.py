@@ -31,10 +31,16 @@ class Recent:
         """Bring the wanted entries to ``now``; those that are not known at all come back."""
         if len(self.now) > self.most:
             self.before, self.now = self.now, {}
-        new = wanted - self.now.keys()
-        again = new & self.before.keys()
-        self.now.update((k, self.before[k]) for k in again)
-        return new - again
+        # the small set asks the large ones, never the other way round
+        now, before, new = self.now, self.before, set()
+        for k in wanted:
+            if k not in now:
+                known = before.get(k)
+                if known is None:
+                    new.add(k)
+                else:
+                    now[k] = known
+        return new
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -16,7 +16,7 @@ def compression_bands(spark, sf_dir):
 
 @query("op6_bpe_trie")
 def bpe_trie(spark, sf_dir):
-    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"))))
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
 @query("op7_cost_packing")
