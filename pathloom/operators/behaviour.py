@@ -284,8 +284,37 @@ def motion_summary(positions: DataFrame, keys: Sequence[str], window_ms: int = 2
 
 
 # --- folds ---------------------------------------------------------------------------------------
+#
+# A fold's next step depends on its own last output, so it walks rows in Python. But its state starts afresh at many rows, whatever
+# came before: after a long pause, a new path, a far jump. Windows find these rows, which cut a key into stretches, and find the
+# stretches in which something can happen; only those are walked, each on its own, so a hot key becomes many small ones.
 
 _LONG, _DOUBLE, _STRING = T.LongType(), T.DoubleType(), T.StringType()
+STRETCH = "__stretch"
+
+
+def _stretches(
+    df: DataFrame, keys: Sequence[str], values: Sequence[str], before: dict[str, Column], fresh: Column, stirs: Column, bounded: bool
+) -> DataFrame:
+    """``values`` with the number of the stretch, whether the row is ``__fresh``, and whether its stretch is ``__alive``.
+
+    ``before`` names steps on neighbours (one after the other), which ``fresh`` and ``stirs`` read; a stretch is alive if a row stirs.
+    """
+    own = [*keys, *values, *(c for c in ["event_seq"] if c in df.columns)]
+
+    def build(k: Keyed) -> DataFrame:
+        for name, step in before.items():
+            k = k.add(**{name: step})
+        k = k.cols(__fresh=F.coalesce(fresh, F.lit(False)), __stirs=F.when(F.coalesce(stirs, F.lit(False)), True))
+        k = k.add(**{STRETCH: running_sum(F.col("__fresh").cast("long"))})
+        k = k.add(by=[STRETCH], __so_far=known(F.col("__stirs")), __later=next_known(F.col("__stirs")))
+        return k.cols(__alive=F.coalesce("__so_far", "__later").isNotNull()).df
+
+    return ordered(df.select(*dict.fromkeys(own)), keys, ORDER, build, bounded).drop(*before, "__stirs", "__so_far", "__later")
+
+
+def _walk(rows: DataFrame, keys: Sequence[str], values: Sequence[str], step: Fold, out: T.StructType, bounded: bool) -> DataFrame:
+    return fold(rows, [*keys, STRETCH], ORDER, values, step, out, bounded).drop(STRETCH)
 
 
 def click_point(payload: Column) -> tuple[Column, Column]:
@@ -323,7 +352,12 @@ def rage_clicks(
         T.StructField("timestamp", _LONG), clicks.schema["event_id"], T.StructField("x", _DOUBLE),
         T.StructField("y", _DOUBLE), T.StructField("click_count", _LONG),
     ])
-    return fold(clicks, keys, ORDER, [*ORDER, "x", "y"], step, out, bounded)
+    values = [*ORDER, "x", "y"]
+    before = {f"__t{i}": lag(F.col(f"__t{i - 1}" if i > 1 else "timestamp")) for i in range(1, max(2, times))}
+    fresh = F.col("timestamp") - F.col("__t1") >= max(window_ms, cooldown_ms)
+    dense = F.col("timestamp") - F.col(f"__t{times - 1}") < window_ms if times > 1 else F.lit(True)
+    rows = _stretches(clicks, keys, values, before, fresh, dense, bounded)
+    return _walk(rows.where("__alive"), keys, values, step, out, bounded)
 
 
 def thin_by_delta(
@@ -333,8 +367,10 @@ def thin_by_delta(
     """Rows that differ by ``delta`` or more from the last row kept. The first only sets the base."""
 
     def step(state: dict, row: tuple) -> tuple[dict, list[tuple]]:
-        ts, event_id, v = row
+        ts, event_id, v, later = row
         base = state.get("base")
+        if base is None and later:
+            return {"base": float(v)}, [(int(ts), event_id, float(v))]
         if base is None and first_is_base:
             return {"base": float(v)}, []
         if abs(v - (-1 if base is None else base)) >= delta:
@@ -344,8 +380,16 @@ def thin_by_delta(
     out = T.StructType([
         T.StructField("timestamp", _LONG), values.schema["event_id"], T.StructField(value, _DOUBLE),
     ])
-    rows = values.where(F.col(value).isNotNull())
-    return fold(rows, keys, ORDER, [*ORDER, value], step, out, bounded)
+    v = F.col(value)
+    # the base lies within delta of the row before, so a jump of twice that is kept for certain
+    jump = F.abs(v - F.col("__v")) > 2 * delta * (1 + 1e-6)
+    again = F.coalesce(F.col("__v").isNotNull() & ~jump, F.lit(False))
+    rows = _stretches(values.where(v.isNotNull()), keys, [*ORDER, value], {"__v": lag(v)}, jump, again, bounded)
+    later = rows.where("__alive").withColumn("__later", F.col(STRETCH) > 0)
+    walked = _walk(later, keys, [*ORDER, value, "__later"], step, out, bounded)
+    alone = (F.col(STRETCH) > 0) | (F.lit(not first_is_base) & (F.abs(v + 1) >= delta))
+    quiet = rows.where(~F.col("__alive") & alone).select(*keys, "timestamp", "event_id", v.cast("double").alias(value))
+    return walked.unionByName(quiet)
 
 
 def throttled_speed(
@@ -367,7 +411,17 @@ def throttled_speed(
         T.StructField("timestamp", _LONG), scrolls.schema["event_id"], T.StructField("speed", _DOUBLE),
         T.StructField("distance_px", _DOUBLE), T.StructField("duration_ms", _LONG),
     ])
-    return fold(scrolls.where(F.col(y).isNotNull()), keys, ORDER, [*ORDER, y], step, out, bounded)
+    values = [*ORDER, y]
+    pause = F.col("timestamp") - F.col("__t") >= every_ms
+    moves = F.lit(True) if min_px <= 0 else F.col("__next") != F.col(y)
+    rows = _stretches(
+        scrolls.where(F.col(y).isNotNull()), keys, values, {"__t": lag(F.col("timestamp")), "__next": lead(F.col(y))}, pause, moves, bounded
+    )
+    # the row after a pause ends the stretch before it, too; the first row of a stretch only sets the state. A stretch is alive by
+    # its rows' next ones, so the row that ends it comes along if the row before it is alive
+    rows = ordered(rows, keys, ORDER, lambda k: k.add(__before=lag(F.col("__alive"))).df, bounded)
+    ends = rows.where(F.col("__fresh") & F.col("__before")).withColumn(STRETCH, F.col(STRETCH) - 1)
+    return _walk(rows.where("__alive").unionByName(ends), keys, values, step, out, bounded)
 
 
 def suppress_repeats(
@@ -384,7 +438,14 @@ def suppress_repeats(
     out = T.StructType([
         T.StructField("timestamp", _LONG), navigations.schema["event_id"], T.StructField("pathname", _STRING),
     ])
-    return fold(navigations, keys, ORDER, [*ORDER, "pathname"], step, out, bounded)
+    values = [*ORDER, "pathname"]
+    # the path last kept is that of the row before, and was kept no later
+    other = ~F.col("pathname").eqNullSafe(F.col("__path")) | (F.col("timestamp") - F.col("__t") >= within_ms)
+    before = {"__t": lag(F.col("timestamp")), "__path": lag(F.col("pathname"))}
+    rows = _stretches(navigations, keys, values, before, F.col("__t").isNotNull() & other, F.col("__t").isNotNull() & ~other, bounded)
+    walked = _walk(rows.where("__alive"), keys, values, step, out, bounded)
+    quiet = rows.where(~F.col("__alive")).select(*keys, "timestamp", "event_id", "pathname")
+    return walked.unionByName(quiet)
 
 
 # --- intents ---------------------------------------------------------------------------------------
