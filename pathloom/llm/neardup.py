@@ -169,7 +169,8 @@ def _signed(rows: DataFrame, keep_text: bool) -> DataFrame:
                 h = shingles.of(t)
                 count.append(len(h))
                 low = minhash(h) if len(h) else None
-                signs.append(None if low is None else (low >> np.uint32(24)).astype(np.uint8).tobytes())
+                # the low byte: a minimum over many shingles is small, so its high byte is 0 for every long text
+                signs.append(None if low is None else (low & np.uint32(0xFF)).astype(np.uint8).tobytes())
                 raw = b"" if low is None else low.tobytes()
                 width = 4 * BAND_ROWS
                 bands.append([xxhash.xxh64_intdigest(raw[i : i + width], i) - (1 << 63) for i in range(0, len(raw), width)])

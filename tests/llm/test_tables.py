@@ -191,6 +191,23 @@ def test_posterior():
     assert len(neardup.surviving(signs, np.array([0]), np.array([1]), needed)[0]) == 1
 
 
+@pytest.mark.parametrize("words", [500, 1_000, 3_000])
+@pytest.mark.parametrize("shared, kept", [(0.0, 0.0), (0.4, 0.02), (0.85, 0.97)])
+def test_pruning_of_long_texts(words, shared, kept):
+    """Unlike long texts go before verification, alike ones stay; ``shared`` is the similarity of the shingle sets."""
+    needed = neardup.fewest_matches(0.8, 1e-6)
+    r = np.random.default_rng(words)
+    shingles, stay = neardup.Shingles(), 0
+    same = round(2 * words * shared / (1 + shared))
+    for _ in range(60):
+        common = [f"w{x}" for x in r.integers(0, 10**9, same)]
+        texts = [" ".join(common + [f"v{x}" for x in r.integers(0, 10**9, words - same)]) for _ in range(2)]
+        low = [neardup.minhash(shingles.of(t)) for t in texts]
+        signs = np.stack([(m & np.uint32(0xFF)).astype(np.uint8) for m in low])
+        stay += len(neardup.surviving(signs, np.array([0]), np.array([1]), needed)[0])
+    assert stay <= 60 * kept if shared < 0.8 else stay >= 60 * kept
+
+
 # --- neighbours -----------------------------------------------------------------------------------
 
 
