@@ -1,8 +1,8 @@
 """Centroids, nearest-centroid classification and clustering of session vectors.
 
 A vector table has an id, ``vector`` (array<double>) and, where known, ``cluster`` (−1 is noise).
-Centroids are few: their size is checked before they travel to the tasks, and more of them than fit
-are compared block by block, which gives the same nearest one.
+Centroids travel to the tasks if their size, which is checked, allows it. More of them stay a table, whose blocks meet blocks of
+vectors; the results are the same.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.functions.vectors import EPS, confidence
+from pathloom.functions.vectors import EPS, confidence, distance
 from pathloom.session import cut
 
 CELLS = 4_000_000  # numbers of one centroid block, 32 MB
@@ -32,25 +32,23 @@ def centroids(vectors: DataFrame, by: str = "cluster", noise: bool = False) -> D
     return out.select(F.col(by).alias("cluster"), vector_to_array("__m").alias("centroid"), "n")
 
 
-def blocks(table: DataFrame, cells: int = CELLS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Ids and matrix of the centroids in id order, in blocks that each hold at most ``cells`` numbers."""
-    size = table.agg(F.count(F.lit(1)), F.max(F.size("centroid"))).first()
-    if not size[0]:
-        return []
-    per_block = max(1, cells // size[1])
-    if size[0] <= per_block:
-        parts = [table]
-    else:
-        from pathloom.operators.ordered import numbered
+def one_block(table: DataFrame, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray] | None:
+    """Ids and matrix of the centroids in id order, if they hold at most ``cells`` numbers; else None, and nothing is collected."""
+    n, size = table.agg(F.count(F.lit(1)), F.max(F.size("centroid"))).first()
+    if n * (size or 0) > cells:
+        return None
+    rows = table.select("cluster", "centroid").orderBy("cluster").collect()
+    return np.array([r[0] for r in rows], dtype=int), np.array([r[1] for r in rows], dtype=float).reshape(len(rows), size or 0)
 
-        ranked = numbered(table, ["cluster"], "__n")
-        count = -(-size[0] // per_block)
-        parts = [ranked.where(F.floor((F.col("__n") - 1) / per_block) == i) for i in range(count)]
-    out = []
-    for part in parts:
-        rows = part.select("cluster", "centroid").orderBy("cluster").collect()
-        out.append((np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=float)))
-    return out
+
+def in_blocks(table: DataFrame, cells: int, by: Sequence[str] = ("cluster",)) -> tuple[DataFrame, int]:
+    """Rows numbered by ``by`` and cut into blocks of at most ``cells`` numbers: the table with ``__block``, and the number of blocks."""
+    from pathloom.operators.ordered import numbered
+
+    n, size = table.agg(F.count(F.lit(1)), F.max(F.size("centroid"))).first()
+    per_block = max(1, cells // max(1, size or 1))
+    ranked = numbered(table, list(by), "__n")
+    return ranked.withColumn("__block", F.floor((F.col("__n") - 1) / per_block).cast("int")).drop("__n"), max(1, -(-n // per_block))
 
 
 def _unit(m: np.ndarray, eps: float) -> np.ndarray:
@@ -97,36 +95,75 @@ def _own(ids: np.ndarray, matrix: np.ndarray):
 def assign_nearest(vectors: DataFrame, table: DataFrame, eps: float = EPS, cells: int = CELLS) -> DataFrame:
     """Add ``cluster`` and ``similarity`` of the most similar centroid by cosine; ties go to the lowest id.
 
-    One matrix product per Arrow batch; no pair of vector and centroid ever becomes a row.
+    One matrix product per Arrow batch; no pair of vector and centroid ever becomes a row. Centroids of more than ``cells`` numbers
+    stay a table, see ``_nearest_in_blocks``.
     """
-    out = vectors.withColumn("__best", F.lit(None).cast("struct<cluster:int,similarity:double>"))
-    for ids, matrix in blocks(table, cells):
+    block = one_block(table, cells)
+    if block is None:
+        return _nearest_in_blocks(vectors, table, eps, cells)
+    ids, matrix = block
+    best = F.lit(None).cast("struct<cluster:int,similarity:double>")
+    out = vectors.withColumn("__best", best)
+    if len(ids):
         out = out.withColumn("__best", _nearest(ids, _unit(matrix, eps), eps)("vector", "__best"))
     return out.select(*vectors.columns, "__best.cluster", "__best.similarity")
 
 
-def distances(vectors: DataFrame, table: DataFrame, eps: float = EPS) -> DataFrame:
-    """Add ``distances``, a map from every cluster to 1 − cosine similarity (4 decimals)."""
-    maps = []
-    for ids, matrix in blocks(table):
-        udf = _all_distances(_unit(matrix, eps), eps)
-        keys = F.array(*(F.lit(int(i)) for i in ids))
-        maps.append(F.map_from_arrays(keys, F.transform(udf("vector"), lambda d: F.round(d, 4))))
-    return vectors.withColumn("distances", F.map_concat(*maps) if len(maps) > 1 else maps[0])
-
-
-def classify_vectors(vectors: DataFrame, table: DataFrame) -> DataFrame:
-    """Cluster, confidence and all distances per vector."""
-    out = assign_nearest(distances(vectors, table), table)
-    return out.withColumn("confidence", confidence(F.lit(1.0) - F.col("similarity"))).drop("similarity")
+def _nearest_in_blocks(vectors: DataFrame, table: DataFrame, eps: float, cells: int) -> DataFrame:
+    """Blocks of vectors meet blocks of centroids, a pair of blocks in one task; the best of each vector is an aggregate.
 
-
-def own_distance(vectors: DataFrame, table: DataFrame) -> DataFrame:
+    Tasks hold two blocks of at most about ``cells`` numbers, whatever the number of vectors or centroids.
+    """
+    rows = cut(vectors.withColumn("__row", F.monotonically_increasing_id()))
+    n, size = rows.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    chunks = max(1, -(-n * (size or 1) // cells))
+    ranked, count = in_blocks(table.select("cluster", "centroid"), cells)
+    left = rows.select("__row", "vector", F.pmod(F.xxhash64("__row"), F.lit(chunks)).cast("int").alias("__chunk"))
+    left = left.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    right = ranked.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+
+    def best(mine: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+        if not len(mine) or not len(centres):
+            return pd.DataFrame({"__row": [], "cluster": [], "similarity": []}).astype({"__row": "int64", "cluster": "int32", "similarity": float})
+        centres = centres.sort_values("cluster")
+        sims = _unit(np.stack(mine["vector"].to_numpy()).astype(float), eps) @ _unit(np.stack(centres["centroid"].to_numpy()).astype(float), eps).T
+        at = sims.argmax(axis=1)
+        return pd.DataFrame({"__row": mine["__row"], "cluster": centres["cluster"].to_numpy()[at], "similarity": sims[np.arange(len(at)), at]})
+
+    pair = ["__block", "__chunk"]
+    met = left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInPandas(best, "__row long, cluster int, similarity double")
+    found = met.groupBy("__row").agg(F.max(F.struct("similarity", (-F.col("cluster")).alias("less"))).alias("__b"))
+    out = rows.join(found, "__row", "left")
+    return out.select(*vectors.columns, (-F.col("__b.less")).alias("cluster"), F.col("__b.similarity").alias("similarity"))
+
+
+def distances(vectors: DataFrame, table: DataFrame, eps: float = EPS, cells: int = CELLS) -> DataFrame:
+    """Add ``distances``, a map from every cluster to 1 − cosine similarity (4 decimals). For centroids of one block."""
+    block = one_block(table, cells)
+    if block is None:
+        raise ValueError("too many centroids for a map in every row; assign_nearest gives the nearest one")
+    ids, matrix = block
+    keys = F.array(*(F.lit(int(i)) for i in ids))
+    to_all = _all_distances(_unit(matrix, eps), eps)("vector")
+    return vectors.withColumn("distances", F.map_from_arrays(keys, F.transform(to_all, lambda d: F.round(d, 4))))
+
+
+def classify_vectors(vectors: DataFrame, table: DataFrame, with_distances: bool = True) -> DataFrame:
+    """Cluster and confidence per vector, and all distances if wanted."""
+    rows = distances(vectors, table) if with_distances else vectors
+    return assign_nearest(rows, table).withColumn("confidence", confidence(F.lit(1.0) - F.col("similarity"))).drop("similarity")
+
+
+def own_distance(vectors: DataFrame, table: DataFrame, cells: int = CELLS) -> DataFrame:
     """Add ``own_distance``, Euclidean, to the centroid of the vector's own cluster."""
+    block = one_block(table, cells)
+    if block is None:
+        own = table.select("cluster", F.col("centroid").alias("__own"))
+        out = vectors.join(own, "cluster", "left")
+        return out.select(*vectors.columns, distance(F.col("vector"), F.col("__own")).alias("own_distance"))
+    ids, matrix = block
     out = vectors.withColumn("own_distance", F.lit(None).cast("double"))
-    for ids, matrix in blocks(table):
-        out = out.withColumn("own_distance", _own(ids, matrix)("vector", "cluster", "own_distance"))
-    return out
+    return out.withColumn("own_distance", _own(ids, matrix)("vector", "cluster", "own_distance")) if len(ids) else out
 
 
 def ema_centroids(old: DataFrame, assigned: DataFrame, alpha: float = 0.3) -> DataFrame:
@@ -171,32 +208,31 @@ def token_centroids(long: DataFrame, assignments: DataFrame, vocab: DataFrame, k
     return _unit_counts(counts, ["cluster"])
 
 
-def classify_sessions(long: DataFrame, vocab: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Nearest token centroid per session with confidence, all distances, length and mode.
+def classify_sessions(long: DataFrame, vocab: DataFrame, table: DataFrame, keys: Sequence[str], with_distances: bool = False) -> DataFrame:
+    """Nearest token centroid per session with confidence, length and mode.
 
-    Sessions meet centroids through the tokens they share; a cluster without a shared token has
-    similarity 0. The clusters' ids travel as one short array.
+    Sessions meet centroids through the tokens they share; a cluster without a shared token has similarity 0, and a session that
+    shares none goes to the first cluster. ``with_distances`` adds a map to all clusters, for few of them.
     """
     vectors = tf_vectors(long, vocab, keys)
     scores = vectors.join(table.withColumnRenamed("weight", "__w"), on="token_id").groupBy(*keys, "cluster").agg(
         F.sum(F.col("weight") * F.col("__w")).alias("s")
     )
-    found = scores.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("cluster", "s"))).alias("__s"))
+    nearest = F.max(F.struct("s", (-F.col("cluster")).alias("less"))).alias("__b")
+    lists = [F.map_from_entries(F.collect_list(F.struct("cluster", "s"))).alias("__s")] if with_distances else []
+    found = scores.groupBy(*keys).agg(nearest, *lists)
     lengths = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("seq_len"))
-    ids = table.agg(F.array_sort(F.collect_set("cluster")).alias("ids")).select("ids")
-    rows = lengths.join(found, on=list(keys), how="left").withColumn("__ids", ids.scalar())
-    scored = F.transform(
-        "__ids", lambda c: F.struct((F.lit(1.0) - F.coalesce(F.col("__s")[c], F.lit(0.0))).alias("d"), c.alias("c"))
-    )
-    rows = rows.withColumn("__d", scored).withColumn("__best", F.array_min("__d"))
-    return rows.select(
-        *keys,
-        F.col("__best.c").alias("cluster"),
-        confidence(F.col("__best.d")).alias("confidence"),
-        F.map_from_arrays("__ids", F.transform("__d", lambda x: F.round(x["d"], 4))).alias("distances"),
-        "seq_len",
-        F.lit("token_counts").alias("mode"),
-    )
+    first = table.agg(F.min("cluster").alias("c")).select("c").scalar()
+    rows = lengths.join(found, on=list(keys), how="left").withColumn("__first", first)
+    out = [
+        F.coalesce(-F.col("__b.less"), F.col("__first")).alias("cluster"),
+        confidence(F.lit(1.0) - F.coalesce(F.col("__b.s"), F.lit(0.0))).alias("confidence"),
+    ]
+    if with_distances:
+        rows = rows.withColumn("__ids", table.agg(F.array_sort(F.collect_set("cluster")).alias("ids")).select("ids").scalar())
+        away = F.transform("__ids", lambda c: F.round(F.lit(1.0) - F.coalesce(F.col("__s")[c], F.lit(0.0)), 4))
+        out.append(F.map_from_arrays("__ids", away).alias("distances"))
+    return rows.select(*keys, *out, "seq_len", F.lit("token_counts").alias("mode"))
 
 
 # --- learned ---------------------------------------------------------------------------------------

@@ -9,8 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.functions.vectors import distance
-from pathloom.operators.clusters import centroids, own_distance
+from pathloom.operators.clusters import centroids, in_blocks, own_distance
 from pathloom.session import cut
 
 
@@ -109,21 +108,33 @@ def _spread(vectors: DataFrame) -> DataFrame:
     return table.join(d, on="cluster")
 
 
-def davies_bouldin(vectors: DataFrame) -> DataFrame:
-    """Mean over clusters of the worst (s_i + s_j) / d_ij. Only the per-cluster rows are compared."""
-    everyone = _spread(vectors).agg(F.collect_list(F.struct("cluster", "centroid", "s")).alias("all"))
-    worst = F.transform(
-        "all",
-        lambda x: F.array_max(
-            F.transform(
-                F.filter("all", lambda y: y["cluster"] != x["cluster"]),
-                lambda y: F.coalesce(F.try_divide(x["s"] + y["s"], distance(x["centroid"], y["centroid"])), F.lit(0.0)),
-            )
-        ),
-    )
-    mean = F.try_divide(F.aggregate(worst, F.lit(0.0), lambda a, w: a + w), F.size("all"))
-    rows = vectors.where(F.col("cluster") >= 0).agg(F.count(F.lit(1)).alias("n")).scalar()
-    return everyone.select(F.when((F.size("all") >= 2) & (rows >= 3), mean).alias("davies_bouldin"))
+def davies_bouldin(vectors: DataFrame, cells: int = 65_536) -> DataFrame:
+    """Mean over clusters of the worst (s_i + s_j) / d_ij.
+
+    Clusters are compared in pairs of blocks of at most ``cells`` numbers, one pair in a task; the worst of each is an aggregate.
+    """
+    spread = cut(_spread(vectors).select("cluster", "centroid", "s", "n"))
+    k, n = spread.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    blocked, count = in_blocks(spread.select("cluster", "centroid", "s"), cells)
+    others = F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    left, right = blocked.withColumn("__other", others), blocked.withColumnRenamed("__block", "__other").withColumn("__block", others)
+
+    def worst(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        if not len(mine) or not len(theirs):
+            return pd.DataFrame({"cluster": [], "worst": []})
+        x, y = (np.stack(p["centroid"].to_numpy()).astype(float) for p in (mine, theirs))
+        top = np.zeros(len(x))
+        for i in range(len(x)):  # a row at a time: the difference is exact where the product form is not
+            d = np.sqrt(((x[i] - y) ** 2).sum(1))
+            ratio = np.divide(mine["s"].iloc[i] + theirs["s"].to_numpy(), d, out=np.zeros(len(y)), where=d > 0)
+            ratio[theirs["cluster"].to_numpy() == mine["cluster"].iloc[i]] = 0.0
+            top[i] = ratio.max(initial=0.0)
+        return pd.DataFrame({"cluster": mine["cluster"], "worst": top})
+
+    pair = ["__block", "__other"]
+    met = left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInPandas(worst, "cluster int, worst double")
+    mean = met.groupBy("cluster").agg(F.max("worst").alias("worst")).agg(F.avg("worst").alias("m"))
+    return mean.select(F.when(F.lit(k >= 2 and n >= 3), F.col("m")).alias("davies_bouldin"))
 
 
 def calinski_harabasz(vectors: DataFrame) -> DataFrame:

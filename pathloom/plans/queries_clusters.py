@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pathloom.functions import vectors as vec
-from pathloom.operators import clusters as cl, quality as q, profiles as pf
+from pathloom.operators import clusters as cl, density, quality as q, profiles as pf
 from pathloom.plans.fixtures import Clicks, table
 from pathloom.plans.queries_encoding import vocab_of, vocab_sql
 from pathloom.plans.queries_sequences import KEYS, SEQ
@@ -174,7 +174,7 @@ def classify_sessions(spark, sf):
     _, long, vocabulary = vocab_of(spark, sf)
     vocabulary = cut(vocabulary)
     centres = cut(cl.token_centroids(long, assignments(long), vocabulary, KEYS))
-    out = cl.classify_sessions(long, vocabulary, centres, KEYS)
+    out = cl.classify_sessions(long, vocabulary, centres, KEYS, with_distances=True)
     pairs = F.transform(F.array_sort(F.map_entries("distances")), lambda e: F.format_string("%d:%.4f", e["key"], e["value"]))
     return out.select("session_id", "seq_len", "confidence", F.array_join(pairs, " ").alias("distances"))
 
@@ -307,3 +307,24 @@ def cluster_sessions_checks(spark, sf):
         F.count("cluster").alias("n"), F.bool_and(F.col("probability").between(0, 1)).alias("in_range"),
         F.bool_and(~noise | (F.col("probability") == 0)).alias("noise_is_zero"), (F.count_if(noise) <= 0.2 * F.count(F.lit(1))).alias("little_noise"),
     )
+
+
+def _bare(v: str, i: int) -> str:
+    return f"CAST(floor(CAST({v}[{i}] AS DOUBLE) / 0.02) AS BIGINT)"
+
+
+@query("density_clusters", f"""WITH RECURSIVE p AS (SELECT vec_id AS id, {_bare("embedding", 1)} AS x, {_bare("embedding", 2)} AS y FROM embeddings),
+    c AS (SELECT x, y, count(*) AS n FROM p GROUP BY 1, 2),
+    nb AS (SELECT a.x, a.y, a.n, sum(b.n) AS near FROM c a JOIN c b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY 1, 2, 3),
+    dn AS (SELECT * FROM nb WHERE near >= 12),
+    go AS (SELECT x, y, x AS rx, y AS ry FROM dn UNION SELECT b.x, b.y, go.rx, go.ry FROM go JOIN dn b ON abs(go.x - b.x) <= 1 AND abs(go.y - b.y) <= 1),
+    rt AS (SELECT x, y, min(struct_pack(x := rx, y := ry)) AS r FROM go GROUP BY 1, 2),
+    bd AS (SELECT s.x, s.y, (max(struct_pack(near := d.near, x := d.x, y := d.y, r := rt.r))).r AS r FROM nb s JOIN dn d ON abs(s.x - d.x) <= 1 AND abs(s.y - d.y) <= 1
+      JOIN rt ON rt.x = d.x AND rt.y = d.y WHERE s.near < 12 GROUP BY 1, 2),
+    al AS (SELECT x, y, r FROM rt UNION ALL SELECT x, y, r FROM bd),
+    rk AS (SELECT r, row_number() OVER (ORDER BY sum(c.n) DESC, r) - 1 AS cluster FROM al JOIN c USING (x, y) GROUP BY r)
+    SELECT id, CAST(coalesce(cluster, -1) AS INTEGER) AS cluster FROM p LEFT JOIN al USING (x, y) LEFT JOIN rk USING (r)""")
+def density_clusters(spark, sf):
+    """Dense groups in the plane of the first two components; how much is noise follows from the points alone."""
+    points = vectors_of(spark, sf).select("id", F.slice("vector", 1, 2).alias("vector"))
+    return density.cluster_by_density(points, 0.02, 12).select("id", "cluster")

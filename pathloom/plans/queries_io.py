@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from pathloom.operators import features, vocab as vo
+from pathloom.operators import features, sequences as sq, vocab as vo
 from pathloom.operators.sequences import token_lists
 from pathloom.plans.fixtures import Clicks, clicks_sql, raw_clicks, table
 from pathloom.plans.queries_encoding import vocab_of, vocab_sql
@@ -13,7 +15,7 @@ from pathloom.plans.queries_sequences import KEYS, SEQ
 from pathloom.plans.queries_sessions import FEATURES_SQL
 from pathloom.plans.registry import query
 from pathloom.session import cut, work_path
-from pathloom.sources import events as ev, sinks
+from pathloom.sources import events as ev, sinks, snapshots
 
 CLICKS = "WITH " + clicks_sql()
 _EVENT = ["event_id", "event_type", "timestamp", "page_url", "origin"]
@@ -182,3 +184,52 @@ def encoded_sink(spark, sf):
     ids = F.split("input_ids", " ").cast("array<int>")
     rows = spark.read.csv(path, header=True).withColumn("ids", ids)
     return rows.select("session_id", F.col("used_length").cast("int").alias("used_length"), F.col("ids")[0].alias("first_id"), F.col("ids")[1].alias("second_id"))
+
+
+@query("ordered_collection", f"{SEQ} SELECT session_id, pos, token FROM seq")
+def ordered_collection(spark, sf):
+    """Events stored by session and time; the sequences read them without a shuffle."""
+    name = f"events_{uuid.uuid4().hex}"
+    c = Clicks(spark, sf)
+    ev.save_collection(c.df, name, 8, work_path(spark, "collection"))
+    return sq.semantic_sequences(ev.read_collection(spark, name), bounded=c.bounded)
+
+
+_MODES_SQL = f"""{PROF}, s AS (SELECT * FROM (VALUES ('site0'), ('site1'), ('site2')) AS t(site)), m AS (SELECT * FROM (VALUES ('frozen'), ('live'), ('artifact')) AS t(mode)),
+    x AS (SELECT mode, site, CASE WHEN mode = 'frozen' AND site <> 'site2' THEN 'site_snapshot' WHEN mode = 'frozen' THEN 'artifact_snapshot'
+        WHEN mode = 'live' AND site = 'site1' THEN 'site_live' WHEN mode = 'live' THEN 'artifact_fallback' ELSE 'artifact' END AS source FROM s, m),
+    n AS (SELECT user_id % 6 - 1 AS cluster, count(DISTINCT session_id) AS "count" FROM clicks WHERE origin = 'https://site1' GROUP BY 1)
+    SELECT mode, site, source, prof.cluster, prof."count" * CASE WHEN source <> 'site_snapshot' THEN 1 WHEN site = 'site1' THEN 3 ELSE 2 END AS "count", top_actions
+    FROM x, prof WHERE source <> 'site_live'
+    UNION ALL SELECT mode, site, source, n.cluster, n."count", top_actions FROM x, n LEFT JOIN prof USING (cluster) WHERE source = 'site_live' AND n.cluster >= 0"""
+
+
+@query("snapshot_modes", _MODES_SQL)
+def snapshot_modes(spark, sf):
+    """What three sites show when frozen, live and as the artifact; site0 and site1 have snapshots, site1 two, and only site1 is classified now."""
+    c, _, profiles = profiles_of(spark, sf)
+    profiles = cut(profiles)
+    root = work_path(spark, "versions")
+
+    def of(origin, times):
+        return profiles.withColumns({"origin": F.lit(origin), "count": F.col("count") * times})
+
+    def at(day):
+        return F.lit(f"2024-01-{day:02} 00:00:00").cast("timestamp")
+
+    snapshots.publish(of("https://site0/", 2).unionByName(of("https://Site1", 5)), root, "v1", at(1))
+    snapshots.publish(of("https://site1/", 3), root, "v0", at(2))  # saved later, whatever its name
+    snapshots.publish(profiles, root, "all", at(1), None)
+    site1 = c.df.where(F.col("origin") == "https://site1").select(*KEYS).distinct()
+    counts = site1.groupBy((F.col("user_id") % 6 - 1).cast("int").alias("cluster")).agg(F.count(F.lit(1)).alias("count")).where("cluster >= 0")
+    live = counts.join(profiles.drop("count"), "cluster", "left").withColumn("site", F.lit("site1"))
+    from pathloom.functions.urls import site_key
+
+    sites = raw_clicks(spark, sf).select(site_key(F.col("origin")).alias("site")).distinct()
+    pointers, published = cut(snapshots.newest(spark, root)), snapshots.versions(spark, root)
+    out = None
+    for mode in ("frozen", "live", "artifact"):
+        now = live if mode == "live" else None
+        rows = snapshots.show(snapshots.choose(sites, pointers, mode, now), published, now).withColumn("mode", F.lit(mode))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out.select("mode", "site", "source", "cluster", "count", _text("top_actions", "action"))

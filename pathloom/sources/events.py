@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,6 +66,28 @@ def read_table(spark: SparkSession, name: str, columns: list[str] | None = None)
     return t.select(*columns) if columns else t
 
 
+def save_collection(
+    events: DataFrame, name: str, buckets: int, path: str | None = None, session: Sequence[str] = ("session_id",),
+    order: Sequence[str] = ("timestamp", "event_seq", "event_id"),
+) -> None:
+    """Store events as a table bucketed by session and sorted by time, which session jobs read without a shuffle.
+
+    One file per bucket. A session lies in one bucket whole; sessions beyond ``pathloom.hot.rows`` are cut into ranges when they are
+    read, as from any table. ``path`` makes the table external; columns of ``order`` that are missing play no part.
+    """
+    sort = [*session, *(c for c in order if c in events.columns)]
+    out = events.repartition(buckets, *session).write.mode("overwrite").bucketBy(buckets, *session).sortBy(*sort)
+    (out.option("path", path) if path else out).saveAsTable(name)
+
+
+def read_collection(spark: SparkSession, name: str, columns: Sequence[str] | None = None, limit: int | None = None) -> DataFrame:
+    """A stored collection: all of it, the named columns, or its first ``limit`` events by session and time."""
+    t = spark.table(name)
+    if limit is not None:
+        t = t.orderBy(*(c for c in ("session_id", "timestamp", "event_seq", "event_id") if c in t.columns)).limit(limit)
+    return t.select(*columns) if columns else t
+
+
 def read_external(spark: SparkSession, path: str) -> DataFrame:
     """External clickstream CSV; only the columns used are parsed, splits are read in parallel."""
     head = spark.read.csv(path, header=True).columns

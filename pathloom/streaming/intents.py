@@ -22,6 +22,8 @@ def intent_pairs(
     kind = F.lit(None).cast("string")
     for intent, closing in outcomes.items():
         kind = F.when(F.col("event_type").isin(intent, *closing), F.lit(intent)).otherwise(kind)
+    # the condition names the time, else Spark would filter before the watermark and silence in one kind would hold it back
+    kind = F.when(F.col(time).isNotNull(), kind)
     rows = events.withWatermark(time, delay).withColumn("intent", kind).where(F.col("intent").isNotNull())
     opens = F.col("event_type") == F.col("intent")
     left = rows.where(opens).select(user, "intent", time, "timestamp", "event_id").alias("i")
