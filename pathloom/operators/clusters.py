@@ -120,7 +120,8 @@ def _nearest_in_blocks(vectors: DataFrame, table: DataFrame, eps: float, cells:
     ranked, count = in_blocks(table.select("cluster", "centroid"), cells)
     left = rows.select("__row", "vector", F.pmod(F.xxhash64("__row"), F.lit(chunks)).cast("int").alias("__chunk"))
     left = left.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    right = ranked.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    # written: grouping by a column that the optimizer folds to a constant loses columns on their way to Python
+    left, right = cut(left), cut(ranked.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))))
 
     def best(mine: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
         if not len(mine) or not len(centres):

@@ -410,8 +410,19 @@ def cluster_validation(profiles: DataFrame, total: Column, compat: bool = False)
     )
 
 
-def quality_summary(validated: DataFrame, noise_count: Column, sample_count: Column | None = None) -> DataFrame:
-    """How many clusters hold up, with the sample size put right when the noise exceeds it."""
+#: What a run knows about itself and a summary passes on, as it is.
+MEASURES = {"clustered_session_count": "long", "silhouette": "double", "davies_bouldin": "double", "stability": "double", "note": "string"}
+
+
+def quality_summary(
+    validated: DataFrame, noise_count: Column, sample_count: Column | None = None, measures: dict[str, Column] | None = None
+) -> DataFrame:
+    """How many clusters hold up, with the sample size put right when the noise exceeds it.
+
+    ``measures`` of the run (``MEASURES``) are passed on; what is not given is null, the note empty. A ``noise_rate`` among
+    them takes the place of the computed one.
+    """
+    given = measures or {}
     n = F.sum("count")
     raw = sample_count if sample_count is not None else n
     sample = F.when(noise_count > raw, n + noise_count).otherwise(raw)
@@ -421,7 +432,11 @@ def quality_summary(validated: DataFrame, noise_count: Column, sample_count: Col
         *(F.count_if(F.col("status") == s).alias(f"{s}_clusters") for s in VERDICTS),
         F.count(F.lit(1)).alias("visible_clusters"),
     )
-    return out.withColumn("noise_rate", F.round(F.try_divide("noise_count", "sample_count"), 4))
+    rate = F.round(F.try_divide("noise_count", "sample_count"), 4)
+    if "noise_rate" in given:
+        rate = F.coalesce(given["noise_rate"], rate)
+    passed = {n: given.get(n, F.lit(None)).cast(t) for n, t in MEASURES.items()}
+    return out.withColumns({"noise_rate": rate, **passed, "note": F.coalesce(passed["note"], F.lit(""))})
 
 
 def profile_stability(new: DataFrame, old: DataFrame) -> DataFrame:
@@ -488,6 +503,32 @@ def live_distribution(
     return counts.withColumn("total", total).withColumn("share", F.round(F.col("count") / F.col("total"), 4))
 
 
+def site_report(
+    long: DataFrame, sessions: DataFrame, vocab: DataFrame, table: DataFrame, profiles: DataFrame, keys: Sequence[str] = SESSION,
+    newest: int | None = 120, first_events: int | None = 128, floor: float = 0.0,
+) -> tuple[DataFrame, DataFrame]:
+    """A site's ``newest`` sessions classified now: its clusters with profile and verdict, and its quality summary.
+
+    ``sessions``: keys and last_at of the site. Only a session's ``first_events`` tokens count, as a live classifier sees them. A session
+    that shares no token with any centroid, or is less like its nearest one than ``floor``, is noise. Both counts are features of the
+    report; None takes all.
+    """
+    from pathloom.operators.clusters import classify_sessions
+
+    if newest is not None:
+        sessions = sessions.orderBy(F.desc("last_at"), *keys).limit(newest)
+    own = long.join(sessions.select(*keys), on=list(keys), how="left_semi")
+    if first_events is not None:
+        own = own.where(F.col("pos") <= first_events)
+    found = classify_sessions(own, vocab, table, keys)
+    lost = (F.col("confidence") <= 0) | (F.col("confidence") < floor)
+    labelled = found.withColumn("cluster", F.when(lost, F.lit(-1)).otherwise(F.col("cluster")))
+    total = labelled.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+    clusters, noise = site_clusters(labelled, profiles, total)
+    summary = quality_summary(clusters, noise.select("noise_count").scalar(), total)
+    return clusters, summary
+
+
 def cluster_churn(long: DataFrame, assignments: DataFrame, churn: DataFrame, keys: Sequence[str] = SESSION) -> tuple[DataFrame, DataFrame]:
     """Per cluster: sessions, mean length, churn rate with its warning; and the five leading tokens."""
     lengths = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("length"))

@@ -117,7 +117,8 @@ def davies_bouldin(vectors: DataFrame, cells: int = 65_536) -> DataFrame:
     k, n = spread.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     blocked, count = in_blocks(spread.select("cluster", "centroid", "s"), cells)
     others = F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    left, right = blocked.withColumn("__other", others), blocked.withColumnRenamed("__block", "__other").withColumn("__block", others)
+    # written, since grouping by a column that the optimizer folds to a constant loses columns on their way to Python
+    left, right = cut(blocked.withColumn("__other", others)), cut(blocked.withColumnRenamed("__block", "__other").withColumn("__block", others))
 
     def worst(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         if not len(mine) or not len(theirs):

