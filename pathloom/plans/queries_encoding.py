@@ -8,7 +8,7 @@ from pathloom.operators import external as ext, vocab as vo
 from pathloom.operators.external import external_sequences as build_external
 from pathloom.plans.fixtures import Clicks, clicks_sql
 from pathloom.plans.queries_sequences import KEYS, SEQ, sequences_of
-from pathloom.plans.registry import CHECKS, query
+from pathloom.plans.registry import query
 from pathloom.session import cut
 
 
@@ -60,8 +60,8 @@ def _encoded_sql(where: str, tail: str = "") -> str:
     return f"""{_IDS}, n AS (SELECT *, count(*) OVER (PARTITION BY session_id) AS n FROM ids),
     a AS (SELECT session_id, max(n) AS original_length, list_prepend(2, array_agg(id ORDER BY pos) FILTER ({where})) AS ids FROM n GROUP BY 1)
     SELECT session_id, original_length, len(ids) AS used_length,
-      array_to_string(list_concat(ids, list_transform(range(16 - len(ids)), lambda x: 0)), ' ') AS input_ids,
-      array_to_string(list_concat(list_transform(ids, lambda x: 1), list_transform(range(16 - len(ids)), lambda x: 0)), ' ') AS attention_mask FROM a"""
+      array_to_string(list_concat(ids, list_transform(range(64 - len(ids)), lambda x: 0)), ' ') AS input_ids,
+      array_to_string(list_concat(list_transform(ids, lambda x: 1), list_transform(range(64 - len(ids)), lambda x: 0)), ' ') AS attention_mask FROM a"""
 
 
 def _joined(df):
@@ -71,16 +71,16 @@ def _joined(df):
     )
 
 
-@query("encode_sequences", _encoded_sql("pos <= 15"))
+@query("encode_sequences", _encoded_sql("pos <= 63"))
 def encode_sequences(spark, sf):
     _, long, vocabulary = vocab_of(spark, sf)
-    return _joined(vo.encode_sequences(long, vocabulary, 16, KEYS))
+    return _joined(vo.encode_sequences(long, vocabulary, 64, KEYS))
 
 
-@query("encode_sequences_left", _encoded_sql("pos > n - 15"))
+@query("encode_sequences_left", _encoded_sql("pos > n - 63"))
 def encode_sequences_left(spark, sf):
     _, long, vocabulary = vocab_of(spark, sf)
-    return _joined(vo.encode_sequences(long, vocabulary, 16, KEYS, truncate="left"))
+    return _joined(vo.encode_sequences(long, vocabulary, 64, KEYS, truncate="left"))
 
 
 @query("left_padded", f"""{_IDS}, n AS (SELECT *, count(*) OVER (PARTITION BY session_id) AS n FROM ids),
@@ -125,12 +125,12 @@ _EXT_TOKEN = """CASE concat(event_type, '/', coalesce(product_action, '')) WHEN
 @query("external_sequences", f"""WITH {EXT}, t AS (SELECT *, {_EXT_TOKEN} AS token FROM ext),
     p AS (SELECT *, count(token) OVER (PARTITION BY session_id_hash ORDER BY rn ROWS UNBOUNDED PRECEDING) AS pos FROM t)
     SELECT concat('ext_', session_id_hash) AS session_id, min(t) AS start_timestamp, max(t) AS end_timestamp,
-      1 + least(count(token), 10) AS length,
-      concat('HOME|START_SESSION|NONE ', string_agg(token, ' ' ORDER BY rn) FILTER (token IS NOT NULL AND pos <= 10)) AS "sequence"
+      1 + count(token) AS length,
+      concat('HOME|START_SESSION|NONE ', string_agg(token, ' ' ORDER BY rn) FILTER (token IS NOT NULL)) AS "sequence"
     FROM p GROUP BY session_id_hash HAVING count(token) >= 3""")
 def external_sequences(spark, sf):
     c, e = external_of(spark, sf)
-    out = build_external(e, [_TIME, "event_id"], 3, 10, bounded=c.bounded)
+    out = build_external(e, [_TIME, "event_id"], 3, bounded=c.bounded)
     return out.withColumn("sequence", F.array_join("sequence", " "))
 
 
@@ -149,11 +149,11 @@ def external_sequences(spark, sf):
     q AS (SELECT session_id_hash, token, row_number() OVER (PARTITION BY session_id_hash ORDER BY rn) AS pos FROM m WHERE b IS NULL OR b <> token),
     z AS (SELECT session_id_hash, min(t) AS s, max(t) AS e FROM ext GROUP BY 1)
     SELECT concat('ext_', session_id_hash) AS session_id, any_value(s) AS start_timestamp, any_value(e) AS end_timestamp,
-      1 + least(count(*), 7) AS length, concat('HOME|START_SESSION|NONE ', string_agg(token, ' ' ORDER BY pos) FILTER (pos <= 7)) AS "sequence"
+      1 + count(*) AS length, concat('HOME|START_SESSION|NONE ', string_agg(token, ' ' ORDER BY pos)) AS "sequence"
     FROM q JOIN z USING (session_id_hash) GROUP BY session_id_hash HAVING count(*) >= 3""")
 def external_sequences_by_url(spark, sf):
     c, e = external_of(spark, sf)
-    out = build_external(e, [_TIME, "event_id"], 3, 8, by_url=True, bounded=c.bounded)
+    out = build_external(e, [_TIME, "event_id"], 3, by_url=True, bounded=c.bounded)
     return out.withColumn("sequence", F.array_join("sequence", " "))
 
 
@@ -200,55 +200,11 @@ def undersample(spark, sf):
 
 
 @query("merge_sequences", f"""WITH {EXT}, t AS (SELECT *, {_EXT_TOKEN} AS token FROM ext),
-    n AS (SELECT session_id_hash, count(token) AS n, min(t) AS s, max(t) AS e FROM t GROUP BY 1 HAVING count(token) >= 3)
-    SELECT concat('ext_', session_id_hash) AS session_id, s AS start_timestamp, e AS end_timestamp, 1 + least(n, 10) AS length FROM n
-    UNION ALL SELECT concat('aug_', session_id_hash), s, e, 1 + least(n, 4) FROM n""")
+    n AS (SELECT session_id_hash, count(token) AS n, min(t) AS s, max(t) AS e,
+      concat('HOME|START_SESSION|NONE ', string_agg(token, ' ' ORDER BY rn) FILTER (token IS NOT NULL)) AS "sequence" FROM t GROUP BY 1 HAVING count(token) >= 3)
+    SELECT concat(p, session_id_hash) AS session_id, s AS start_timestamp, e AS end_timestamp, 1 + n AS length, "sequence"
+    FROM n, (SELECT unnest(['ext_', 'aug_']) AS p)""")
 def merge_sequences(spark, sf):
-    c, e = external_of(spark, sf)
-    real = build_external(e, [_TIME, "event_id"], 3, 10, bounded=c.bounded)
-    more = build_external(e, [_TIME, "event_id"], 3, 4, prefix="aug_", bounded=c.bounded)
-    return ext.merge_sequences(real, more).drop("sequence")
-
-
-# the same over whole sequences, and encodings as long as the reference's
-
-
-def _whole(name: str, *limits: tuple[str, str]) -> str:
-    """The checking SQL of a query without its limits."""
-    sql = CHECKS[name]
-    for limit, without in limits:
-        if limit not in sql:
-            raise ValueError(f"{name} has no limit {limit}")
-        sql = sql.replace(limit, without)
-    return sql
-
-
-@query("external_sequences_whole", _whole("external_sequences", ("least(count(token), 10)", "count(token)"), (" AND pos <= 10", "")))
-def external_sequences_whole(spark, sf):
-    c, e = external_of(spark, sf)
-    return build_external(e, [_TIME, "event_id"], 3, bounded=c.bounded).withColumn("sequence", F.array_join("sequence", " "))
-
-
-@query("external_sequences_by_url_whole", _whole("external_sequences_by_url", ("least(count(*), 7)", "count(*)"), (" FILTER (pos <= 7)", "")))
-def external_sequences_by_url_whole(spark, sf):
-    c, e = external_of(spark, sf)
-    return build_external(e, [_TIME, "event_id"], 3, by_url=True, bounded=c.bounded).withColumn("sequence", F.array_join("sequence", " "))
-
-
-@query("merge_sequences_whole", _whole("merge_sequences", ("least(n, 10)", "n"), ("least(n, 4)", "n")))
-def merge_sequences_whole(spark, sf):
     c, e = external_of(spark, sf)
     real, more = (build_external(e, [_TIME, "event_id"], 3, prefix=p, bounded=c.bounded) for p in ("ext_", "aug_"))
-    return ext.merge_sequences(real, more).drop("sequence")
-
-
-@query("encode_sequences_64", _encoded_sql("pos <= 63").replace("16 -", "64 -"))
-def encode_sequences_64(spark, sf):
-    _, long, vocabulary = vocab_of(spark, sf)
-    return _joined(vo.encode_sequences(long, vocabulary, 64, KEYS))
-
-
-@query("encode_sequences_left_64", _encoded_sql("pos > n - 63").replace("16 -", "64 -"))
-def encode_sequences_left_64(spark, sf):
-    _, long, vocabulary = vocab_of(spark, sf)
-    return _joined(vo.encode_sequences(long, vocabulary, 64, KEYS, truncate="left"))
+    return ext.merge_sequences(real, more).withColumn("sequence", F.array_join("sequence", " "))

@@ -14,7 +14,8 @@ SELECTED = [
     "sequence_audit", "build_vocab", "encode_sequences_left", "external_sequences_by_url", "labelled_sessions", "undersample",
     "assign_nearest", "classify_vectors", "silhouette", "davies_bouldin", "auc_metrics", "classify_sessions", "exit_hotspots_all",
     "cluster_profiles", "merge_profiles", "unique_labels", "profile_stability", "funnel_by_type", "clean_urls", "attribution",
-    "json_batches_source", "site_snapshots", "stream_sessions",
+    "json_batches_source", "snapshot_modes", "ordered_collection", "density_clusters", "refresh_moved", "site_report", "quality_summary", "stream_sessions",
+    "live_behaviour", "live_exit_records", "intent_outcomes", "late_sessions", "follow_events",
 ]
 
 
@@ -35,11 +36,11 @@ def test_entry_contract():
 
 
 @pytest.mark.parametrize("name, length, limit", [
-    ("external_sequences_whole", "length", 11), ("external_sequences_by_url_whole", "length", 8), ("merge_sequences_whole", "length", 11),
-    ("encode_sequences_64", "used_length", 16), ("encode_sequences_left_64", "used_length", 16),
+    ("external_sequences", "length", 11), ("external_sequences_by_url", "length", 8), ("merge_sequences", "length", 11),
+    ("encode_sequences", "used_length", 16), ("encode_sequences_left", "used_length", 16),
 ])
 def test_whole_sequences(spark, con, name, length, limit):
-    """Tokens beyond the limits of the short queries are there."""
+    """Long sequences are there, with more tokens than a first page of them."""
     found = QUERIES[name](spark, SF).cache()
     assert difference(found, con, CHECKS[name]) is None
     assert found.agg({length: "max"}).first()[0] > limit

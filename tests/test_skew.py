@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pathloom.functions.payload import parse_payload
-from pathloom.operators import behaviour as b, external as ext, reports as rp, sequences as sq, sessions as ss, vocab as vo
+from pathloom.operators import behaviour as b, external as ext, quality as q, reports as rp, sequences as sq, sessions as ss, vocab as vo
 from pathloom.plans.fixtures import DAY_MS, raw_clicks
 
 SF = "/root/testdata/sf0.001"
@@ -27,6 +27,22 @@ def xy(df):
 
 
 H = 3_600_000
+
+
+def external(c):
+    rows = c.select(
+        F.col("session_id").alias("session_id_hash"), F.when(F.col("k") % 3 == 0, "pageview").otherwise("event_product").alias("event_type"),
+        F.when(F.col("k") % 3 > 0, F.element_at(F.array(*map(F.lit, ("detail", "add", "remove"))), F.col("k") % 3 + 1)).alias("product_action"),
+        F.col("timestamp").alias(ext.TIME), "event_id", "page_url",
+    )
+    return ext.external_sequences(rows, [ext.TIME, "event_id"])
+
+
+def remapped(c):
+    long = sq.semantic_sequences(c, KEYS)
+    return sq.remap_tokens(long, long.where(F.col("token").startswith("PRODUCT")), {"HOME|ENTER_HOME|NONE": "PRODUCT|VIEW_PRODUCT|NONE"}, KEYS)[0]
+
+
 OPERATORS = {
     "sessionize": lambda c: ss.sessionize(c.drop("session_id", "session_no", "event_seq", "inter_event_gap", "is_new_session", "is_returning"), ttl_ms=H).select("event_id", "session_id", "event_seq", "inter_event_gap"),
     "event_seq": lambda c: ss.event_seq(c.drop("event_seq"), KEYS).select("event_id", "event_seq"),
@@ -51,6 +67,13 @@ OPERATORS = {
     "tokens": lambda c: sq.semantic_tokens(c, KEYS).select("event_id", "token", "section"),
     "sequences": lambda c: sq.semantic_sequences(c, KEYS),
     "vocabulary": lambda c: vo.build_vocab(sq.event_sequences(c, KEYS)),
+    "gap": lambda c: ss.inter_event_gap(c.drop("inter_event_gap"), KEYS).select("event_id", "inter_event_gap"),
+    "paths": lambda c: b.nav_paths(c, KEYS).select("event_id", "page_depth", "previous"),
+    "context": lambda c: ss.carry_context(c, {"place": F.col("p.section"), "source": F.col("utm_source")}, KEYS).select("event_id", "place", "source"),
+    "remap": lambda c: remapped(c),
+    "external": lambda c: external(c).withColumn("sequence", F.array_join("sequence", " ")),
+    "undersample": lambda c: ext.undersample(c.select("event_id", (F.col("user_id") % 2).cast("string").alias("kind")), "kind", "0", "event_id", 1, 7),
+    "auc": lambda c: q.auc_metrics(c.select((F.col("k") % 2).alias("y_true"), (F.col("event_id") / 1_000).alias("y_prob"))),
     "labelled": lambda c: ext.labelled_sessions(
         c.select(F.col("session_id").alias("session_id_hash"), "event_type", F.lit("add").alias("product_action"), F.col("timestamp").alias(ext.TIME), "event_id"),
         [ext.TIME, "event_id"]),
