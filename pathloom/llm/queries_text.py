@@ -11,7 +11,8 @@ from pathloom.llm.registry import query
 
 @query("op8_compression_bands")
 def compression_bands(spark, sf_dir):
-    return quality.judged(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return quality.judged(docs, bands=quality.fit_bands(docs, table(spark, sf_dir, "labels")))
 
 
 @query("op6_bpe_trie")

@@ -69,16 +69,58 @@ def test_quality_bands(spark, texts):
 
 
 def test_quality_on_held_out_labels(spark):
-    """Rows that the limits of the bands were not taken from: no good text goes, a good part of the junk does."""
+    """Rows that the bands are not fitted to: no good text goes, a good part of the junk does."""
     found = Counter()
+    large = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").where("doc_id % 2 = 0")
+    bands = quality.fit_bands(large, labels)
+    assert bands == quality.fit_bands(large.repartition(7), labels.repartition(3))
     for sf in ("sf0.1", "sf0.01", "sf0.001"):
         rows = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").join(spark.read.parquet(f"/root/testdata/{sf}/labels.parquet"), "doc_id")
-        rows = rows.where("doc_id % 2 = 1" if sf == "sf0.1" else "true").select("quality", quality.verdict(rows["text"]).alias("v"))
+        rows = rows.where("doc_id % 2 = 1" if sf == "sf0.1" else "true").select("quality", quality.verdict(rows["text"], bands).alias("v"))
         found.update((r["quality"], r["kept"]) for r in rows.where("not v.base_failed").select("quality", "v.kept").collect())
     assert found[1, True] > 2_000 and not found[1, False]
     assert found[0, False] >= 0.45 * (found[0, True] + found[0, False])
 
 
+def test_ordinary_prose_passes_the_bands_for_any_text():
+    """Licences of this machine, whole and in excerpts, as far as they pass the base rule."""
+    import glob
+
+    import zstandard
+
+    packer, judged = zstandard.ZstdCompressor(level=3), 0
+    for path in sorted(glob.glob("/usr/share/common-licenses/*")):
+        with open(path, encoding="utf-8", errors="replace") as f:
+            whole = f.read()
+        for size in (300, 1_000, 3_000, 5_000, 9_000, 15_000, len(whole)):
+            for start in range(0, max(1, len(whole) - size + 1), size):
+                out = quality.judge_text(whole[start : start + size], packer, quality.BANDS, quality.CHUNK_BYTES, quality.BAD_CHUNKS)
+                judged += not out[5]
+                assert out[5] or out[6], (path, start, size, out)
+    if not judged:
+        pytest.skip("no licences here")
+
+
+def test_chunk_rule():
+    import zstandard
+
+    packer, r = zstandard.ZstdCompressor(level=3), np.random.default_rng(2)
+    words = ["".join(chr(97 + c) for c in r.integers(0, 26, r.integers(2, 9))) for _ in range(4_000)]
+    prose = " ".join(words[i % 4_000] for i in r.permutation(60_000))
+    noise = "".join(chr(c) for c in r.integers(33, 127, 20_000))
+    for text, want in ((prose[:40_000], None), (prose[:20_000] + "".join(f" aaaaaaaaaaaaaaaa{i}" for i in range(1_000)), "chunks repetitive"), (prose[:24_000] + noise, "chunks incompressible")):
+        out = quality.judge_text(text, packer, [quality.Band(128, 0.3, 0.75), quality.Band(20_000, 0.0, 2.0)], 4_096, 0.3)
+        assert not out[5] and out[10] == want and out[6] == (want is None), (out, want)
+
+
+def test_bands_without_labels_or_with_odd_ones(spark):
+    given = docs(spark, ["word " * 50, None])
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    odd = spark.createDataFrame([(0, 1), (0, 1), (None, 1), (77, 1), (1, 1), (0, None)], "doc_id long, quality int")
+    assert quality.fit_bands(given, none) == quality.fit_bands(given, odd) == list(quality.BANDS)
+
+
 def test_fitted_bands():
     r = np.random.default_rng(5)
     sizes = 2 ** r.uniform(8, 14, 2_000)
