@@ -10,8 +10,8 @@ from pathloom.session import cut
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression bands accept."""
-    return quality.keep_good(docs)
+    """Documents that the compression bands accept, which are fitted to the corpus's labelled texts."""
+    return quality.keep_good(docs, bands=quality.fit_bands(docs, table(spark, sf_dir, "labels")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
