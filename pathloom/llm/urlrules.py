@@ -124,8 +124,8 @@ def judge(
     wanted = rule_table(spark, [*host_rules, *wildcard_rules])
 
     filed = wanted.select("rule_id", F.explode("tokens").alias("token"))
-    used = rows.select(F.explode(tokens).alias("token")).join(filed.select("token").distinct(), "token", "left_semi")
-    counts = used.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    # counted where they are read, so that a token of every URL is one row per task before it meets the rules
+    counts = rows.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     rarest = filed.join(counts, "token", "left").groupBy("rule_id").agg(
         F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))["token"].alias("token")
     )
