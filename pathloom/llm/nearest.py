@@ -187,7 +187,7 @@ def search(
     Vectors that are null, zero or hold null or non-finite components take no part, neither do null ids. Candidates are all
     rows but those with the query's own id; ties go to the smaller id. Repeated query ids are answered once, a repeated row is a candidate as
     often as it occurs. Fewer candidates than ``k``: all of them. Empty tables give no rows. Vectors must have one length.
-    ``leaves`` says how many leaves each query opened. Only the tree and the calibration queries pass through the driver,
+    ``leaves`` says how many leaves each query opened at least; one whose leaves hold too few rows goes on until they hold ``k``. Only the tree and the calibration queries pass through the driver,
     both bounded by parameters; hot leaves are cut into blocks.
     """
     spark = vectors.sparkSession
@@ -198,7 +198,9 @@ def search(
         return rows.where(usable(F.col("v")) & F.col("id").isNotNull())
 
     every = clean(vectors)
-    chosen = every.where(_share("id", 1, sample_rows, every.count())).limit(2 * sample_rows).select("v").toPandas()
+    chosen = every.where(_share("id", 1, sample_rows, every.count())).orderBy(F.xxhash64("id"), "id", "v").limit(2 * sample_rows).toPandas()
+    # the tree depends on the order of its rows, which must not depend on how the table is split
+    chosen = chosen.assign(v=chosen["v"].map(tuple)).sort_values(["id", "v"])
     asked = clean(queries).groupBy("id").agg(F.min("v").alias("v"))
     if not len(chosen):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, leaves int")
@@ -213,13 +215,29 @@ def search(
     blocks = filed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     rows = filed.join(blocks, "leaf").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).drop("blocks")
     blocks = cut(blocks)
+    held = np.zeros(tree.leaves, np.int64)  # one number per leaf of the bounded tree
+    for leaf, n in filed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect():
+        held[leaf] = n
+
+    def enough(v: np.ndarray, own: int, n: int) -> list[int]:
+        """The first ``n`` leaves, and more until they hold ``k`` rows that may be candidates."""
+        leaves = list(tree.visits(v, n))
+        if held[leaves].sum() < k + own and n < tree.leaves:
+            order = list(tree.visits(v, tree.leaves))
+            n += int(np.searchsorted(np.cumsum(held[order])[n:], k + own)) + 1
+            leaves = order[:n]
+        return leaves
+
+    times = filed.join(asked.select("id"), "id", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+    asked = cut(asked.join(times, "id", "left").withColumn("own", F.coalesce("own", F.lit(0))))
 
     def visiting(n: int):
         def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 for i in range(0, len(b), 256):
                     some = b.iloc[i : i + 256]
-                    leaves = [tree.visits(np.asarray(v, float), n) for v in some["v"]]
+                    leaves = [enough(np.asarray(v, float), int(own), n) for v, own in zip(some["v"], some["own"])]
+                    some = some.drop(columns="own")
                     yield some.assign(leaf=leaves).explode("leaf").astype({"leaf": "int32"})
 
         return visit

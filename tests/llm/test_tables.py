@@ -339,3 +339,26 @@ def test_pipeline(spark):
     assert all(not pii.base_spans(r["text"] or "") for r in clean.collect())
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == {r["doc_id"] for r in clean.collect()}
     assert all(r["n_chars"] == len(r["text"]) for r in clean.where(F.col("text").isNotNull()).collect())
+
+
+def test_neighbours_among_copies(spark):
+    """Most vectors are copies of one: every query still gets 20 rows, most of them right, and the same ones for any split."""
+    r = np.random.default_rng(8)
+    v = r.normal(size=(2_000, 8))
+    v[:1_400] = v[0]
+    rows = [(int(i), [float(x) for x in v[i]], "q", 1) for i in r.permutation(2_000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, leaf string, rank int")
+    asked = [i for i in range(0, 2_000, 20)]
+    found = {}
+    for some in (df.coalesce(1), df.repartition(7)):
+        got = sorted((x["query_id"], x["rank"], x["vec_id"]) for x in nearest.search(some, some.where("vec_id % 20 = 0"), k=20).collect())
+        assert found in ({}, got)
+        found = got
+    by_query = {q: [i for a, _, i in found if a == q] for q in asked}
+    assert all(len(x) == 20 and q not in x for q, x in by_query.items())
+    hits = 0
+    for q, have in by_query.items():
+        score = v @ v[q]
+        score[q] = -np.inf
+        hits += len(set(have) & set(np.lexsort((np.arange(2_000), -score))[:20].tolist()))
+    assert hits >= 0.9 * 20 * len(asked)
