@@ -86,6 +86,25 @@ def churn_model_checks(spark, sf):
     return p.select("session_id", F.col("y_prob").between(0, 1).alias("in_range"), ((F.col("y_prob") > 0.5).cast("int") == F.col("y_pred")).alias("agrees"))
 
 
+@query("one_hot", f"""{CLICKS}, f AS (SELECT session_id, (array_agg(device_type ORDER BY "timestamp", event_id))[1] AS device_type, count(*) AS n FROM clicks GROUP BY 1)
+    SELECT session_id, device_type, 1.0 AS total, n + 1.0 AS whole FROM f""")
+def one_hot(spark, sf):
+    """Texts become one flag each, numbers stay: the flag that is set names the value again."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+
+    events = Clicks(spark, sf).df
+    rank = F.struct("timestamp", "event_id")
+    rows = cut(events.groupBy("session_id").agg(F.min_by("device_type", rank).alias("device_type"), F.count(F.lit(1)).cast("double").alias("n")))
+    model = Pipeline(stages=churn.projection(rows)).fit(rows)
+    names = F.array(*(F.lit(x) for x in model.stages[0].labelsArray[0]))
+    out = model.transform(rows).select("session_id", vector_to_array("device_type__v").alias("v"), vector_to_array("features").alias("x"))
+    total = [F.aggregate(c, F.lit(0.0), lambda a, b: a + b) for c in ("v", "x")]
+    return out.select(
+        "session_id", F.element_at(names, F.array_position("v", 1.0).cast("int")).alias("device_type"), total[0].alias("total"), total[1].alias("whole")
+    )
+
+
 @query("kept_sessions", f"{CLICKS} SELECT DISTINCT session_id FROM clicks WHERE event_type IN ('add_to_cart', 'purchase_click')")
 def kept_sessions(spark, sf):
     """Converted sessions: a semi-join by flag."""

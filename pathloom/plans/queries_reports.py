@@ -319,3 +319,20 @@ def prototype_names(spark, sf):
     names = ("scroll_speed", "tab_exit", "inactivity", "input_change", "click")
     counts = e.groupBy((F.col("user_id") % 3).alias("cluster")).agg(*(F.count_if(F.col("event_type") == n).alias(n) for n in names))
     return counts.select("cluster", pf.prototype_name({n: F.col(n) for n in names}).alias("name"))
+
+
+@query("sql_views", f"""{SEQ}, {_STAGE}, x AS (SELECT session_id, count(*) AS n_events, (array_agg(pathname ORDER BY "timestamp" DESC, event_id DESC))[1] AS exit_page FROM clicks GROUP BY 1),
+    l AS (SELECT session_id, count(*) AS n_tokens FROM seq GROUP BY 1)
+    SELECT stage, count(*) AS sessions, sum(n_tokens) AS tokens, sum(n_events) AS events, count(*) FILTER (exit_page = '/cart') AS left_in_cart
+    FROM stg JOIN l USING (session_id) JOIN x USING (session_id) GROUP BY 1""")
+def sql_views(spark, sf):
+    """A report in SQL over the operators' views."""
+    from pathloom.views import register_views
+
+    register_views(Clicks(spark, sf).df, KEYS, "pathloom_", ["session_stages", "session_sequences", "exit_records"])
+    return spark.sql("""
+        SELECT s.stage, count(*) AS sessions, sum(t.n) AS tokens, sum(e.n) AS events, count_if(x.exit_page = '/cart') AS left_in_cart
+        FROM pathloom_session_stages s JOIN pathloom_exit_records x USING (user_id, session_id)
+        JOIN (SELECT session_id, count(*) AS n FROM pathloom_session_sequences GROUP BY session_id) t USING (session_id)
+        JOIN (SELECT session_id, count(*) AS n FROM pathloom_events GROUP BY session_id) e USING (session_id)
+        GROUP BY s.stage""")

@@ -45,16 +45,24 @@ def collected(spark, stream, name):
     return spark.read.parquet(path)
 
 
-@query("ingest_stream", f"""{CLICKS} SELECT event_id, event_type, origin FROM clicks WHERE event_type <> 'menu'""")
+@query("ingest_stream", f"""{CLICKS} SELECT event_id, event_type, origin FROM clicks
+    UNION ALL SELECT NULL, 'anonymous', origin FROM (SELECT DISTINCT origin FROM clicks), (SELECT unnest(range(4)))""")
 def ingest_stream(spark, sf):
-    """Every event is delivered twice, in batches as a collector sends them; it is stored once."""
+    """Every event is delivered twice, in batches as a collector sends them; it is stored once.
+
+    Each site also sends texts that are no batch, events without a type, and events without an id: the first two are dropped, the
+    last ones all stay, two of each delivery.
+    """
     path = work_path(spark, "deliveries")
     e = raw_clicks(spark, sf).select(
         F.col("event_id").alias("n"), F.struct(F.col("event_id").cast("string").alias("event_id"), "event_type", "timestamp").alias("e"), "origin"
     )
     for folder, size in (("a", 30), ("b", 7)):
         lines = e.groupBy("origin", F.floor(F.col("n") / size).alias("batch")).agg(F.to_json(F.struct(F.collect_list("e").alias("events"))).alias("body"))
-        lines.select("origin", "body").write.parquet(f"{path}/{folder}")
+        nameless = '{"event_type": "anonymous", "timestamp": 1704067200000, "event_id": null}'
+        odd = ["no batch", "", "[1, 2]", '{"events": [{"event_id": "x"}]}', '{"events": 7}', f'{{"events": [{nameless}, {nameless}]}}']
+        sites = e.select("origin").distinct().select("origin", F.explode(F.array(*map(F.lit, odd))).alias("body"))
+        lines.select("origin", "body").unionByName(sites).write.parquet(f"{path}/{folder}")
     raw = spark.readStream.schema("origin string, body string").option("recursiveFileLookup", True).parquet(path)
     accepted = ingest.accept(raw.withColumnRenamed("body", "value"), F.col("origin"), F.current_timestamp())
     timed = accepted.withColumn("event_time", ingest.event_time(F.col("timestamp")))
