@@ -86,8 +86,11 @@ def distinct_phrases(words: np.ndarray, alive: np.ndarray, order: int, total: in
     return at[first], counts
 
 
-def _counter(orders: Sequence[int], passed):
-    """Counts phrases of the orders in a partition of (lang, text); emits (lang, k, phrase, n), k = 0 for all words."""
+def _counter(orders: Sequence[int], passed, as_hashes: bool = False):
+    """Counts phrases of the orders in a partition of (lang, text); emits (lang, k, phrase, n), k = 0 for all words.
+
+    ``as_hashes`` emits (h, n) instead, without the phrases themselves.
+    """
 
     def count(lang: str, held: list[np.ndarray], names: list[bytes], hashes: np.ndarray | None) -> Iterator[tuple]:
         words = np.concatenate(held)
@@ -114,6 +117,10 @@ def _counter(orders: Sequence[int], passed):
             alive = np.logical_and.reduce([ok[j : j + size] for j in range(k - m + 1)])
             if not alive.any():
                 continue
+            if as_hashes:
+                places = np.flatnonzero(alive)
+                yield np.unique(folded(lang, [of_word[places + j] for j in range(k)]), return_counts=True)
+                continue
             at, counts = distinct_phrases(words, alive, k, len(names))
             rows = np.stack([words[at + j] for j in range(k)], 1).tolist()
             phrases = [b" ".join([names[i] for i in row]).decode("utf-8", "replace") for row in rows]
@@ -130,7 +137,14 @@ def _counter(orders: Sequence[int], passed):
                 new = [xxhash.xxh64_intdigest(w) for w in names[len(hashes) :]]
                 hashes = np.concatenate([hashes, np.array(new, np.uint64)])
             for lang in sorted(held):
-                for langs, ks, phrases, ns in count(lang, held[lang], names, hashes):
+                for found in count(lang, held[lang], names, hashes):
+                    if as_hashes:
+                        h, ns = found
+                        for i in range(0, len(h), 500_000):
+                            columns = [pa.array(h[i : i + 500_000].view(np.int64)), pa.array(ns[i : i + 500_000], pa.int64())]
+                            yield pa.RecordBatch.from_arrays(columns, ["h", "n"])
+                        continue
+                    langs, ks, phrases, ns = found
                     for i in range(0, len(langs), 50_000):
                         j = i + 50_000
                         yield pa.RecordBatch.from_arrays(
@@ -164,23 +178,35 @@ def counted(texts: DataFrame, orders: Sequence[int], min_count: int, passed=None
     return cut(sums.where((F.col("k") == 0) | (F.col("n") >= min_count)))
 
 
-def marked(frequent: DataFrame, order: int) -> Filter:
-    """The filter over all phrases of one order. Its size follows their number up to ``MOST_BITS``; packed by Spark in blocks of 8 KB."""
-    size = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, frequent.count()) * BITS_EACH))))
+def frequent_hashes(texts: DataFrame, order: int, min_count: int, passed) -> DataFrame:
+    """(h) of the hashes that phrases of one order have ``min_count`` times together, written out: all frequent phrases, and a few others."""
+    rows = texts.mapInArrow(_counter([order], passed, as_hashes=True), "h long, n long")
+    return cut(rows.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count).select("h"))
+
+
+def hashes_of(phrases: DataFrame) -> DataFrame:
+    """(h) of phrases (lang, phrase)."""
 
-    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for lang, phrases in pdf.groupby("lang")["phrase"]:
-                words = [[xxhash.xxh64_intdigest(w) for w in p.encode().split(b" ")] for p in phrases]
-                at = (folded(lang, list(np.array(words, np.uint64).T)) >> np.uint64(64 - size)).astype(np.int64)
-                yield pd.DataFrame({"block": at >> 16, "at": at & 0xFFFF})
+            for lang, some in pdf.groupby("lang")["phrase"]:
+                words = [[xxhash.xxh64_intdigest(w) for w in p.encode().split(b" ")] for p in some]
+                yield pd.DataFrame({"h": folded(lang, list(np.array(words, np.uint64).T)).view(np.int64)})
+
+    return phrases.select("lang", "phrase").mapInPandas(run, "h long")
+
+
+def marked(hashes: DataFrame, order: int) -> Filter:
+    """The filter over all hashes of one order. Its size follows their number up to ``MOST_BITS``; packed by Spark in blocks of 8 KB."""
+    size = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, hashes.count()) * BITS_EACH))))
 
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         flags = np.zeros(1 << 16, np.uint8)
         flags[pdf["at"].to_numpy()] = 1
         return pd.DataFrame({"block": [key[0]], "bits": [np.packbits(flags, bitorder="little").tobytes()]})
 
-    at = frequent.select("lang", "phrase").mapInPandas(places, "block long, at long").distinct()
+    place = F.shiftrightunsigned("h", 64 - size)
+    at = hashes.select(F.shiftright(place, 16).alias("block"), place.bitwiseAND(F.lit(0xFFFF)).alias("at")).distinct()
     bits = np.zeros(1 << (size - 3), np.uint8)
     for row in at.groupBy("block").applyInPandas(pack, "block long, bits binary").toLocalIterator():
         bits[row["block"] << 13 : (row["block"] + 1) << 13] = np.frombuffer(row["bits"], np.uint8)
@@ -188,14 +214,20 @@ def marked(frequent: DataFrame, order: int) -> Filter:
 
 
 def frequent_phrases(texts: DataFrame, min_count: int, longest: int) -> DataFrame:
-    """(lang, k, phrase, n) of all frequent phrases of 1 to ``longest`` words, and the number of words as order 0."""
-    spark = texts.sparkSession
-    known = counted(texts, [1], min_count)
-    out = known
-    for orders in ([k] if k < 4 else range(4, longest + 1) for k in range(2, min(longest, 4) + 1)):
-        passed = spark.sparkContext.broadcast(marked(known.where(F.col("k") == orders[0] - 1), orders[0] - 1))
-        known = counted(texts, orders, min_count, passed)
-        out = out.unionByName(known)
+    """(lang, k, phrase, n) of all frequent phrases of 1 to ``longest`` words, and the number of words as order 0.
+
+    Pairs are by far the most, so they are counted by their hashes first; only pairs whose hash is frequent are spelled out, in
+    the pass that counts three words. The last pass counts all longer phrases at once.
+    """
+    send = texts.sparkSession.sparkContext.broadcast
+    words = counted(texts, [1], min_count)
+    one = send(marked(hashes_of(words.where("k = 1")), 1))
+    two = send(marked(frequent_hashes(texts, 2, min_count, one), 2))
+    short = counted(texts, range(2, min(longest, 3) + 1), min_count, two)
+    out = words.unionByName(short)
+    if longest > 3:
+        three = send(marked(hashes_of(short.where("k = 3")), 3))
+        out = out.unionByName(counted(texts, range(4, longest + 1), min_count, three))
     return out
 
 
@@ -259,7 +291,8 @@ def scored(phrases: DataFrame) -> DataFrame:
     out = ["lang", "words", "a", "l", "r", "n", "score", "first", "last"]
     fields = "lang string, words array<string>, a long, total long"
     # one word has nothing before it; it goes through every salt of the first stream, so it enters the second one anew
-    with_left = _stream(phrases, False).mapInArrow(lefts, f"{fields}, lefts array<long>").where(F.size("words") > 1)
+    # written, since the second order takes its borders from a sample of it
+    with_left = cut(_stream(phrases, False).mapInArrow(lefts, f"{fields}, lefts array<long>").where(F.size("words") > 1))
     single = phrases.where(F.size("words") == 1).withColumn("lefts", F.lit(None).cast("array<long>"))
     return _stream(with_left.unionByName(single), True).mapInArrow(
         rights, "lang string, words array<string>, a long, l long, r long, n long, score long, first long, last long"

@@ -98,7 +98,7 @@ def test_products_beyond_64_bits():
 
 def test_a_filter_passes_all_its_phrases(spark):
     rows = [("en", f"w{i} v{i % 7}") for i in range(500)]
-    marked = c.marked(spark.createDataFrame(rows, "lang string, phrase string"), 2)
+    marked = c.marked(c.hashes_of(spark.createDataFrame(rows, "lang string, phrase string")), 2)
     import xxhash
 
     words = np.array([[xxhash.xxh64_intdigest(w) for w in p.split()] for _, p in rows], np.uint64)
