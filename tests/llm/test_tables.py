@@ -329,7 +329,8 @@ def test_pipeline(spark):
         tables.append(stage(spark, tables[-1], SF).cache())
     assert all(t.columns == names for t in tables[1:-1])
     good, lines, single, clean, packed = tables[1:]
-    verdicts = {r["doc_id"] for r in quality.judged(given).where("kept").collect()}
+    bands = quality.fit_bands(given, spark.read.parquet(f"{SF}/labels.parquet"))
+    verdicts = {r["doc_id"] for r in quality.judged(given, bands=bands).where("kept").collect()}
     assert {r["doc_id"] for r in good.collect()} == verdicts
     rows = [(r["doc_id"], r["text"]) for r in good.orderBy("doc_id").collect()]
     assert sorted((r["doc_id"], r["text"]) for r in lines.collect()) == sorted(x[:2] for x in brute_lines(rows))
