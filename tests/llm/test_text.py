@@ -144,6 +144,16 @@ def test_bpe_equals_library(spark, texts):
     assert bpe.encode(docs(spark, [])).count() == 0
 
 
+def test_bpe_round_trip_digests(spark, texts):
+    """One pass gives what encoding, decoding and hashing give one after the other; repeated rows and null ids stay."""
+    every = ODD + texts[:40]
+    rows = [(i, x, "k", "i", "f", "v", "t") for i, x in enumerate(every)] + [(0, ODD[4], *"kifvt"), (None, ODD[9], *"kifvt"), (None, None, *"kifvt")] * 2
+    df = spark.createDataFrame(rows, DOCS)
+    got = sorted(map(tuple, bpe.round_trip(df).collect()), key=repr)
+    assert got == sorted(map(tuple, bpe.digests(bpe.decode(bpe.encode(df))).collect()), key=repr)
+    assert len(got) == len(rows) and bpe.round_trip(docs(spark, [])).collect() == []
+
+
 def test_bpe_decodes_broken_bytes(spark):
     t = Tokenizer.from_file(public_tokenizers.path(bpe.VOCABULARY))
     lists = [[163], [163, 98], [50256, 0], [], list(range(120, 240))]
