@@ -81,11 +81,13 @@ def fit_bands(
     ids = ids.orderBy(F.xxhash64("__id"), "__id").limit(most)
     # at most ``most`` ids travel to the texts
     rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(ids), "__id", "left_semi")
-    seen = rows.select("__id", F.octet_length("__text").alias("size"), verdict(F.col("__text"), ()).alias("v")).where("not v.base_failed")
-    found = seen.groupBy("__id").agg(F.min(F.struct("size", "v.ratio")).alias("x")).select("x.size", "x.ratio").where("size >= 128").collect()
+    # judged after the join: a condition on the verdict would be pushed below it, to every text
+    seen = rows.select("__id", F.octet_length("__text").alias("size"), verdict(F.col("__text"), ()).alias("v"))
+    found = seen.groupBy("__id").agg(F.min(F.struct("v.base_failed", "size", "v.ratio")).alias("x")).select("x.*").collect()
+    found = [(r["size"], r["ratio"]) for r in found if not r["base_failed"] and r["size"] >= 128]
     if len(found) < fewest:
         return list(BANDS)
-    sizes, ratios = (np.array(c, float) for c in zip(*sorted(map(tuple, found))))
+    sizes, ratios = (np.array(c, float) for c in zip(*sorted(found)))
     own = {b.from_bytes: b for b in fitted(sizes, ratios, below, above, fewest)}
     grid = sorted({*own, *(round(2 ** (k / 4)) for k in range(28, 68))})
     given = ((n, next(b for b in reversed(BANDS) if n >= b.from_bytes)) for n in grid)
