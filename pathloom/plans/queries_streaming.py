@@ -19,10 +19,15 @@ CLICKS = "WITH " + clicks_sql()
 HOUR = 3_600_000
 
 
+def table_stream(spark, sf, name):
+    """A table as a stream, be it one file or a folder of files."""
+    # only a path with a pattern in it may name a file as well as a folder
+    return spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf}/{{{name}}}.parquet")
+
+
 def event_stream(spark, sf):
-    """events.parquet as a stream of envelope rows."""
-    schema = table(spark, sf, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    """The events as a stream of envelope rows."""
+    raw = table_stream(spark, sf, "events")
     e = raw.select(
         "event_id", "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"), "event_type", "value",
         F.from_json("props", "k INT")["k"].alias("k"),
@@ -175,9 +180,7 @@ def stream_motion(spark, sf):
 def stream_centroids(spark, sf):
     path = work_path(spark, "centroids")
     centroids(vectors_of(spark, sf)).write.parquet(f"{path}/version=0")
-    schema = table(spark, sf, "embeddings").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "embeddings.parquet").parquet(sf)
-    vectors = stream.select(F.col("vec_id").alias("id"), as_doubles(F.col("embedding")).alias("vector"))
+    vectors = table_stream(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), as_doubles(F.col("embedding")).alias("vector"))
     finish(kpis.follow_centroids(vectors, path, work_path(spark, "centroids-progress")))
     out = kpis.read_version(spark, path, 1)
     return out.select("cluster", F.posexplode("centroid").alias("i", "c")).withColumn("c", F.round("c", 6))
