@@ -78,7 +78,7 @@ def rollup_of(spark, sf):
     ORDER BY received_at DESC, event_id LIMIT 100""")
 def scan_events(spark, sf):
     out = rollups.scan_events(
-        Clicks(spark, sf).df, event_type="click", since=F.lit("2024-01-20").cast("timestamp_ntz"), origin="HTTPS://site1/"
+        Clicks(spark, sf).df, 100, event_type="click", since=F.lit("2024-01-20").cast("timestamp_ntz"), origin="HTTPS://site1/"
     )
     return out.select("event_id", "session_id", "event_type", "received_at", "origin")
 

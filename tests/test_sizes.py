@@ -26,3 +26,7 @@ def test_streams_read_folders(spark, tmp_path):
     con = duck(SMALL)
     for name in ("stream_centroids", "stream_sessions"):
         assert difference(QUERIES[name](spark, sf), con, CHECKS[name]) is None
+
+
+def test_scan_is_as_long_as_its_sql_says(spark):
+    assert difference(QUERIES["scan_events"](spark, LARGE), duck(LARGE), CHECKS["scan_events"]) is None
