@@ -162,8 +162,9 @@ def stream_first_clicks(spark, sf):
     SELECT s AS window_start, count(*) AS events, count(DISTINCT user_id) AS sessions FROM w GROUP BY 1 HAVING s + 3600000 <= (SELECT max(t) FROM e) - 600000""")
 def stream_activity(spark, sf):
     stream = event_stream(spark, sf).withColumn("session_id", F.col("user_id").cast("string"))
-    out = collected(spark, kpis.sliding_activity(stream), "activity")
-    return out.select(F.unix_millis("window_start").alias("window_start"), "events", "sessions")
+    path = work_path(spark, "activity")
+    finish(kpis.follow_activity(stream, path, work_path(spark, "activity-progress")))
+    return spark.read.parquet(f"{path}/activity").select(F.unix_millis("window_start").alias("window_start"), "events", "sessions")
 
 
 @query("stream_motion", f"""{CLICKS} SELECT user_id, "timestamp" // 3600000 * 3600000 AS window_start, sum(p_x) AS distance_px, sum(k % 7) AS jitter_count FROM clicks GROUP BY 1, 2

@@ -19,7 +19,7 @@ def split(stream: DataFrame, path: str, checkpoint: str, delay_ms: int = 600_000
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        mark = _mark(spark, path, number)
+        mark = read_mark(spark, path, number)
         late = F.lit(False) if mark is None else F.coalesce(F.col(time) <= mark, F.lit(False))
         rows = f"{path}/rows/batch={number}"
         batch.withColumn("late", late).write.mode("overwrite").partitionBy("late").parquet(rows)
@@ -29,7 +29,8 @@ def split(stream: DataFrame, path: str, checkpoint: str, delay_ms: int = 600_000
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def _mark(spark: SparkSession, path: str, number: int) -> int | None:
+def read_mark(spark: SparkSession, path: str, number: int) -> int | None:
+    """The mark that batch ``number`` starts with, or None."""
     return spark.read.schema("mark long").parquet(f"{path}/marks/batch={number}").first()[0] if number else None
 
 

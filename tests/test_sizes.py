@@ -1,10 +1,15 @@
 """Queries on other tables than the small ones: folders of files, more rows."""
 
 import os
+import random
 import shutil
 
+from pyspark.sql import functions as F
+
 from pathloom.plans import load_queries
 from pathloom.plans.check import difference, duck
+from pathloom.session import work_path
+from pathloom.streaming import kpis
 
 QUERIES, CHECKS = load_queries()
 SMALL, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
@@ -30,3 +35,29 @@ def test_streams_read_folders(spark, tmp_path):
 
 def test_scan_is_as_long_as_its_sql_says(spark):
     assert difference(QUERIES["scan_events"](spark, LARGE), duck(LARGE), CHECKS["scan_events"]) is None
+
+
+def test_activity_over_batches_without_a_row_per_window(spark):
+    """Late events count for the windows still open; what is stored is one row per session and step."""
+    r, path, out, progress = random.Random(4), *(work_path(spark, n) for n in ("in", "out", "progress"))
+    minute, want, mark, seen, rows = 60_000, {}, None, set(), 0
+    known = []
+    for batch in range(4):
+        some = [(r.choice(["a", "b", "c", None]), (batch * 90 + r.randrange(-80, 120)) * minute + r.randrange(minute)) for _ in range(60)]
+        spark.createDataFrame(some, "session_id string, t long").coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema("session_id string, t long").parquet(path).withColumn("event_time", F.timestamp_millis("t"))
+        kpis.follow_activity(stream, out, progress).awaitTermination()
+        known += some
+        mark = max(t for _, t in known) - 10 * minute
+        steps = {t // (5 * minute) for _, t in known}
+        for w in range(min(steps) - 11, max(steps) + 1):
+            start = w * 5 * minute
+            inside = [x for x in known if start <= x[1] < start + 60 * minute]
+            if start + 60 * minute <= mark and w not in seen:
+                seen.add(w)
+                if inside:
+                    want[start] = (len(inside), len({s for s, _ in inside} - {None}))
+        rows += len({(s, t // (5 * minute)) for s, t in some})
+    got = spark.read.parquet(f"{out}/activity").select(F.unix_millis("window_start"), "events", "sessions")
+    assert {a: (b, c) for a, b, c in got.collect()} == want and len(want) > 20
+    assert spark.read.parquet(f"{out}/buckets").count() == rows
