@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.operators.clusters import centroids, in_blocks, own_distance
+from pathloom.operators.clusters import CELLS, centroids, in_blocks, own_distance
 from pathloom.session import cut
 
 
@@ -24,42 +24,56 @@ def sizes_and_noise(labels: DataFrame) -> DataFrame:
     return out.withColumn("noise_rate", rate)
 
 
-def silhouettes(vectors: DataFrame, id_: str, block: int = 2048) -> DataFrame:
+TILE = 2_048  # rows of a tile of distances, 32 MB
+
+
+def block_count(rows: int, size: int, cells: int = CELLS) -> int:
+    """Blocks of at most about ``cells`` numbers, and for many rows at least eight, so that pairs of blocks keep a cluster busy."""
+    return max(1, -(-rows * size // cells), min(8, rows // TILE))
+
+
+def silhouettes(vectors: DataFrame, id_: str, cells: int = CELLS) -> DataFrame:
     """Exact Euclidean silhouette of every clustered vector: (id, cluster, silhouette).
 
-    Vectors are packed into hashed blocks of about ``block`` rows. Each pair of blocks meets once by an
-    equi-join on the block number and gives distance sums per vector and cluster, never pairs.
+    Vectors are dealt into hashed blocks of about ``cells`` numbers. Each pair of blocks meets once, in one task, and gives distance sums per
+    vector and cluster, never pairs. The work is quadratic; a vector travels twice per block, and blocks are as large as memory allows.
     """
     rows = vectors.where(F.col("cluster") >= 0).select(F.col(id_).alias("id"), "cluster", "vector")
-    count = max(1, -(-rows.count() // block))
-    packed = cut(
-        rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(count)).cast("int").alias("b"))
-        .agg(F.collect_list(F.struct("id", "cluster", "vector")).alias("x"))
-        .select("b", F.col("x.id").alias("ids"), F.col("x.cluster").alias("clusters"), F.flatten("x.vector").alias("flat"))
-    )
-    left = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    right = packed.select(F.col("b").alias("other"), F.col("clusters").alias("other_clusters"), F.col("flat").alias("other_flat"))
-    met = left.join(right, on="other")
-
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for ids, cl, flat, ocl, oflat in zip(pdf["ids"], pdf["clusters"], pdf["flat"], pdf["other_clusters"], pdf["other_flat"]):
-                x = np.asarray(flat, dtype=float).reshape(len(ids), -1)
-                y = np.asarray(oflat, dtype=float).reshape(len(ocl), -1)
-                square = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T
-                d = np.sqrt(np.maximum(square, 0.0))
-                names, at = np.unique(np.asarray(ocl), return_inverse=True)
-                total = np.zeros((len(ids), len(names)))
-                for j in range(len(names)):
-                    total[:, j] = d[:, at == j].sum(axis=1)
-                n = np.bincount(at)
-                yield pd.DataFrame({
-                    "id": np.repeat(np.asarray(ids), len(names)), "cluster": np.repeat(np.asarray(cl), len(names)),
-                    "near": np.tile(names, len(ids)), "total": total.ravel(), "n": np.tile(n, len(ids)),
-                })
+    n, size = rows.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    count = block_count(n, size or 1, cells)
+    # the numbers of the blocks are written: a column that the optimizer folds to a constant is lost on its way to Python
+    dealt = cut(rows.withColumns({"__block": F.pmod(F.xxhash64("id"), F.lit(count)).cast("int"), "__all": F.sequence(F.lit(0), F.lit(count - 1))}))
+    left = dealt.select("id", "cluster", "vector", "__block", F.explode("__all").alias("__other"))
+    right = dealt.select("cluster", "vector", F.col("__block").alias("__other"), F.explode("__all").alias("__block"))
+
+    def sums(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        if not len(mine) or not len(theirs):
+            return pd.DataFrame({"id": mine["id"][:0], "cluster": [], "near": [], "total": [], "n": []})
+        theirs = theirs.sort_values("cluster", kind="stable")
+        x, y = (np.stack(p["vector"].to_numpy()).astype(float) for p in (mine, theirs))
+        xx, yy = (x * x).sum(1), (y * y).sum(1)
+        names, starts = np.unique(theirs["cluster"].to_numpy(), return_index=True)
+        ends = np.append(starts[1:], len(y))
+        total = np.zeros((len(x), len(names)))
+        for i in range(0, len(x), TILE):
+            for j, (start, end) in enumerate(zip(starts, ends)):
+                for k in range(start, end, TILE):
+                    upto = min(k + TILE, end)
+                    d = x[i : i + TILE] @ y[k:upto].T
+                    d *= -2
+                    d += xx[i : i + TILE, None]
+                    d += yy[None, k:upto]
+                    np.maximum(d, 0.0, out=d)
+                    total[i : i + TILE, j] += np.sqrt(d, out=d).sum(axis=1)
+        return pd.DataFrame({
+            "id": np.repeat(mine["id"].to_numpy(), len(names)), "cluster": np.repeat(mine["cluster"].to_numpy(), len(names)),
+            "near": np.tile(names, len(x)), "total": total.ravel(), "n": np.tile(ends - starts, len(x)),
+        })
 
     kind = rows.schema["id"].dataType.simpleString()
-    parts = met.mapInPandas(sums, f"id {kind}, cluster int, near int, total double, n long")
+    pair = ["__block", "__other"]
+    met = left.groupBy(*pair).cogroup(right.groupBy(*pair))
+    parts = met.applyInPandas(sums, f"id {kind}, cluster int, near int, total double, n long")
     near = parts.groupBy("id", "cluster", "near").agg(F.sum("total").alias("t"), F.sum("n").alias("n"))
     own = F.col("near") == F.col("cluster")
     per = near.groupBy("id", "cluster").agg(

@@ -4,8 +4,10 @@ import os
 import random
 import shutil
 
+import pytest
 from pyspark.sql import functions as F
 
+from pathloom.operators import quality as q
 from pathloom.plans import load_queries
 from pathloom.plans.check import difference, duck
 from pathloom.session import work_path
@@ -61,3 +63,13 @@ def test_activity_over_batches_without_a_row_per_window(spark):
     got = spark.read.parquet(f"{out}/activity").select(F.unix_millis("window_start"), "events", "sessions")
     assert {a: (b, c) for a, b, c in got.collect()} == want and len(want) > 20
     assert spark.read.parquet(f"{out}/buckets").count() == rows
+
+
+def test_silhouettes_in_few_large_blocks(spark):
+    """A vector travels twice per block: blocks grow with the rows, up to a bound, and their number does not change the result."""
+    assert [q.block_count(n, 64) for n in (10_000, 100_000, 600_000)] == [4, 8, 10]
+    r = random.Random(5)
+    rows = [(i, i % 3, [r.gauss(i % 3, 1.0) for _ in range(4)]) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, cluster int, vector array<double>")
+    one, many = ({x["id"]: x["silhouette"] for x in q.silhouettes(df, "id", cells).collect()} for cells in (1_000, 40))
+    assert len(one) == 90 and one == pytest.approx(many)
