@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions.pages import AREAS
-from pathloom.functions.rules import Rules, blank_to_null, first_match, lookup, lowered
+from pathloom.functions.rules import Rules, blank_to_null, first_in_text, first_match, lookup, lowered
 
 # Raw events that never reach a sequence, and events that only move the state.
 IGNORED_EVENTS = ["mouse_move", "scroll_speed", "scroll_stop", "scroll_direction_change", "time_to_first_click"]
@@ -124,6 +124,11 @@ def semantic_from_text(text: Column) -> Column:
     return first_match(lowered(text), TEXT_SEMANTICS)
 
 
+def semantic_in_text(lower: Column) -> Column:
+    """The same in a long lower-case text."""
+    return first_in_text(lower, lower, TEXT_SEMANTICS)
+
+
 def token_parts(token: Column) -> tuple[Column, Column, Column]:
     """Page, semantic and context; UNKNOWN for a token that has not three parts."""
     parts = F.split(token, r"\|")

@@ -87,15 +87,16 @@ def platform_pages(spark, sf):
 def section_names(spark, sf):
     d = table(spark, sf, "documents").withColumn("__t", F.lower("text"))
     return d.select(
-        "doc_id", pages.section_name(F.col("text")).alias("section"), pages.subsection_name(F.col("text")).alias("subsection"),
-        tk.semantic_from_text(F.col("text")).alias("semantic"), pages.classify_area(F.col("text"), F.lit(None)).alias("area"),
+        "doc_id", pages.section_name(F.col("text"), F.col("__t")).alias("section"), pages.subsection_name(F.col("text"), F.col("__t")).alias("subsection"),
+        tk.semantic_in_text(F.col("__t")).alias("semantic"), pages.area_in_text(F.col("__t")).alias("area"),
         pages.normalize_section_name(F.concat_ws(" ", "source", "lang")).alias("name"),
     )
 
 
 @query("page_sections", f"""SELECT page_id, {_case("lower(html)", pages.SECTION_NAMES, 'NULL')} AS section FROM pages""")
 def page_sections(spark, sf):
-    return table(spark, sf, "pages").select("page_id", pages.section_name(F.col("html")).alias("section"))
+    p = table(spark, sf, "pages").withColumn("__t", F.lower("html"))
+    return p.select("page_id", pages.section_name(F.col("html"), F.col("__t")).alias("section"))
 
 
 @query("event_numbers", f"""{CLICKS} SELECT event_id, CASE event_type {" ".join(f"WHEN '{k}' THEN {v}" for k, v in __import__('pathloom.functions.payload', fromlist=['x']).EVENT_NUMBERS.items())} ELSE 0 END AS event_token FROM clicks""")

@@ -7,6 +7,8 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
+from pathloom.functions import pages, tokens as tk
+from pathloom.functions.rules import first_match
 from pathloom.operators import quality as q
 from pathloom.plans import load_queries
 from pathloom.plans.check import difference, duck
@@ -73,3 +75,19 @@ def test_silhouettes_in_few_large_blocks(spark):
     df = spark.createDataFrame(rows, "id long, cluster int, vector array<double>")
     one, many = ({x["id"]: x["silhouette"] for x in q.silhouettes(df, "id", cells).collect()} for cells in (1_000, 40))
     assert len(one) == 90 and one == pytest.approx(many)
+
+
+def test_words_in_long_texts_need_no_expressions(spark):
+    r, words = random.Random(6), []
+    for rules in (pages.SECTION_NAMES, pages.SUBSECTION_NAMES, pages.AREAS, tk.TEXT_SEMANTICS):
+        words += [w.removeprefix("(?i)") for _, ws in rules for w in ws]
+    words += ["Size chart", "SIZEchart", "option_size", "Q&A", "ReView", "Delivery", "revıew", "x", "size then a chart", "shİp"]
+    rows = [(i, " ".join(r.choices(words, k=r.randrange(3)))) for i in range(600)] + [(600, None), (601, "")]
+    df = spark.createDataFrame(rows, "i int, t string").withColumn("low", F.lower("t"))
+    t, low = F.col("t"), F.col("low")
+    new = [pages.section_name(t, low), pages.subsection_name(t, low), tk.semantic_in_text(low), pages.area_in_text(low)]
+    old = [first_match(low, pages.SECTION_NAMES), first_match(t, pages.SUBSECTION_NAMES), tk.semantic_from_text(t), pages.classify_area(t, F.lit(None))]
+    out = df.select("t", F.array(*new).alias("new"), F.array(*old).alias("old"))
+    assert out.where("not new <=> old").collect() == []
+    assert out.select(F.explode("new").alias("x")).distinct().count() > 20
+    assert "RLIKE" not in df.select(new[0], new[2], new[3])._jdf.queryExecution().optimizedPlan().toString()
