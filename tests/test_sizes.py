@@ -12,6 +12,7 @@ from pathloom.functions.rules import first_match
 from pathloom.operators import quality as q
 from pathloom.plans import load_queries
 from pathloom.plans.check import difference, duck
+from pathloom.plans.queries_live import _delivered
 from pathloom.session import work_path
 from pathloom.streaming import kpis
 
@@ -91,3 +92,9 @@ def test_words_in_long_texts_need_no_expressions(spark):
     assert out.where("not new <=> old").collect() == []
     assert out.select(F.explode("new").alias("x")).distinct().count() > 20
     assert "RLIKE" not in df.select(new[0], new[2], new[3])._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_deliveries_are_written_by_many_tasks(spark, tmp_path):
+    path, deliver = _delivered(spark, folders(spark, tmp_path, "events"), "event_id % 2 = 0")
+    deliver()
+    assert len([f for f in os.listdir(path.removeprefix("file:")) if f.endswith(".parquet")]) > 1
