@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import math
+import pickle
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -22,6 +23,7 @@ from pathloom.operators.behaviour import PASSIVE, click_point, rage_step
 from pathloom.operators.sessions import TTL_MS
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PACK = 1_000  # waiting events in one value of the state
 PROVIDER_CONF = "spark.sql.streaming.stateStore.providerClass"
 
 
@@ -46,7 +48,8 @@ class _Walker(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.schema)
+        # a value holds many events: each value of a state passes between Python and the JVM by itself
+        self.waiting = handle.getListState("waiting", "events binary")
         self.state = handle.getValueState("state", "state string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -55,18 +58,18 @@ class _Walker(StatefulProcessor):
             # the watermark is past these; ``late.split`` keeps them elsewhere
             new = [tuple(map(_plain, r, self.whole)) for r in pdf[self.schema.names].itertuples(index=False) if r[0] > passed]
             if new:
-                self.waiting.appendList(new)
+                self.waiting.appendList(_packed(new))
                 first = min(r[0] for r in new) if first is None else min(first, *(r[0] for r in new))
         if first is not None:
             state = self._load()
             self._wake(state, first)
             self._save(state)
-        yield self._frame(key, [])
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed, state = timerValues.getCurrentWatermarkInMs(), self._load()
         state.pop("__timer", None)
-        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        held = [r for pack in self.waiting.get() for r in pickle.loads(pack[0])] if self.waiting.exists() else []
         ready = sorted((r for r in held if r[0] <= passed), key=lambda r: r[:2])
         later = [r for r in held if r[0] > passed]
         out = []
@@ -75,7 +78,7 @@ class _Walker(StatefulProcessor):
             out += self.walk.event(state, dict(zip(self.schema.names, row)))
         out += self._expire(state, passed)
         if ready:
-            self.waiting.put(later) if later else self.waiting.clear()
+            self.waiting.put(_packed(later)) if later else self.waiting.clear()
         wakes = [t for t in (self.walk.deadline(state), min((r[0] for r in later), default=None)) if t is not None]
         if wakes:
             self._wake(state, min(wakes))
@@ -83,7 +86,8 @@ class _Walker(StatefulProcessor):
             self._save(state)
         else:
             self.state.clear()
-        yield self._frame(key, out)
+        if out:
+            yield self._frame(key, out)
 
     def close(self) -> None:
         pass
@@ -113,6 +117,10 @@ class _Walker(StatefulProcessor):
         return pd.DataFrame([{self.key: key[0], **r} for r in rows], columns=[self.key, *self.columns], dtype=object)
 
 
+def _packed(rows: list[tuple]) -> list[tuple[bytes]]:
+    return [(pickle.dumps(rows[i : i + PACK]),) for i in range(0, len(rows), PACK)]
+
+
 def _plain(v, whole: bool):
     """A value as Python knows it: pandas turns whole numbers into floats where others are null, and nulls into NaN."""
     if v is None or isinstance(v, float) and math.isnan(v):

@@ -1,6 +1,7 @@
 """Queries on other tables than the small ones: folders of files, more rows."""
 
 import os
+import pickle
 import random
 import shutil
 
@@ -14,7 +15,7 @@ from pathloom.plans import load_queries
 from pathloom.plans.check import difference, duck
 from pathloom.plans.queries_live import _delivered
 from pathloom.session import work_path
-from pathloom.streaming import kpis
+from pathloom.streaming import kpis, live
 
 QUERIES, CHECKS = load_queries()
 SMALL, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
@@ -98,3 +99,11 @@ def test_deliveries_are_written_by_many_tasks(spark, tmp_path):
     path, deliver = _delivered(spark, folders(spark, tmp_path, "events"), "event_id % 2 = 0")
     deliver()
     assert len([f for f in os.listdir(path.removeprefix("file:")) if f.endswith(".parquet")]) > 1
+
+
+def test_waiting_events_share_values_of_the_state():
+    """Each value of a state passes between Python and the JVM by itself."""
+    rows = [(i, f"e{i}", None, 0.5) for i in range(2_500)]
+    packs = live._packed(rows)
+    assert len(packs) == 3
+    assert [r for p in packs for r in pickle.loads(p[0])] == rows
