@@ -180,10 +180,9 @@ def encoded_sink(spark, sf):
     """Encoded sequences as CSV and back."""
     _, long, vocabulary = vocab_of(spark, sf)
     path = work_path(spark, "encoded")
-    sinks.write_encoded(vo.encode_sequences(long, vocabulary, 4_096, KEYS), path, "csv")
-    ids = F.split("input_ids", " ").cast("array<int>")
-    rows = spark.read.csv(path, header=True).withColumn("ids", ids)
-    return rows.select("session_id", F.col("used_length").cast("int").alias("used_length"), F.col("ids")[0].alias("first_id"), F.col("ids")[1].alias("second_id"))
+    sinks.write_encoded(vo.encode_sequences(long, vocabulary, 4_096, KEYS), path, "csv", padded=False)
+    ids = F.col("input_ids")
+    return sinks.read_encoded(spark, path, "csv").select("session_id", "used_length", ids[0].alias("first_id"), ids[1].alias("second_id"))
 
 
 @query("ordered_collection", f"{SEQ} SELECT session_id, pos, token FROM seq")

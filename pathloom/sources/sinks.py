@@ -32,14 +32,34 @@ def write_audit(audit: DataFrame, path: str) -> None:
     audit.write.mode("overwrite").json(path)
 
 
-def write_encoded(encoded: DataFrame, path: str, fmt: str = "parquet") -> None:
+def write_encoded(encoded: DataFrame, path: str, fmt: str = "parquet", padded: bool = True) -> None:
+    """CSV holds lists as numbers joined by spaces. Without ``padded`` the used ids and the padded length stand for ids and mask."""
     out = encoded
+    if not padded:
+        used = F.slice("input_ids", F.lit(1), F.col("used_length"))
+        out = out.withColumns({"padded_length": F.size("input_ids"), "input_ids": used}).drop("attention_mask")
     if fmt == "csv":
-        lists = [f.name for f in encoded.schema.fields if f.dataType.typeName() == "array"]
-        out = encoded.withColumns({c: F.array_join(F.col(c).cast("array<string>"), " ") for c in lists})
+        lists = [f.name for f in out.schema.fields if f.dataType.typeName() == "array"]
+        out = out.withColumns({c: F.array_join(F.col(c).cast("array<string>"), " ") for c in lists})
     out.write.mode("overwrite").format(fmt).option("header", True).save(path)
 
 
+def read_encoded(spark: SparkSession, path: str, fmt: str = "parquet", pad: int = 0) -> DataFrame:
+    """What ``write_encoded`` wrote, with lists as lists and the padding restored."""
+    out = spark.read.option("header", True).format(fmt).load(path)
+    if fmt == "csv":
+        numbers = {c: F.col(c).cast("int") for c in ("used_length", "padded_length") if c in out.columns}
+        lists = {c: F.split(F.coalesce(c, F.lit("")), " ").try_cast("array<int>") for c in ("input_ids", "attention_mask") if c in out.columns}
+        out = out.withColumns({**numbers, **lists})
+    if "padded_length" in out.columns:
+        used = F.col("used_length")
+        ids = F.when(used > 0, F.col("input_ids")).otherwise(F.array().cast("array<int>"))
+        gap = F.col("padded_length") - used
+        mask = F.concat(F.array_repeat(F.lit(1), used), F.array_repeat(F.lit(0), gap))
+        out = out.withColumns({"attention_mask": mask, "input_ids": F.concat(ids, F.array_repeat(F.lit(pad), gap))}).drop("padded_length")
+    return out
+
+
 def write_vocab(vocab: DataFrame, path: str) -> None:
     vocab.write.mode("overwrite").parquet(path)
 

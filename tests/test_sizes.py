@@ -15,6 +15,7 @@ from pathloom.plans import load_queries
 from pathloom.plans.check import difference, duck
 from pathloom.plans.queries_live import _delivered
 from pathloom.session import work_path
+from pathloom.sources import sinks
 from pathloom.streaming import kpis, live
 
 QUERIES, CHECKS = load_queries()
@@ -107,3 +108,14 @@ def test_waiting_events_share_values_of_the_state():
     packs = live._packed(rows)
     assert len(packs) == 3
     assert [r for p in packs for r in pickle.loads(p[0])] == rows
+
+
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_padding_is_not_stored(spark, fmt):
+    rows = [("a", 2, 2, [2, 9, 0, 0], [1, 1, 0, 0]), ("b", 0, 0, [0, 0, 0, 0], [0, 0, 0, 0]), ("c", 5, 4, [2, 7, 7, 8], [1, 1, 1, 1])]
+    schema = "session_id string, original_length int, used_length int, input_ids array<int>, attention_mask array<int>"
+    path = work_path(spark, "encoded")
+    sinks.write_encoded(spark.createDataFrame(rows, schema), path, fmt, padded=False)
+    got = sinks.read_encoded(spark, path, fmt).select("session_id", "used_length", "input_ids", "attention_mask").collect()
+    assert sorted(map(tuple, got)) == [(r[0], *r[2:]) for r in rows]
+    assert "attention_mask" not in spark.read.option("header", True).format(fmt).load(path).columns
