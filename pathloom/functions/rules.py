@@ -26,20 +26,34 @@ def quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def plain_words(words: str | Sequence[str]) -> list[str]:
+    """The words of a list without expressions in them, fewest that say the same; none where there is an expression."""
+    if isinstance(words, str) or any(re.search(r"[\\^$.|?*+()\[\]{}]", w) or not w for w in words):
+        return []
+    return [w for i, w in enumerate(words) if w not in words[:i] and not any(o != w and o in w for o in words)]
+
+
+def _found_sql(subject: str, words: str | Sequence[str]) -> str:
+    plain = plain_words(words)
+    return " OR ".join(f"contains({subject}, {quoted(w)})" for w in plain) or f"{subject} RLIKE {quoted(pattern_of(words))}"
+
+
 def first_match(subject: Column | str, rules: Rules, default: Column | str | None = None) -> Column:
     """Value of the first rule whose pattern occurs in ``subject``.
 
-    A column named by text becomes one SQL expression; that spares a call per rule while planning.
+    A column named by text becomes one SQL expression; that spares a call per rule while planning. Lists of plain words are
+    looked up as they are, which takes a fraction of a regular expression's time.
     """
     if isinstance(subject, str):
         fallback = "NULL" if default is None else quoted(default) if isinstance(default, str) else None
-        whens = " ".join(f"WHEN {subject} RLIKE {quoted(pattern_of(pattern))} THEN {quoted(value)}" for value, pattern in rules)
+        whens = " ".join(f"WHEN {_found_sql(subject, words)} THEN {quoted(value)}" for value, words in rules)
         if fallback is not None:
             return F.expr(f"CASE {whens} ELSE {fallback} END")
         return F.coalesce(F.expr(f"CASE {whens} END"), default)
     out = None
-    for value, pattern in rules:
-        hit = subject.rlike(pattern_of(pattern))
+    for value, words in rules:
+        plain = plain_words(words)
+        hit = reduce(or_, map(subject.contains, plain)) if plain else subject.rlike(pattern_of(words))
         out = F.when(hit, F.lit(value)) if out is None else out.when(hit, F.lit(value))
     return out.otherwise(default if isinstance(default, Column) else F.lit(default))
 

@@ -173,13 +173,17 @@ def with_token(df: DataFrame, payload: str = "p", compat: bool = False, unknown:
         "__hover": lowered(_text(p, ["hover_text", "hover_target"])),
         "__click": lowered(_text(p, ["click_text", "click_target"])),
     }
+    # asked only of the events that use them, and only where there is a text
+    asked = {
+        "__dwell_area": ("__dwelt", AREAS, ["subsection_dwell"]),
+        "__own_area": ("__own", own_rules, ["hover", "click"]),
+        "__hover_sem": ("__hover", TEXT_SEMANTICS, ["hover", "hover_dwell"]),
+        "__click_sem": ("__click", TEXT_SEMANTICS, ["click"]),
+    }
     out = df.withColumns(names).withColumns(
         {
-            "__area": first_match("__place", AREAS, "UNKNOWN_AREA"),
-            "__dwell_area": first_match("__dwelt", AREAS),
-            "__own_area": first_match("__own", own_rules),
-            "__hover_sem": first_match("__hover", TEXT_SEMANTICS),
-            "__click_sem": first_match("__click", TEXT_SEMANTICS),
+            "__area": F.when(F.col("__place") == "", F.lit("UNKNOWN_AREA")).otherwise(first_match("__place", AREAS, "UNKNOWN_AREA")),
+            **{name: F.when(kind.isin(kinds) & (F.col(text) != ""), first_match(text, rules)) for name, (text, rules, kinds) in asked.items()},
         }
     )
     area = F.col("__area")

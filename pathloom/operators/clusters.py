@@ -245,15 +245,18 @@ def w2v_vectors(long: DataFrame, keys: Sequence[str], size: int = 64, window: in
 
     from pathloom.operators.sequences import in_parts
 
-    sentences = cut(in_parts(long, keys, "token").select("values"))
+    parts = cut(in_parts(long, keys, "token").withColumn("__n", F.size("values").cast("double")))
     # one training task per about a million tokens; each trains on its own share and the results are averaged
-    tasks = max(1, math.ceil((sentences.agg(F.sum(F.size("values"))).first()[0] or 0) / 1_000_000))
-    trained = Word2Vec(vectorSize=size, windowSize=window, minCount=1, seed=seed, numPartitions=tasks, inputCol="values", outputCol="v")
-    model = trained.fit(sentences)
-    words = model.getVectors().select(F.col("word").alias("token"), F.col("vector").alias("__v"))
-    counts = long.groupBy(*keys, "token").agg(F.count(F.lit(1)).cast("double").alias("__n"))
-    means = counts.join(words, on="token").groupBy(*keys).agg(Summarizer.mean(F.col("__v"), F.col("__n")).alias("__m"))
-    return means.select(*keys, vector_to_array("__m").alias("vector"))
+    tasks = max(1, math.ceil((parts.agg(F.sum("__n")).first()[0] or 0) / 1_000_000))
+    trained = Word2Vec(vectorSize=size, windowSize=window, minCount=1, seed=seed, numPartitions=tasks, inputCol="values", outputCol="__v")
+    model = trained.fit(parts.select("values"))
+    # a session of one part has that part's mean; only the parts of longer ones must meet
+    long_ones = cut(parts.where(F.col("part") > 0).select(*keys).distinct())
+    same = [parts[k].eqNullSafe(long_ones[k]) for k in keys]
+    one = model.transform(parts.join(long_ones, on=same, how="left_anti"))
+    more = model.transform(parts.join(long_ones, on=same, how="left_semi"))
+    more = more.groupBy(*keys).agg(Summarizer.mean(F.col("__v"), F.col("__n")).alias("__v"))
+    return one.select(*keys, "__v").unionByName(more).select(*keys, vector_to_array("__v").alias("vector"))
 
 
 def plane_points(vectors: DataFrame) -> DataFrame:

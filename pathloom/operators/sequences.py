@@ -13,6 +13,7 @@ from pathloom.functions.payload import slim
 from pathloom.functions.rules import blank_to_null, lookup
 from pathloom.operators.ordered import Keyed, known, lag, lead, ordered, prev_known, running_sum
 from pathloom.operators.sessions import ORDER, SESSION
+from pathloom.session import short_methods
 
 PART = 4096
 
@@ -23,8 +24,8 @@ def in_parts(long: DataFrame, keys: Sequence[str], value: str, pos: str = "pos",
     A long session becomes several parts, so no row and no group grows without bound.
     """
     part = F.floor((F.col(pos) - 1) / rows).cast("long").alias("part")
-    listed = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("i"), F.col(value).alias("v"))))
-    return long.groupBy(*keys, part).agg(F.transform(listed, lambda x: x["v"]).alias("values"))
+    listed = F.sort_array(F.collect_list(F.struct(F.col(pos).alias("i"), F.col(value).alias("v"))))
+    return long.groupBy(*keys, part).agg(listed["v"].alias("values"))
 
 
 PLACE_COLUMNS = ["event_type", "pathname", "page_url", "page_type"]
@@ -89,6 +90,7 @@ def semantic_tokens(
         k = track_place(k, payload, preset)
         return tk.with_token(k.df, payload, compat, unknown).drop("own_page", "__sec", "__sub", "__in_sec", "__in_sub", payload)
 
+    short_methods(events.sparkSession)
     return ordered(slim(events, [*keys, *ORDER, *PLACE_COLUMNS], TOKEN_FIELDS, payload), keys, ORDER, build, bounded)
 
 
@@ -207,6 +209,7 @@ def semantic_sequences(
         carried = [c for c in k.df.columns if c in {*keys, *ORDER, "token", "__chunk"}]
         return sequence_steps(k._with(k.df.select(*carried)), dedupe, collapse, min_run, episodes)
 
+    short_methods(events.sparkSession)
     return ordered(slim(events, [*keys, *ORDER, *PLACE_COLUMNS], TOKEN_FIELDS, payload), keys, ORDER, build, bounded)
 
 

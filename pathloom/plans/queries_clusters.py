@@ -8,7 +8,7 @@ from pathloom.functions import vectors as vec
 from pathloom.operators import clusters as cl, density, quality as q, profiles as pf
 from pathloom.plans.fixtures import Clicks, table
 from pathloom.plans.queries_encoding import vocab_of, vocab_sql
-from pathloom.plans.queries_sequences import KEYS, SEQ
+from pathloom.plans.queries_sequences import KEYS, SEQ, sequences_of
 from pathloom.plans.registry import query
 from pathloom.session import cut
 
@@ -217,8 +217,8 @@ def site_report(spark, sf):
 
 @query("w2v_vectors")
 def w2v_vectors(spark, sf):
-    _, long, _ = vocab_of(spark, sf)
-    return cl.w2v_vectors(long, ["session_id"])
+    _, long = sequences_of(spark, sf)
+    return cl.w2v_vectors(long, KEYS).select("session_id", "vector")
 
 
 @query("plane_points")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 HOT_ROWS_CONF = "pathloom.hot.rows"
 HOT_ROWS_DEFAULT = 1_000_000
+METHOD_CONF, METHOD_DEFAULT = "spark.sql.codegen.hugeMethodLimit", "65535"
 
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "pathloom") -> SparkSession:
@@ -33,6 +34,15 @@ def hot_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(HOT_ROWS_CONF, str(HOT_ROWS_DEFAULT)))
 
 
+def short_methods(spark: SparkSession) -> None:
+    """Let no generated method exceed what HotSpot compiles (8 000 bytes), if the session names no limit itself.
+
+    Longer ones are interpreted row by row; above the limit Spark generates code operator by operator, in shorter methods.
+    """
+    if spark.conf.get(METHOD_CONF, None) in (None, METHOD_DEFAULT):
+        spark.conf.set(METHOD_CONF, "8000")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder. Only a local master may fall back to a temporary folder."""
     sc = spark.sparkContext
