@@ -21,8 +21,8 @@ def norm(v: Column) -> Column:
 
 
 def l2_normalized(v: Column, eps: float = EPS) -> Column:
-    n = norm(v) + F.lit(eps)
-    return F.transform(v, lambda x: x / n)
+    # bound to a variable: read inside the inner function, the norm would be computed again for every element
+    return F.transform(F.array(norm(v) + F.lit(eps)), lambda n: F.transform(v, lambda x: x / n))[0]
 
 
 def distance(a: Column, b: Column) -> Column:

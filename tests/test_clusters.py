@@ -1,10 +1,14 @@
 """Centroids in one block and in several give the same results, and nothing is collected for several."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pathloom.operators import clusters as cl, quality as q
+from pathloom.functions.vectors import l2_normalized
+from pathloom.operators import clusters as cl, profiles as pf, quality as q
+from pathloom.operators.refresh import refresh_centroids
 
 VECTORS = "id int, vector array<double>, cluster int, cell string"
 
@@ -92,3 +96,33 @@ def test_session_without_known_token_goes_to_the_first_cluster(spark):
     assert got == {"s": (4, 1.0), "t": (2, 0.0)}
     whole = cl.classify_sessions(long, vocab, table, ["session_id"], True).where(F.col("session_id") == "s").first()
     assert whole["distances"] == {2: 1.0, 4: 0.0}
+
+
+def test_the_norm_is_computed_once_per_vector(spark):
+    wide = spark.range(40).select(F.transform(F.sequence(F.lit(1), F.lit(5000)), lambda i: (i + F.col("id")).cast("double")).alias("v"))
+    start = time.perf_counter()
+    out = wide.select(l2_normalized(F.col("v")).alias("v")).select(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x).alias("n")).collect()
+    # a norm per element would be 1 000 000 000 steps
+    assert time.perf_counter() - start < 10
+    assert all(r["n"] == pytest.approx(1.0) for r in out)
+    odd = spark.createDataFrame([(None,), ([],), ([3.0, 4.0],), ([0.0, 0.0],)], "v array<double>").select(l2_normalized(F.col("v")).alias("v"))
+    assert [r["v"] for r in odd.collect()] == [None, [], [3.0 / (5.0 + 1e-9), 4.0 / (5.0 + 1e-9)], [0.0, 0.0]]
+
+
+@pytest.mark.parametrize("full", [False, True])
+def test_refresh_keeps_the_vectors_as_they_were(spark, full):
+    r = np.random.default_rng(5)
+    given = {f"s{i}": (r.normal(size=4) * 0.05 + np.eye(4)[i % 4] * 5).tolist() for i in range(80)}
+    vectors = spark.createDataFrame(list(given.items()), "session_id string, vector array<double>")
+    long = spark.createDataFrame([(s, "HOME|ENTER_HOME|NONE") for s in given], "session_id string, token string")
+    old = spark.createDataFrame([(i, np.eye(4)[i].tolist()) for i in range(4)], "cluster int, centroid array<double>")
+    before = pf.cluster_profiles(long, spark.createDataFrame([(s, int(s[1:]) % 4) for s in given], "session_id string, cluster int"), ["session_id"])
+    out = refresh_centroids(vectors, long, old, before, ["session_id"], full=full, ks=(4,))
+    labels = {x["session_id"]: x["cluster"] for x in out["assignments"].collect()}
+    assert set(labels) == set(given)
+    for row in out["centroids"].collect():
+        mean = np.mean([given[s] for s, c in labels.items() if c == row["cluster"]], axis=0)
+        want = mean if full else 0.7 * np.eye(4)[row["cluster"]] + 0.3 * mean
+        assert row["centroid"] == pytest.approx(want.tolist())
+    measures = out["quality"].first()
+    assert measures["sample_count"] == 80 and measures["silhouette"] > 0.9
