@@ -22,17 +22,19 @@ def refresh_centroids(
     Without ``path`` nothing is written. Quality is measured on normalised vectors, the silhouette by squared distances, which is linear
     in the sessions (``quality.silhouette`` gives the Euclidean one).
     """
-    assigned = cut(cl.assign_nearest(vectors, old))
-    confidence = cl.confidence_summary(assigned)
+    unit = l2_normalized(F.col("vector"))
+    both = cut(cl.assign_nearest(vectors, old).withColumn("__unit", unit))
+    confidence = cl.confidence_summary(both)
     if full:
-        unit = vectors.withColumn("vector", l2_normalized(F.col("vector")))
-        labels = cut(cl.cluster_sessions(unit, ks).select(*keys, "cluster"))
-        assigned = cut(vectors.join(labels, on=list(keys)))
-        new = cl.centroids(assigned).select("cluster", "centroid")
+        # the vectors as they were travel beside the normalised ones, so that labels need not find them again
+        rows = both.select(*keys, F.col("vector").alias("__own"), F.col("__unit").alias("vector"))
+        labelled = cl.cluster_sessions(rows, ks, written=True)
+        both = cut(labelled.select(*keys, F.col("__own").alias("vector"), F.col("vector").alias("__unit"), "cluster"))
+        new = cl.centroids(both).select("cluster", "centroid")
     else:
-        new = cl.ema_centroids(old, assigned, alpha)
+        new = cl.ema_centroids(old, both, alpha)
     new = cut(new)
-    unit = cut(assigned.withColumn("vector", l2_normalized(F.col("vector"))))
+    assigned, unit = both.drop("__unit"), both.withColumn("vector", F.col("__unit")).drop("__unit")
     profiles = cut(pf.cluster_profiles(long, assigned, keys))
     stability = pf.profile_stability(profiles, old_profiles)
     sizes = q.sizes_and_noise(assigned)
