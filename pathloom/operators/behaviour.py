@@ -12,6 +12,7 @@ from pathloom.operators.ordered import (
     Fold,
     Keyed,
     fold,
+    hot_keys,
     known,
     lag,
     lead,
@@ -313,6 +314,11 @@ def _stretches(
     return ordered(df.select(*dict.fromkeys(own)), keys, ORDER, build, bounded).drop(*before, "__stirs", "__so_far", "__later")
 
 
+def _within_bound(df: DataFrame, keys: Sequence[str], bounded: bool) -> bool:
+    """Whether every key, and so every stretch of it, has as few rows as one task may order; said once, the stretches need no count."""
+    return bounded or hot_keys(df, keys) is None
+
+
 def _walk(rows: DataFrame, keys: Sequence[str], values: Sequence[str], step: Fold, out: T.StructType, bounded: bool) -> DataFrame:
     return fold(rows, [*keys, STRETCH], ORDER, values, step, out, bounded).drop(STRETCH)
 
@@ -353,6 +359,7 @@ def rage_clicks(
         T.StructField("y", _DOUBLE), T.StructField("click_count", _LONG),
     ])
     values = [*ORDER, "x", "y"]
+    bounded = _within_bound(clicks, keys, bounded)
     before = {f"__t{i}": lag(F.col(f"__t{i - 1}" if i > 1 else "timestamp")) for i in range(1, max(2, times))}
     fresh = F.col("timestamp") - F.col("__t1") >= max(window_ms, cooldown_ms)
     dense = F.col("timestamp") - F.col(f"__t{times - 1}") < window_ms if times > 1 else F.lit(True)

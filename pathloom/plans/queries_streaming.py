@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pathloom.functions.payload import parse_payload
 from pathloom.functions.vectors import as_doubles
 from pathloom.operators import behaviour as b
 from pathloom.operators.clusters import centroids
-from pathloom.plans.fixtures import DAY_MS, ENVELOPE_SQL, PAYLOAD_SQL, clicks_sql, payload_sql, raw_clicks, table
+from pathloom.plans.fixtures import DAY_MS, ENVELOPE_SQL, PAYLOAD_SQL, clicks_sql, payload_sql, raw_clicks, stored_clicks, table
 from pathloom.plans.queries_clusters import CENTROIDS, SIMS, vectors_of
 from pathloom.plans.queries_behaviour import INTENTS
 from pathloom.plans.registry import CHECKS, query
@@ -98,18 +97,20 @@ def stream_sessions(spark, sf):
     SELECT event_id, cart_count FROM cart""")
 def stream_carts(spark, sf):
     """Cart states, derived as the sessions close."""
-    return _derived(spark, sf, "carts", b.cart_state).select("event_id", "cart_count")
+    return _derived(spark, sf, "carts", b.cart_state, lambda e: e.drop("p")).select("event_id", "cart_count")
 
 
-def _derived(spark, sf, name, derive):
-    """What a batch operator makes of the sessions as they close."""
+def _derived(spark, sf, name, derive, read=lambda e: e):
+    """What a batch operator makes of the sessions as they close.
+
+    ``read`` picks what it needs of the stored events before they meet their sessions: a struct that is opened after a join is built whole.
+    """
     path = work_path(spark, name)
 
     def stored():
-        e = raw_clicks(spark, sf).withColumn("event_time", ingest.event_time(F.col("timestamp")))
-        return e.withColumn("p", parse_payload("data"))
+        return read(stored_clicks(spark, sf).withColumn("event_time", ingest.event_time(F.col("timestamp"))))
 
-    closing = ss.stream_sessions(event_stream(spark, sf), ttl_ms=DAY_MS)
+    closing = ss.session_spans(event_stream(spark, sf), ttl_ms=DAY_MS)
     finish(ss.on_close(closing, stored, derive, path, work_path(spark, f"{name}-progress")))
     return spark.read.parquet(path)
 
@@ -122,10 +123,13 @@ def _closed_only(batch: str, columns: str) -> str:
 
 @query("stream_rage_clicks", _closed_only("rage_clicks", "event_id, click_count"))
 def stream_rage_clicks(spark, sf):
+    def read(events):
+        return events.select("event_id", "user_id", "timestamp", "event_time", F.col("p.x").alias("x"), F.col("value").alias("y"))
+
     def derive(rows):
-        return b.rage_clicks(rows.withColumns({"x": F.col("p.x"), "y": F.col("value")}), ["session_id"], 12 * HOUR, 400, 3, 24 * HOUR)
+        return b.rage_clicks(rows, ["session_id"], 12 * HOUR, 400, 3, 24 * HOUR)
 
-    return _derived(spark, sf, "rage", derive).select("event_id", "click_count")
+    return _derived(spark, sf, "rage", derive, read).select("event_id", "click_count")
 
 
 @query("stream_revisits", _closed_only("section_revisits", 'event_id, section, "count"'))

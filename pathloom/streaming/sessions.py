@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -23,11 +23,10 @@ def stream_sessions(events: DataFrame, user: str = "user_id", ttl_ms: int = TTL_
     A session window merges events exactly one gap apart, but a session ends when idle for the timeout,
     hence one millisecond less. First and last values go by event time, so arrival order is irrelevant.
     """
-    gap = f"{ttl_ms - 1} milliseconds"
     rank = F.struct(time, "event_id")
     kind = F.col("event_type")
     pages = F.count_if(kind == "navigation")
-    out = events.withWatermark(time, delay).groupBy(user, F.session_window(time, gap).alias("w")).agg(
+    out = _windows(events, user, ttl_ms, delay, time).agg(
         F.count(F.lit(1)).alias("events"),
         F.min(time).alias("started_at"),
         F.max(time).alias("ended_at"),
@@ -39,6 +38,16 @@ def stream_sessions(events: DataFrame, user: str = "user_id", ttl_ms: int = TTL_
     return out.drop("w").withColumn("exit_reason", F.lit("timeout"))
 
 
+def session_spans(events: DataFrame, user: str = "user_id", ttl_ms: int = TTL_MS, delay: str = "10 minutes", time: str = "event_time") -> DataFrame:
+    """User, start and end of the sessions of ``stream_sessions``: all that ``on_close`` reads, with a state of two times per session."""
+    out = _windows(events.select(user, time), user, ttl_ms, delay, time).agg(F.min(time).alias("started_at"), F.max(time).alias("ended_at"))
+    return out.drop("w")
+
+
+def _windows(events: DataFrame, user: str, ttl_ms: int, delay: str, time: str) -> GroupedData:
+    return events.withWatermark(time, delay).groupBy(user, F.session_window(time, f"{ttl_ms - 1} milliseconds").alias("w"))
+
+
 def on_close(
     sessions: DataFrame, events: Callable[[], DataFrame], derive: Callable[[DataFrame], DataFrame], path: str, checkpoint: str,
     user: str = "user_id", time: str = "event_time", trigger: dict | None = None,

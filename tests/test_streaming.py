@@ -59,6 +59,22 @@ def test_sessions_follow_event_time_not_arrival(spark):
     assert got == [(2, "src3", "/p4", 2), (3, "src0", "/p2", 3)]  # the last one is still open
 
 
+def test_spans_are_those_of_the_sessions(spark):
+    r = random.Random(4)
+    rows = [(u, 1_700_000_000_000 + r.randrange(0, 6 * 3_600_000), i, "s", "/p", "click") for i, u in enumerate([1, 2, 3, None] * 30)]
+    path = work_path(spark, "spanned")
+    spark.createDataFrame(rows, "user_id int, timestamp long, event_id long, utm_source string, pathname string, event_type string").write.parquet(path)
+    found = []
+    for name, closing in (("whole", ss.stream_sessions), ("spans", ss.session_spans)):
+        stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path).withColumn("event_time", ingest.event_time(F.col("timestamp")))
+        out = closing(stream)
+        target = work_path(spark, name)
+        ingest.append(out, target, work_path(spark, f"{name}-p")).awaitTermination()
+        found.append(sorted(map(repr, spark.read.parquet(target).select("user_id", "started_at", "ended_at").collect())))
+    assert out.columns == ["user_id", "started_at", "ended_at"]
+    assert found[0] == found[1] and len(found[0]) > 5
+
+
 def test_batch_form(spark):
     df = spark.createDataFrame([("a", 1), ("a", 1), (None, 2), (None, 3)], "event_id string, n int")
     assert ingest.once_batch(df).count() == 3

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathloom.operators import behaviour as b
+from pathloom.operators import behaviour as b, ordered
 from pathloom.operators.ordered import fold
 
 KEYS = ["user"]
@@ -96,3 +96,18 @@ def test_quiet_stretches_do_not_reach_python(spark, monkeypatch):
     assert b.throttled_speed(rows, "y", KEYS).count() == 0
     assert b.suppress_repeats(rows, KEYS).count() == 10
     assert seen == [0, 0, 0, 0]
+
+
+def test_stretches_of_small_keys_are_not_counted_again(spark, monkeypatch):
+    """A stretch lies within its key, so one count of the keys is enough."""
+    counted, given = [], ordered.hot_keys
+
+    def count(df, keys):
+        counted.append(list(keys))
+        return given(df, keys)
+
+    monkeypatch.setattr(ordered, "hot_keys", count)
+    monkeypatch.setattr(b, "hot_keys", count, raising=False)
+    rows = spark.createDataFrame([("s", 100 * i, i, 1.0, 1.0) for i in range(5)], "session_id string, timestamp long, event_id long, x double, y double")
+    assert b.rage_clicks(rows, ["session_id"]).count() == 1
+    assert [k for k in counted if len(k) > 1] == []
