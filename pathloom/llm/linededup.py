@@ -2,7 +2,7 @@
 
 A line is the set of its words. Words are ordered by rarity, so two lines of Jaccard similarity t share a word among the
 first few of each: n - ⌈t·n⌉ + 1 of n. That word is the join key; length and position of it must allow the overlap,
-and so must a 128-bit parity sketch of both lines. What is left is verified on the whole sets.
+and so must a parity sketch of both lines, of 128 bits where both are long, else of 64. What is left is verified on the whole sets.
 
 No step emits the pairs of a group:
 
@@ -29,57 +29,69 @@ from pyspark.sql import functions as F
 from pathloom.session import cut
 
 THRESHOLD = 0.8
+#: Lines of at most so many words have a sketch of 64 bits.
+SHORT = 80
 #: Counters of words, and bits of the filter that fetches the words of candidate lines; both are fixed sizes.
 COUNTERS, FILTER_BITS = 1 << 17, 1 << 21
 HASH_BITS = 54
 SPACES = r"[\x20\x09-\x0D]+"
 
 
-def _table(values: np.ndarray, kind: str) -> Column:
+def _table(values: np.ndarray) -> Column:
     """A table of fixed size as one constant; as text, since the gateway passes arrays value by value."""
-    return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast(f"array<{kind}>")
+    return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast("array<bigint>")
 
 
-def rarity(texts: DataFrame, text: str) -> np.ndarray:
+def _split(text: Column) -> Column:
+    """The words of a line, perhaps with empty ones. Only lines with other white space than spaces need the regular expression."""
+    return F.when(text.rlike(r"[\x09\x0B-\x0D]"), F.split(text, SPACES)).otherwise(F.split(text, " "))
+
+
+def _lines_of(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.select(*columns, F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
+
+
+def _counter(word: Column | str) -> Column:
+    return F.hash(word).bitwiseAND(F.lit(COUNTERS - 1))
+
+
+def rarity(rows: DataFrame) -> np.ndarray:
     """Count class of every hash bucket of words: four classes per doubling. One count per word of the table, combined map-side."""
-    words = texts.select(F.explode(F.split(text, SPACES)).alias("w")).where("w != ''")
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(COUNTERS)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    words = _lines_of(rows).select(F.explode(_split(F.col("text"))).alias("w")).where("w != ''")
+    counts = words.groupBy(_counter("w").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     seen = np.zeros(COUNTERS, "int64")
     found = counts.toPandas()
     seen[found["b"].to_numpy(dtype="int64")] = found["n"].to_numpy(dtype="int64")
     return np.floor(4 * np.log2(np.maximum(seen, 1))).astype("int32")
 
 
-def _ordered_words(line: Column, classes: np.ndarray) -> Column:
-    """The distinct words of a line as longs, rarest first: class of the count, then hash."""
-    table = _table(classes, "int")
+def _distinct_words(line: Column, classes: np.ndarray) -> Column:
+    """The distinct words of a line as longs: class of the count, then hash."""
+    table, low, none = _table(classes), F.lit((1 << HASH_BITS) - 1), F.lit(0).cast("long")
+
+    def number(word: Column) -> Column:
+        # never null, so that the numbers are kept and sorted as plain longs
+        return F.shiftleft(F.coalesce(F.get(table, _counter(word)), none), HASH_BITS).bitwiseOR(F.xxhash64(word).bitwiseAND(low))
+
     # a separator at either end leaves an empty text, which is no word
-    hashes = F.array_remove(F.array_distinct(F.transform(F.split(line, SPACES), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    low = F.lit((1 << HASH_BITS) - 1)
-    return F.sort_array(
-        F.transform(
-            hashes,
-            lambda h: F.shiftleft(F.coalesce(F.element_at(table, F.pmod(h, F.lit(COUNTERS)).cast("int") + 1), F.lit(0)).cast("long"), HASH_BITS)
-            .bitwiseOR(h.bitwiseAND(low)),
-        )
-    )
+    return F.array_remove(F.array_distinct(F.transform(_split(line), number)), number(F.lit("")))
 
 
 def _lines(rows: DataFrame, classes: np.ndarray, t: Fraction) -> DataFrame:
     """One row per line: row, id, line, its words' number, identity, parity sketch and prefix. Blank lines have a null identity."""
-    split = rows.select("row", "id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
-    words = split.select("row", "id", "line", _ordered_words(F.col("text"), classes).alias("words")).withColumn("n", F.size("words"))
+    words = _lines_of(rows, "row", "id").select("row", "id", "line", F.sort_array(_distinct_words(F.col("text"), classes)).alias("words"))
+    words = words.withColumn("n", F.size("words"))  # rarest words first
     prefix = F.col("n") - F.ceil(F.col("n") * F.lit(t.numerator) / F.lit(t.denominator) - 1e-9).cast("int") + 1
 
-    def parity(half: int) -> Column:
-        """Which of 64 bits an odd number of words hash to, for the words of one half."""
-        mine = lambda w: (F.shiftright(w, 6).bitwiseAND(1) if half else 1 - F.shiftright(w, 6).bitwiseAND(1)).cast("long")
-        return F.aggregate("words", F.lit(0).cast("long"), lambda b, w: b.bitwiseXOR(F.call_function("shiftleft", mine(w), w.bitwiseAND(63).cast("int"))))
+    def parity(one: Column, of: Column) -> Column:
+        """Which of 64 bits an odd number of words hash to."""
+        return F.aggregate(of, F.lit(0).cast("long"), lambda b, w: b.bitwiseXOR(F.call_function("shiftleft", one(w), w.bitwiseAND(F.lit(63)).cast("int"))))
 
     return words.select(
         "row", "id", "line", "n",
         F.when(F.col("n") > 0, F.xxhash64("n", "words")).alias("set"),
-        parity(0).alias("even"), parity(1).alias("odd"),
+        parity(lambda w: F.lit(1).cast("long"), F.col("words")).alias("parity"),
+        F.when(F.col("n") > SHORT, parity(lambda w: F.shiftright(w, 6).bitwiseAND(F.lit(1)), F.col("words"))).alias("odd"),
         # 32 bits of a word are enough for a key: a clash brings a candidate that verification drops
         F.transform(F.slice("words", 1, F.greatest(prefix, F.lit(1))), lambda w: F.hash(w)).alias("prefix"),
     )
@@ -89,7 +101,9 @@ def _may_match(l: str, r: str, t: Fraction) -> Column:
     """Length, position and sketch allow the pair: overlap o >= t/(1+t) · (n+m), difference <= (1-t)/(1+t) · (n+m)."""
     n, m = F.col(f"{l}.n").cast("long"), F.col(f"{r}.n").cast("long")
     most = F.least(n - F.col(f"{l}.at"), m - F.col(f"{r}.at"))
-    differ = sum(F.bit_count(F.col(f"{l}.{h}").bitwiseXOR(F.col(f"{r}.{h}"))) for h in ("even", "odd"))
+    odd, parity = (F.col(f"{l}.{c}").bitwiseXOR(F.col(f"{r}.{c}")) for c in ("odd", "parity"))
+    # the even words of two long lines are what their odd ones leave of all
+    differ = F.coalesce(F.bit_count(odd) + F.bit_count(parity.bitwiseXOR(odd)), F.bit_count(parity))
     p, q = t.numerator, t.denominator
     return (
         (n * q >= m * p) & (m * q >= n * p) & (most * (p + q) >= (n + m) * p) & (differ * (p + q) <= (n + m) * (q - p))
@@ -98,7 +112,7 @@ def _may_match(l: str, r: str, t: Fraction) -> Column:
 
 
 def _entries(sets: DataFrame, *more: str) -> DataFrame:
-    return sets.select("set", "n", "even", "odd", *more, F.posexplode("prefix").alias("at", "key"))
+    return sets.select("set", "n", "parity", "odd", *more, F.posexplode("prefix").alias("at", "key"))
 
 
 def _matched(pairs: DataFrame, words: DataFrame, t: Fraction) -> DataFrame:
@@ -121,14 +135,13 @@ def _fetch(rows: DataFrame, wanted: DataFrame, classes: np.ndarray) -> DataFrame
     ).toPandas()
     table = np.zeros(FILTER_BITS // 64, "int64")
     table[parts["at"].to_numpy(dtype="int64")] = parts["bits"].to_numpy(dtype="int64")
-    split = rows.select("row", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
-    word = F.element_at(_table(table, "bigint"), F.shiftright(bit, 6).cast("int") + 1)
+    word = F.element_at(_table(table), F.shiftright(bit, 6).cast("int") + 1)
     there = F.call_function("shiftright", word, bit.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
-    return split.where(there).join(wanted, ["row", "line"]).select("set", _ordered_words(F.col("text"), classes).alias("words"))
+    return _lines_of(rows, "row").where(there).join(wanted, ["row", "line"]).select("set", _distinct_words(F.col("text"), classes).alias("words"))
 
 
 def _similar(rows: DataFrame, sets: DataFrame, classes: np.ndarray, t: Fraction) -> DataFrame:
-    """(set): lines with an earlier line of enough similarity. ``sets``: set, first, n, even, odd, prefix."""
+    """(set): lines with an earlier line of enough similarity. ``sets``: set, first, n, parity, odd, prefix."""
     entries = _entries(sets)
     met = entries.alias("l").join(entries.alias("r"), (F.col("l.key") == F.col("r.key")) & _may_match("l", "r", t), "left_semi")
     some = cut(sets.join(met.select("set").distinct(), "set"))
@@ -137,7 +150,7 @@ def _similar(rows: DataFrame, sets: DataFrame, classes: np.ndarray, t: Fraction)
 
     # lengths in classes of ratio 1/t, so that the earliest line of a word and class is likely alike
     length = F.floor(F.log(1 / float(t), F.col("n")) + 1e-9).alias("length")
-    earliest = own.groupBy("key", length).agg(F.min(F.struct("first", "set", "n", "even", "odd", "at")).alias("e"))
+    earliest = own.groupBy("key", length).agg(F.min(F.struct("first", "set", "n", "parity", "odd", "at")).alias("e"))
     earliest = earliest.select("key", "length", "e.*")
     pivoted = own.withColumn("length", length).alias("l").join(
         earliest.alias("r"),
@@ -151,24 +164,19 @@ def _similar(rows: DataFrame, sets: DataFrame, classes: np.ndarray, t: Fraction)
     return done.unionByName(_matched(rest.select("l.set", F.col("r.set").alias("other")), words, t))
 
 
-def _flagged(rows: DataFrame, threshold: float) -> DataFrame:
-    """(row, flags): per row of the table one number per line, 2·line + 1 where the line goes."""
+def _staying(rows: DataFrame, threshold: float) -> DataFrame:
+    """(row, stay): the numbers of the lines that stay, per row of the table that keeps any."""
     t = Fraction(str(threshold))
-    classes = rarity(rows, "text")
+    classes = rarity(rows)
     lines = cut(_lines(rows, classes, t))
     place = F.struct("id", "row", "line").alias("first")
     filled = lines.where(F.col("set").isNotNull())
     # the earliest of equal lines stands for them; counted before the shuffle
-    alike = filled.groupBy("set").agg(F.min(F.struct(place, "n", "even", "odd", "prefix")).alias("f")).select("set", "f.*")
+    alike = filled.groupBy("set").agg(F.min(F.struct(place, "n", "parity", "odd", "prefix")).alias("f")).select("set", "f.*")
     gone = cut(_similar(rows, alike, classes, t))
-    stay = (
-        filled.groupBy("set").agg(F.min(F.struct("id", "row", "line")).alias("first"))
-        .join(gone, "set", "left_anti").select("set", "first.row", "first.line")
-    )
-    kept = stay.select(F.col("row"), F.col("line"), F.lit(1).alias("stays"))
-    flags = lines.select("row", "line", "set").join(kept, ["row", "line"], "left")
-    drop = (F.col("set").isNotNull() & F.col("stays").isNull()).cast("int")
-    return flags.groupBy("row").agg(F.sort_array(F.collect_list(F.col("line") * 2 + drop)).alias("flags"))
+    first = filled.groupBy("set").agg(F.min(place).alias("first")).join(gone, "set", "left_anti").select("first.row", "first.line")
+    stay = first.unionByName(lines.where(F.col("set").isNull()).select("row", "line"))
+    return stay.groupBy("row").agg(F.sort_array(F.collect_list("line")).alias("stay"))
 
 
 def _numbered(docs: DataFrame, columns: list[Column], from_files: bool) -> DataFrame:
@@ -200,16 +208,17 @@ def dedup_lines(
     left out): its place is then its file, by a hash of the name, and its number there. Other tables are written first.
     """
     rows = _numbered(docs, [docs[doc_id].alias("id"), docs[text].alias("text")], from_files)
-    return _rebuilt(rows.join(_flagged(rows, threshold), "row", "left")).select(F.col("id").alias(doc_id), F.col("text").alias(text), "n_lines", "n_removed")
+    return _rebuilt(rows.join(_staying(rows, threshold), "row", "left")).select(F.col("id").alias(doc_id), F.col("text").alias(text), "n_lines", "n_removed")
 
 
 def _rebuilt(rows: DataFrame) -> DataFrame:
-    lines = F.split("text", "\n", -1)
-    kept = F.filter(lines, lambda _, i: F.element_at(F.col("flags"), i + 1) % 2 == 0)
+    """Texts of the lines that stay. A text has one line at least; where none stays it is empty."""
+    rows = rows.withColumns({"lines": F.split("text", "\n", -1), "stay": F.coalesce("stay", F.array().cast("array<int>"))})
+    n, stays = F.coalesce(F.when(F.col("text").isNotNull(), F.size("lines")), F.lit(0)).cast("long"), F.size("stay").cast("long")
     return rows.withColumns({
-        "text": F.array_join(kept, "\n"),
-        "n_lines": F.coalesce(F.size(F.col("flags")), F.lit(0)).cast("long"),
-        "n_removed": F.coalesce(F.aggregate("flags", F.lit(0).cast("long"), lambda s, f: s + f % 2), F.lit(0)).cast("long"),
+        "text": F.when(F.col("text").isNotNull(), F.array_join(F.transform("stay", lambda i: F.get("lines", i)), "\n")),
+        "n_lines": n,
+        "n_removed": n - stays,
     })
 
 
@@ -218,7 +227,6 @@ def without_repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, doc_id
     # the text travels once, beside the other columns
     whole = F.struct(*(docs[f"`{c}`"] for c in docs.columns if c != text)).alias("whole")
     rows = _numbered(docs, [docs[doc_id].alias("id"), docs[text].alias("text"), whole], from_files)
-    flags = _flagged(rows.select("row", "id", "text"), threshold)
-    done = _rebuilt(rows.join(flags, "row", "left"))
+    done = _rebuilt(rows.join(_staying(rows.select("row", "id", "text"), threshold), "row", "left"))
     new = {text: F.col("text"), "n_chars": F.length("text").cast("long")}
     return done.select(*(new[c].alias(c) if c in new else F.col(f"whole.`{c}`") for c in docs.columns))

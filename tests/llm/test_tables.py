@@ -317,6 +317,27 @@ def test_line_dedup_of_files_split_otherwise(spark, monkeypatch, tmp_path):
         spark.conf.set(name, before)
 
 
+def test_line_dedup_of_lines_about_the_short_sketch(spark):
+    """Lines around the length where the sketch changes, in spaces or other white space, meet whatever sketch either has."""
+    r = np.random.default_rng(11)
+    space = lambda: r.choice([" ", "  ", "\t", "\r", "\x0b ", "\x0c"], p=[0.9, 0.02, 0.02, 0.02, 0.02, 0.02])
+    base = [[f"w{x}" for x in r.integers(0, 3_000, n)] for n in range(66, 100, 3)]
+
+    def line():
+        b = list(base[r.integers(0, len(base))])
+        b = [w for w in b if r.random() > 0.08] + [f"v{x}" for x in r.integers(0, 3_000, r.integers(0, 12))]
+        r.shuffle(b)
+        return space() + "".join(w + space() for w in b)
+
+    rows = [(int(i), "\n".join([line() for _ in range(4)] + ["", " \t"])) for i in range(40)]
+    lengths = {len(set(x.split())) for _, t in rows for x in t.split("\n")}
+    assert min(lengths - {0}) < 80 < max(lengths)
+    got = linededup.dedup_lines(docs(spark, rows).coalesce(1))
+    assert sorted(map(tuple, got.collect()), key=repr) == brute_lines(rows)
+    # the lines that stay go straight to their rows: one join with those that go, one with the rows, none line by line
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+
+
 def test_pipeline(spark):
     """Stage by stage against what each stage promises."""
     import corpus_pipeline
